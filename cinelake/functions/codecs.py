@@ -104,131 +104,7 @@ HEADER_FIELDS = [
 ]
 
 
-class _Cursor:
-    """Collects header fields while tracking the next bit position (a number, or an expression
-    once an optional or variable-length field has been read)."""
-
-    def __init__(self, w: Column, pos: int = 0):
-        self.w, self.pos, self.fields = w, pos, {}
-
-    def skip(self, n: int) -> None:
-        self.pos = self.pos + n
-
-    def u(self, name: str, n: int, scale: int = 1) -> Column:
-        value = (word_bits(self.w, self.pos, n) * scale).cast("int")
-        self.fields[name] = value
-        self.pos = self.pos + n
-        return value
-
-    def opt(self, name: str, present: Column) -> Column:
-        """One bit read only when ``present`` holds, else 0."""
-        value = F.when(present, word_bits(self.w, self.pos, 1).cast("int")).otherwise(0)
-        self.fields[name] = value
-        self.pos = self.pos + F.when(present, 1).otherwise(0)
-        return value
-
-    def c3(self, name: str, present: Column | None = None) -> Column:
-        value, used = word_c3(self.w, self.pos)
-        if present is not None:
-            value, used = F.when(present, value).otherwise(0), F.when(present, used).otherwise(0)
-        self.fields[name] = value
-        self.pos = self.pos + used
-        return value
-
-    def struct(self) -> Column:
-        self.fields["header_bits"] = self.pos if isinstance(self.pos, Column) else F.lit(self.pos)
-        return F.struct(*[self.fields.get(n, F.lit(None)).cast("int").alias(n) for n in HEADER_FIELDS])
-
-
-def _headers(w: Column, bit_rate: Column, flags: Column) -> dict[tuple[str, str], Column]:
-    """Header layout per (version, frame type), read from the first 56 bits of the packet."""
-    out = {}
-
-    c = _Cursor(w, 32)  # start code
-    c.u("frame_no", 5), c.skip(2), c.u("qscale", 5), c.u("slice_code", 5)
-    out["v1", "I"] = c.struct()
-    c = _Cursor(w, 32)
-    c.u("frame_no", 5), c.skip(2), c.u("qscale", 5)
-    out["v1", "P"] = c.struct()
-
-    c = _Cursor(w, 2)
-    c.u("qscale", 5), c.u("slice_code", 5)
-    out["v2", "I"] = c.struct()
-    c = _Cursor(w, 2)
-    c.u("qscale", 5), c.u("skip_coded", 1)
-    out["v2", "P"] = c.struct()
-
-    c = _Cursor(w, 2)
-    c.u("qscale", 5), c.u("slice_code", 5), c.c3("rl_chroma"), c.c3("rl"), c.u("dc", 1)
-    out["v3", "I"] = c.struct()
-    c = _Cursor(w, 2)
-    c.u("qscale", 5), c.u("skip_coded", 1), c.c3("rl"), c.u("dc", 1), c.u("mv", 1)
-    out["v3", "P"] = c.struct()
-
-    c = _Cursor(w, 2)
-    c.u("qscale", 5), c.u("slice_code", 5), c.skip(5)
-    rate = c.u("bit_rate", 11, 1024)
-    c.u("flipflop", 1)
-    per_mb = c.opt("per_mb_rl", rate > PER_MB_TABLE_BIT_RATE)
-    c.c3("rl_chroma", per_mb == 0), c.c3("rl", per_mb == 0), c.u("dc", 1)
-    out["wmv1", "I"] = c.struct()
-    c = _Cursor(w, 2)
-    c.u("qscale", 5), c.u("skip_coded", 1)
-    c.opt("per_mb_rl", F.coalesce(bit_rate, F.lit(0)) > PER_MB_TABLE_BIT_RATE)
-    c.c3("rl"), c.u("dc", 1), c.u("mv", 1)
-    out["wmv1", "P"] = c.struct()
-
-    c = _Cursor(w, 1)
-    c.u("i7", 7), c.u("qscale", 5)
-    c.opt("j_type", flags["j_type"] == 1)
-    per_mb = c.opt("per_mb_rl", flags["per_mb_rl"] == 1)
-    c.c3("rl_chroma", per_mb == 0), c.c3("rl", per_mb == 0), c.u("dc", 1)
-    out["wmv2", "I"] = c.struct()
-
-    # Past the skip type a WMV2 P header has a fixed place only when no skip map follows it.
-    c = _Cursor(w, 1)
-    q, skip_type = c.u("qscale", 5), c.u("skip_type", 2)
-    with_map = c.struct()
-    index = c.c3("pattern_index")
-    band = (q > 10).cast("int") + (q > 20).cast("int")
-    rows = F.array(*[F.array(*[F.lit(v) for v in row]) for row in WMV2_PATTERN_TABLE])
-    c.fields["pattern_table"] = F.get(F.get(rows, band), index)
-    c.opt("mspel", flags["mspel"] == 1)
-    shared = c.opt("abt_bit", flags["abt"] == 1)
-    c.fields["per_mb_abt"] = F.when(flags["abt"] == 1, 1 - shared).otherwise(0)
-    c.c3("abt_type", (flags["abt"] == 1) & (shared == 1))
-    c.opt("per_mb_rl", flags["per_mb_rl"] == 1)
-    c.c3("rl"), c.u("dc", 1), c.u("mv", 1)
-    out["wmv2", "P"] = F.when(skip_type == 0, c.struct()).otherwise(with_map)
-    return out
-
-
 def frame_header(
-    version: Column,
-    ftype: Column,
-    payload: Column,
-    bit_rate: Column | None = None,
-    extradata: Column | None = None,
-) -> Column:
-    """Picture-header fields as one struct; a field the version lacks is null.
-
-    ``bit_rate`` is the carried rate for WMV1 P frames, ``extradata`` the WMV2 flags. Only the first
-    seven bytes are read, so a ``head`` column serves as well as the payload.
-    """
-    rate = bit_rate if bit_rate is not None else F.lit(0)
-    flags = wmv2_flags(extradata if extradata is not None else F.lit(None).cast("binary"))
-    return _by_version(version, ftype, word(payload), rate, flags)
-
-
-def _by_version(version: Column, ftype: Column, w: Column, rate: Column, flags: Column) -> Column:
-    out = None
-    for (v, t), header in _headers(w, rate, flags).items():
-        hit = (version == v) & (ftype == t)
-        out = F.when(hit, header) if out is None else out.when(hit, header)
-    return out
-
-
-def with_frame_header(
     frames: DataFrame,
     version: str = "version",
     ftype: str = "frame_type",
@@ -236,14 +112,95 @@ def with_frame_header(
     bit_rate: str | None = None,
     extradata: str | None = None,
 ) -> DataFrame:
-    """Add ``header``; the header word and flags are computed once per row, in a projection below."""
+    """Add ``header``, a struct of picture-header fields; a field the version lacks is null.
+
+    ``bit_rate`` names the carried rate for WMV1 P frames, ``extradata`` the WMV2 flags. Only the
+    first seven bytes are read, so the packet table's ``head`` column serves. Fields at a fixed bit
+    come from one projection; each variable-length field then gets a projection of its own, so that
+    the running position is computed once per row instead of being nested in every later field.
+    """
+    v, t, w, pos = F.col(version), F.col(ftype), F.col("_w"), F.col("_pos")
+    is_i, is_p = t == "I", t == "P"
+    wmv2_i, wmv2_p = (v == "wmv2") & is_i, (v == "wmv2") & is_p
+
+    def at(p: int, n: int, scale: int = 1) -> Column:
+        return (word_bits(w, p, n) * scale).cast("int")
+
+    fixed = {
+        "frame_no": F.when(v == "v1", at(32, 5)),
+        "qscale": F.when(v == "v1", at(39, 5)).when(wmv2_i, at(8, 5)).when(wmv2_p, at(1, 5)).when(
+            v.isNotNull() & (is_i | is_p), at(2, 5)
+        ),
+        "slice_code": F.when((v == "v1") & is_i, at(44, 5)).when(v.isin("v2", "v3", "wmv1") & is_i, at(7, 5)),
+        "bit_rate": F.when((v == "wmv1") & is_i, at(17, 11, 1024)),
+        "flipflop": F.when((v == "wmv1") & is_i, at(28, 1)),
+        "i7": F.when(wmv2_i, at(1, 7)),
+        "skip_coded": F.when(v.isin("v2", "v3", "wmv1") & is_p, at(7, 1)),
+        "skip_type": F.when(wmv2_p, at(6, 2)),
+        # where the variable part starts, or where the header ends when there is none
+        "header_bits": F.when(v == "v1", F.when(is_i, 49).otherwise(44))
+        .when(v == "v2", F.when(is_i, 12).otherwise(8))
+        .when(v == "v3", F.when(is_i, 12).otherwise(8))
+        .when(v == "wmv1", F.when(is_i, 29).otherwise(8))
+        .when(v == "wmv2", F.when(is_i, 13).otherwise(8)),
+    }
+    rate = F.col(bit_rate) if bit_rate else F.lit(None).cast("int")
     flags = wmv2_flags(F.col(extradata) if extradata else F.lit(None).cast("binary"))
-    rate = F.col(bit_rate) if bit_rate else F.lit(0)
-    return (
-        frames.withColumns({"_word": word(F.col(payload)), "_flags": flags})
-        .withColumn("header", _by_version(F.col(version), F.col(ftype), F.col("_word"), rate, F.col("_flags")))
-        .drop("_word", "_flags")
+    df = frames.withColumns({"_w": word(F.col(payload)), "_flags": flags})
+    df = df.withColumns({f"_{n}": c for n, c in fixed.items()})
+    df = df.withColumns(
+        {
+            # Past the skip type a WMV2 P header has a fixed place only when no skip map follows it.
+            "_tail": v.isin("v3", "wmv1") | wmv2_i | (wmv2_p & (F.col("_skip_type") == 0)),
+            "_fast": (F.when(is_i, F.col("_bit_rate")).otherwise(F.coalesce(rate, F.lit(0))) > PER_MB_TABLE_BIT_RATE)
+            & (v == "wmv1"),
+            "_pos": F.col("_header_bits"),
+        }
+    )
+    flag = F.col("_flags")
+    tail = F.col("_tail")
+    tail_p2 = tail & wmv2_p
+
+    def one_bit(df: DataFrame, name: str, read: Column, known: Column) -> DataFrame:
+        """Next bit where ``read``; 0 where the field exists (``known``) but is not coded."""
+        return df.withColumns(
+            {
+                f"_{name}": F.when(read, word_bits(w, pos, 1).cast("int")).when(known, 0),
+                "_pos": pos + F.when(read, 1).otherwise(0),
+            }
+        )
+
+    def three_valued(df: DataFrame, name: str, read: Column, known: Column) -> DataFrame:
+        value, used = word_c3(w, pos)
+        return df.withColumns(
+            {f"_{name}": F.when(read, value).when(known, 0), "_pos": pos + F.when(read, used).otherwise(0)}
+        )
+
+    df = three_valued(df, "pattern_index", tail_p2, F.lit(False))
+    df = one_bit(df, "mspel", tail_p2 & (flag["mspel"] == 1), tail_p2)
+    df = one_bit(df, "abt_bit", tail_p2 & (flag["abt"] == 1), F.lit(False))
+    df = three_valued(df, "abt_type", tail_p2 & (F.col("_abt_bit") == 1), tail_p2)
+    df = one_bit(df, "j_type", wmv2_i & (flag["j_type"] == 1), wmv2_i)
+    wmv2_tail = tail & (v == "wmv2")
+    df = one_bit(
+        df, "per_mb_rl", (wmv2_tail & (flag["per_mb_rl"] == 1)) | (tail & F.col("_fast")), wmv2_tail | (v == "wmv1")
     )
+    per_picture = F.coalesce(F.col("_per_mb_rl"), F.lit(0)) == 0
+    df = three_valued(df, "rl_chroma", tail & is_i & per_picture, tail & is_i)
+    df = three_valued(df, "rl", tail & (is_p | per_picture), tail)
+    df = one_bit(df, "dc", tail, F.lit(False))
+    df = one_bit(df, "mv", tail & is_p, F.lit(False))
+
+    band = F.when(F.col("_qscale") > 20, 2).when(F.col("_qscale") > 10, 1).otherwise(0)
+    rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in WMV2_PATTERN_TABLE])
+    last = {
+        "pattern_table": F.get(F.get(rows, band), F.col("_pattern_index")),
+        "per_mb_abt": F.when(F.col("_abt_bit").isNotNull(), 1 - F.col("_abt_bit")).when(tail_p2, 0),
+        "header_bits": pos,
+    }
+    known = v.isNotNull() & (is_i | is_p)
+    header = F.struct(*[last.get(n, F.col(f"_{n}")).cast("int").alias(n) for n in HEADER_FIELDS])
+    return df.select(*[F.col(f"`{c}`") for c in frames.columns], F.when(known, header).alias("header"))
 
 
 def frame_status(version: Column, ftype: Column, header: Column, has_reference: Column | None = None) -> Column:

@@ -25,19 +25,13 @@ def golden(spark):
 
 
 def test_golden_headers(golden):
-    for r in C.with_frame_header(golden).collect():
+    for r in C.frame_header(golden).collect():
         _, _, ftype, fields = GOLDEN[r.i]
         assert r.frame_type == ftype
         for name, value in fields.items():
             assert r.header[name] == value, (r.i, name)
 
 
-def test_inline_header_equals_projected(golden):
-    a = C.with_frame_header(golden).collect()
-    b = golden.withColumn("header", C.frame_header(F.col("version"), F.col("frame_type"), F.col("head"))).collect()
-    assert {r.i: r.header for r in a} == {r.i: r.header for r in b}
-
-
 def test_generic_type_test_is_wrong_for_v1(golden):
     rows = golden.filter("version = 'v1'").select(C.frame_type(F.lit("v3"), F.col("head")).alias("t")).collect()
     assert {r.t for r in rows} == {"I"}
@@ -51,7 +45,7 @@ def pack(fields):
 def one_header(spark, version, ftype, payload, bit_rate=None, extradata=None):
     df = spark.createDataFrame([(version, ftype, payload, bit_rate, extradata)],
                                "version string, frame_type string, head binary, bit_rate int, extradata binary")
-    return C.with_frame_header(df, bit_rate="bit_rate", extradata="extradata").first().header
+    return C.frame_header(df, bit_rate="bit_rate", extradata="extradata").first().header
 
 
 def test_wmv1_bit_rate_boundary(spark):
@@ -112,7 +106,7 @@ def test_status(spark):
         ],
         "version string, head binary, has_ref boolean, want string",
     ).withColumn("frame_type", C.frame_type(F.col("version"), F.col("head")))
-    out = C.with_frame_header(df).withColumn(
+    out = C.frame_header(df).withColumn(
         "got", C.frame_status(F.col("version"), F.col("frame_type"), F.col("header"), F.col("has_ref")))
     for r in out.collect():
         assert r.got == r.want

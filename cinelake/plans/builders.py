@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from cinelake.functions.bits import le_bytes
 EMPTY = b""
 
 
-def hex_of(data: Column) -> Column:
-    return F.hex(data)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once although ``use`` mentions it several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def join_bytes(parts: Column) -> Column:
@@ -25,9 +28,13 @@ def int_le(value: int, n: int) -> Column:
 
 def chunk(name: str, body: Column) -> Column:
     """One RIFF chunk, padded to an even size."""
-    size = F.octet_length(body)
-    pad = F.when(size % 2 == 1, F.lit(b"\0")).otherwise(F.lit(EMPTY))
-    return F.concat(F.lit(name.encode()), le_bytes(size, 4), body, pad)
+
+    def wrap(b: Column) -> Column:
+        size = F.octet_length(b)
+        pad = F.when(size % 2 == 1, F.lit(b"\0")).otherwise(F.lit(EMPTY))
+        return F.concat(F.lit(name.encode()), le_bytes(size, 4), b, pad)
+
+    return let(body, wrap)
 
 
 def list_chunk(kind: str, body: Column) -> Column:

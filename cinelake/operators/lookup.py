@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinelake.session import saved
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
@@ -26,15 +28,19 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    computed: bool = False,
 ) -> DataFrame:
     """Join many rows to a lookup table whose keys may be hot on the probe side.
 
     A table of checked size is broadcast. A larger one is joined by shuffle, with each probe row
-    sent to one of ``salts`` copies of its key, so that no single key fills a task.
+    sent to one of ``salts`` copies of its key, so that no single key fills a task. A ``computed``
+    table is written out first, so that the check and the join share one computation.
     """
     on = list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the lookup side can only be the right side")
+    if computed:
+        table = saved(table, "lookup")
     if fits_broadcast(table, max_rows):
         return probe.join(F.broadcast(table), on, how)
     everything = F.struct(*[F.col(f"`{c}`") for c in probe.columns])

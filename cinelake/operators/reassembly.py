@@ -99,7 +99,7 @@ def reassemble(fragments: DataFrame, reuse: bool = False, chunk_packets: int = C
     odd = status.filter(~F.col("complete") | F.col("cut").isNotNull()).select(
         *OBJECT, F.col("complete"), F.col("cut"), F.col("object_size").alias("final_size")
     )
-    tagged = lookup_join(fragments, odd, OBJECT, "left")
+    tagged = lookup_join(fragments, odd, OBJECT, "left", computed=True)
     here = F.struct("offset", *ARRIVAL)
     kept = tagged.filter(
         F.coalesce(F.col("complete"), F.lit(True)) & (F.col("cut").isNull() | (here <= F.col("cut")))

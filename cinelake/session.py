@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -31,10 +32,19 @@ def shared_dir(spark: SparkSession, prefix: str) -> str:
     It lies in the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
     (tests) is a temporary one made and set.
     """
-    import uuid
-
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, prefix: str) -> DataFrame:
+    """Write a result once to the shared folder and go on from the written table.
+
+    For results that several later steps need: they are not computed again, and a lost executor
+    costs only a read.
+    """
+    path = shared_dir(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

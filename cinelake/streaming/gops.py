@@ -17,7 +17,10 @@ OUTPUT = (
     .add("gop_id", "long").add("p_index", "long").add("no_rounding", "boolean")
     .add("bit_rate", "integer").add("ref_seq", "long")
 )
-_STATE = "next_seq bigint, waiting bigint, gop_id bigint, distance bigint, bit_rate int, ref_seq bigint, decoded boolean"
+_STATE = (
+    "next_seq bigint, earliest bigint, gop_id bigint, distance bigint, bit_rate int, ref_seq bigint, decoded boolean"
+)
+_WAITING = "seq bigint, frame_type string, status string, bit_rate int"
 
 
 def _int_or_none(v: Any) -> int | None:
@@ -26,26 +29,30 @@ def _int_or_none(v: Any) -> int | None:
 
 
 class GopTracker(StatefulProcessor):
-    """One small record per stream; frames ahead of the next expected ``seq`` wait in state."""
+    """One small record per stream; frames ahead of the next expected ``seq`` wait in a list.
+
+    The list is only appended to until the frame it waits for has come, then read once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.at = handle.getValueState("at", _STATE)
-        self.waiting = handle.getMapState("waiting", "seq bigint", "frame_type string, status string, bit_rate int")
+        self.waiting = handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         saved = self.at.get()
-        next_seq, held, gop, distance, rate, ref, decoded = saved if saved else (0, 0, 0, 0, None, None, False)
+        next_seq, earliest, gop, distance, rate, ref, decoded = saved if saved else (0, None, 0, 0, None, None, False)
         fresh = {}
         for pdf in rows:
             for seq, ftype, status, bit_rate in zip(*(pdf[c] for c in _FRAME)):
                 fresh[int(seq)] = (ftype, status, _int_or_none(bit_rate))
         out = []
         while True:
+            if earliest is not None and earliest <= next_seq:
+                for seq, *frame in self.waiting.get():
+                    fresh.setdefault(seq, tuple(frame))
+                self.waiting.clear()
+                earliest = None
             frame = fresh.pop(next_seq, None)
-            if frame is None and held and self.waiting.containsKey((next_seq,)):
-                frame = tuple(self.waiting.getValue((next_seq,)))
-                self.waiting.removeKey((next_seq,))
-                held -= 1
             if frame is None:
                 break
             ftype, status, bit_rate = frame
@@ -66,11 +73,12 @@ class GopTracker(StatefulProcessor):
                 decoded = decoded or ftype == "I"
                 ref = next_seq
             next_seq += 1
-        for seq, frame in fresh.items():
-            if seq > next_seq:  # an already emitted frame that arrives again is ignored
-                held += not self.waiting.containsKey((seq,))
-                self.waiting.updateValue((seq,), frame)
-        self.at.update((next_seq, held, gop, distance, rate, ref, decoded))
+        early = [(seq, *frame) for seq, frame in fresh.items() if seq > next_seq]  # earlier ones are repeats
+        if early:
+            self.waiting.appendList(early)
+            first = min(e[0] for e in early)
+            earliest = first if earliest is None else min(earliest, first)
+        self.at.update((next_seq, earliest, gop, distance, rate, ref, decoded))
         if out:
             pdf = pd.DataFrame(out, columns=OUTPUT.names)
             nullable = {"p_index": "Int64", "bit_rate": "Int32", "ref_seq": "Int64", "no_rounding": "boolean"}

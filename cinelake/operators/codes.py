@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cinelake.operators.lookup import lookup_join
+from cinelake.operators.scan import chunk_of
 
 TABLE = "table_id"
 KEY = [TABLE, "code"]
@@ -296,9 +297,9 @@ def gaps(df: DataFrame, col: str, bucket: int = 1 << 16) -> DataFrame:
     """
     v = F.col(col).cast("bigint")
     values = df.select(v.alias("v")).filter(F.col("v") >= 0)
-    have = values.groupBy(F.floor(F.col("v") / bucket).alias("b")).agg(F.collect_set("v").alias("have"))
+    have = values.groupBy(chunk_of("v", bucket).alias("b")).agg(F.collect_set("v").alias("have"))
     top = values.agg(F.max("v").alias("top")).filter(F.col("top").isNotNull())
-    every = top.select("top", F.explode(F.sequence(F.lit(0), F.floor(F.col("top") / bucket))).alias("b"))
+    every = top.select("top", F.explode(F.sequence(F.lit(0).cast("bigint"), chunk_of("top", bucket))).alias("b"))
     low = F.col("b") * bucket
     span = F.sequence(low, F.least(low + (bucket - 1), F.col("top")))
     empty = F.array().cast("array<bigint>")

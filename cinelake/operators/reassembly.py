@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from cinelake.operators.lookup import lookup_join
 from cinelake.operators.scan import CHUNK_ROWS, Running, chunk_of, ordered_scan
+from cinelake.session import saved
 
 OBJECT = ["file_id", "object_no"]
 ARRIVAL = ["packet_no", "payload_no"]
@@ -31,10 +32,12 @@ def _arrival() -> Column:
 def object_status(fragments: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
     """Per object: bytes seen, declared size (the latest one stated), completeness, last needed fragment.
 
-    Reads no payloads. ``cut`` is null unless the bytes exceed the size; fragments after it in
-    (offset, arrival) order add nothing to the object.
+    Reads no payloads; the few numbers per fragment are written out once, because the scan passes
+    over them twice and ``fragments`` may come straight from a walk through whole files. ``cut`` is null
+    unless the bytes exceed the size; fragments after it in (offset, arrival) order add nothing to the
+    object.
     """
-    narrow = fragments.select(*OBJECT, *ARRIVAL, "offset", "object_size", "size")
+    narrow = saved(fragments.select(*OBJECT, *ARRIVAL, "offset", "object_size", "size"), "fragment-sizes")
     order = ["offset", *ARRIVAL]
     ranked = ordered_scan(
         narrow,
@@ -183,6 +186,7 @@ def episodes(fragments: DataFrame) -> DataFrame:
         .sortWithinPartitions(*OBJECT, *ARRIVAL)
         .mapInArrow(_fold, _EPISODES)
     )
+    folded = saved(folded, "episodes")
     per = folded.groupBy(*OBJECT, "episode").agg(
         F.max("done_size").alias("final_size"), F.max(_arrival()).alias("emit")
     )

@@ -38,7 +38,7 @@ _TOTALS = {"total_sum": F.sum, "total_min": F.min, "total_max": F.max}
 def chunk_of(seq: str | Column, rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of an integer order column."""
     col = F.col(seq) if isinstance(seq, str) else seq
-    return F.floor(col / F.lit(rows)).cast("bigint")
+    return F.call_function("div", col.cast("bigint"), F.lit(rows).cast("bigint"))
 
 
 def ordered_scan(

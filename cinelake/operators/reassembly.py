@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -95,7 +95,7 @@ def reassemble(fragments: DataFrame, reuse: bool = False, chunk_packets: int = C
     ``emit_payload``, the arrival that completed it, which is the output order.
     """
     if reuse:
-        return _reassemble_reused(fragments)
+        return _reassemble_reused(fragments, chunk_packets)
     status = object_status(fragments, chunk_packets)
     # Only objects that do not come out exact need a rule of their own: incomplete ones are dropped
     # and over-full ones cut before any payload is shuffled.
@@ -116,7 +116,7 @@ def incomplete(fragments: DataFrame, reuse: bool = False, chunk_packets: int = C
     columns = [*OBJECT, "fragments", "bytes", "object_size"]
     if not reuse:
         return object_status(fragments, chunk_packets).filter(~F.col("complete")).select(*columns)
-    open_ones = episodes(fragments).filter(~F.col("complete"))
+    open_ones = episodes(fragments, chunk_packets).filter(~F.col("complete"))
     return open_ones.groupBy(*OBJECT, "episode").agg(
         F.count(F.lit(1)).alias("fragments"),
         F.sum("size").alias("bytes"),
@@ -144,61 +144,104 @@ class Pending:
         return 0
 
 
-_EPISODES = (
+_STATE = ["in_bytes", "in_declared"]
+_FOLD_IN = [*OBJECT, "piece", *ARRIVAL, "object_size", "size", *_STATE]
+_FOLDED = (
     StructType()
-    .add("file_id", "long").add("object_no", "long")
-    .add("packet_no", "long").add("payload_no", "integer")
-    .add("offset", "long").add("object_size", "long").add("size", "integer")
-    .add("episode", "long").add("done_size", "long")
+    .add("file_id", "long").add("object_no", "long").add("piece", "long")
+    .add("packet_no", "long").add("payload_no", "integer").add("object_size", "long").add("size", "integer")
+    .add("in_bytes", "long").add("in_declared", "long")
+    .add("local", "long").add("done_size", "long").add("out_bytes", "long").add("out_declared", "long")
 )
-_FOLD_IN = [*OBJECT, *ARRIVAL, "offset", "object_size", "size"]
+_PIECE = [*OBJECT, "piece"]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the objects of each (file, number) run of a sorted partition; state is three integers."""
-    schema = to_arrow_schema(_EPISODES)
+    """Count the objects of each piece of a sorted partition; state is three integers."""
+    schema = to_arrow_schema(_FOLDED)
     key, pending = None, Pending()
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        episode, done = [], []
-        columns = (batch.column(n).to_pylist() for n in ("file_id", "object_no", "size", "object_size"))
-        for file_id, object_no, size, object_size in zip(*columns):
-            if (file_id, object_no) != key:
-                key, pending = (file_id, object_no), Pending()
-            episode.append(pending.episode)
-            done.append(pending.add(size, object_size))
+        results: list[list[int]] = [[], [], [], []]
+        names = (*_PIECE, "size", "object_size", *_STATE)
+        for *here, size, object_size, in_bytes, in_declared in zip(*(batch.column(n).to_pylist() for n in names)):
+            if here != key:
+                key, pending = here, Pending(0, in_bytes, in_declared)
+            local = pending.episode
+            done = pending.add(size, object_size)
+            for values, v in zip(results, (local, done, pending.bytes, pending.declared)):
+                values.append(v)
         arrays = [batch.column(n).cast(schema.field(n).type) for n in _FOLD_IN]
-        arrays += [pa.array(episode, pa.int64()), pa.array(done, pa.int64())]
+        arrays += [pa.array(values, pa.int64()) for values in results]
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def episodes(fragments: DataFrame) -> DataFrame:
+def _pieces(narrow: DataFrame, chunk_packets: int) -> DataFrame:
+    """Cut each number's fragments into pieces of bounded length, where possible before an offset of 0:
+    there an object most likely begins."""
+    rows = narrow.withColumn("_chunk", chunk_of("packet_no", chunk_packets))
+    starts = rows.groupBy(*OBJECT, "_chunk").agg(
+        F.min(_arrival()).alias("_first"), F.min(F.when(F.col("offset") == 0, _arrival())).alias("_begin")
+    )
+    lowest = F.min("_chunk").over(Window.partitionBy(*OBJECT))
+    start = F.when(F.col("_chunk") == lowest, F.col("_first")).otherwise(F.coalesce("_begin", "_first"))
+    cut = starts.select(*OBJECT, "_chunk", start.alias("_start"))
+    piece = F.when(_arrival() >= F.col("_start"), F.col("_chunk")).otherwise(F.col("_chunk") - 1)
+    return rows.join(cut, [*OBJECT, "_chunk"]).withColumn("piece", piece).drop("_chunk", "_start")
+
+
+def _fold_pieces(rows: DataFrame) -> DataFrame:
+    ordered = rows.select(*_FOLD_IN).repartition(*_PIECE).sortWithinPartitions(*_PIECE, *ARRIVAL)
+    return saved(ordered.mapInArrow(_fold, _FOLDED), "episodes")
+
+
+def episodes(fragments: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
     """Which object each fragment belongs to when numbers are reused; no payloads.
 
     Where one object ends decides where the next begins, so a number's fragments are folded in
-    arrival order: one sort by (file, number, arrival), then a streaming pass of narrow rows. The
-    completing fragment's size is carried to the others through the per-episode aggregate.
+    arrival order - but not in one task. All pieces are folded at once, each as if an object began
+    with it. Where the piece before in fact left an object open, the piece is folded again from that
+    state, until every piece starts as the one before ended. Well-formed files need no second round;
+    any file ends in the state a fold from front to back would give.
     """
-    narrow = fragments.select(*_FOLD_IN)
-    folded = (
-        narrow.repartition(*OBJECT)
-        .sortWithinPartitions(*OBJECT, *ARRIVAL)
-        .mapInArrow(_fold, _EPISODES)
-    )
-    folded = saved(folded, "episodes")
-    per = folded.groupBy(*OBJECT, "episode").agg(
+    narrow = fragments.select(*OBJECT, *ARRIVAL, "offset", "object_size", "size")
+    pieces = saved(_pieces(narrow, chunk_packets), "pieces")
+    zero = F.lit(0).cast("bigint")
+    folded = _fold_pieces(pieces.withColumns({"in_bytes": zero, "in_declared": zero}))
+    run = Window.partitionBy(*OBJECT).orderBy("piece")
+    while True:
+        last = F.max(F.struct(*ARRIVAL, "out_bytes", "out_declared"))
+        ends = folded.groupBy(*_PIECE).agg(
+            last.alias("last"), F.sum((F.col("done_size") > 0).cast("bigint")).alias("objects"),
+            *[F.max(c).alias(c) for c in _STATE],
+        )
+        chain = saved(ends.select(
+            *_PIECE, *_STATE,
+            F.coalesce(F.lag("last.out_bytes").over(run), zero).alias("want_bytes"),
+            F.coalesce(F.lag("last.out_declared").over(run), zero).alias("want_declared"),
+            F.coalesce(F.sum("objects").over(run.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"),
+        ), "piece-states")
+        stale = chain.filter(
+            (F.col("in_bytes") != F.col("want_bytes")) | (F.col("in_declared") != F.col("want_declared"))
+        ).select(*_PIECE, F.col("want_bytes").alias("in_bytes"), F.col("want_declared").alias("in_declared"))
+        if stale.isEmpty():
+            break
+        again = _fold_pieces(pieces.join(stale, _PIECE))
+        folded = saved(folded.join(stale.select(*_PIECE), _PIECE, "left_anti").unionByName(again), "episodes")
+    numbered = folded.join(chain.select(*_PIECE, "before"), _PIECE).withColumn("episode", F.col("local") + F.col("before"))
+    per = numbered.groupBy(*OBJECT, "episode").agg(
         F.max("done_size").alias("final_size"), F.max(_arrival()).alias("emit")
     )
     return (
-        folded.drop("done_size")
+        numbered.select(*OBJECT, *ARRIVAL, "object_size", "size", "episode")
         .join(per, [*OBJECT, "episode"])
         .withColumn("complete", F.col("final_size") > 0)
     )
 
 
-def _reassemble_reused(fragments: DataFrame) -> DataFrame:
-    done = episodes(fragments).filter("complete").select(
+def _reassemble_reused(fragments: DataFrame, chunk_packets: int) -> DataFrame:
+    done = episodes(fragments, chunk_packets).filter("complete").select(
         "file_id", *ARRIVAL, "episode", "final_size",
         F.col("emit.packet_no").alias("emit_packet"), F.col("emit.payload_no").alias("emit_payload"),
     )

@@ -69,15 +69,15 @@ def test_unique_numbers(spark):
     assert {(r.file_id, r.object_no) for r in left} == open_
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_reused_numbers(spark, seed):
+@pytest.mark.parametrize("seed,chunk", [(2, 1 << 12), (3, 30)])
+def test_reused_numbers(spark, seed, chunk):
     rows = make(seed, True)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3, F.rand(2))
     want, pending = simulate(rows)
-    got = R.reassemble(df, reuse=True).orderBy("file_id", "emit_packet", "emit_payload").collect()
+    got = R.reassemble(df, reuse=True, chunk_packets=chunk).orderBy("file_id", "emit_packet", "emit_payload").collect()
     assert [(r.file_id, r.object_no, (r.emit_packet, r.emit_payload), bytes(r.payload)) for r in got] == sorted(
         want, key=lambda w: (w[0], w[2]))
-    left = {(r.file_id, r.object_no): (r.fragments, r.bytes) for r in R.incomplete(df, reuse=True).collect()}
+    left = {(r.file_id, r.object_no): (r.fragments, r.bytes) for r in R.incomplete(df, reuse=True, chunk_packets=chunk).collect()}
     assert left == {k: (len(v[0]), sum(len(b) for _, b in v[0])) for k, v in pending.items()}
 
 

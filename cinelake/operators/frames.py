@@ -9,12 +9,17 @@ from cinelake.functions.codecs import (
     KEYFRAME_FLAG,
     MAX_INDEXED_SIZE,
     MAX_WALKED_SIZE,
+    frame_header,
+    frame_status,
+    frame_type,
     is_video,
     size_ok,
     version_of,
+    wmv1_bit_rate,
 )
 from cinelake.operators.lookup import lookup_join
 from cinelake.operators.scan import CHUNK_ROWS, Running, ordered_scan
+from cinelake.session import saved
 
 FILE = ["file_id"]
 CHUNK_HEADER = 8
@@ -28,7 +33,7 @@ def with_codec(packets: DataFrame, streams: DataFrame) -> DataFrame:
     info = streams.select(
         "file_id", "fourcc", version_of(F.col("fourcc")).alias("version"), "width", "height", "extradata"
     )
-    return lookup_join(packets, info, FILE, "left")
+    return lookup_join(packets, info, FILE, "left", computed=True)
 
 
 def with_config(frames: DataFrame, rl_chroma: int = 1, rl: int = 2, dc: int = 1) -> DataFrame:
@@ -112,6 +117,24 @@ def track(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return _reference_columns(_gop_columns(ordered_scan(frames, FILE, ["seq"], outputs, chunk_rows=chunk_rows)))
 
 
+def frames_table(packets: DataFrame, streams: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The frames of whole files, as far as headers tell: type, header fields, group, reference, status.
+
+    A WMV1 P header depends on the bit rate of its I frame, and references depend on the header, so
+    the packets are scanned twice. The thin packet rows and the coded frames are each written once, so
+    that no scan walks the files again.
+    """
+    thin = packets.select("file_id", "seq", "byte_offset", "size", "head")
+    bound = with_codec(saved(thin, "packets"), streams)
+    version, head = F.col("version"), F.col("head")
+    typed = bound.withColumn("frame_type", frame_type(version, head))
+    rated = typed.withColumn("bit_rate", F.when((version == "wmv1") & _intra(), wmv1_bit_rate(head)))
+    coded = frame_header(carry_bit_rate(rated, chunk_rows), bit_rate="bit_rate", extradata="extradata")
+    status = frame_status(version, F.col("frame_type"), F.col("header"))
+    kept = ["file_id", "seq", "byte_offset", "size", "version", "width", "height", "frame_type", "bit_rate", "header"]
+    return track(saved(coded.select(*kept, status.alias("status")), "frames"), chunk_rows)
+
+
 def gop_profile(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per file: frames, groups of pictures, longest P run, frames without a reference.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions.bits import le_bytes
 from cinelake.operators import reassembly as R
+from cinelake.operators import frames as FR
 from cinelake.operators.frames import reconcile_index
 from cinelake.plans import builders as B
 from cinelake.plans.registry import digest, query, table
@@ -66,6 +67,29 @@ def index_reconcile(spark, sf_dir):
     return merged.groupBy("file_id", "class").agg(F.count(F.lit(1)).alias("entries"))
 
 
+_FRAMES = _LINES + """,
+f AS (SELECT doc_id AS file_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seq,
+  ('0x' || substr(hex(encode(line)), 1, 2))::BIGINT AS b FROM l WHERE line <> ''),
+t AS (SELECT file_id, seq, b < 64 AS i, (b >> 1) & 31 AS q FROM f),
+g AS (SELECT *, q > 0 AS ok, sum(i::INT) OVER w AS gop, sum((i AND q > 0)::INT) OVER p AS oki,
+  last_value(CASE WHEN q > 0 THEN seq END IGNORE NULLS) OVER p AS okseq FROM t
+  WINDOW w AS (PARTITION BY file_id ORDER BY seq ROWS UNBOUNDED PRECEDING),
+  p AS (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT file_id, seq, CASE WHEN i THEN 'I' ELSE 'P' END AS frame_type, q::INT AS qscale, gop::BIGINT AS gop_id,
+  CASE WHEN gop > 0 THEN row_number() OVER (PARTITION BY file_id, gop ORDER BY seq) - 1 END AS p_index,
+  CASE WHEN NOT i AND coalesce(oki, 0) > 0 THEN okseq END AS ref_seq,
+  CASE WHEN NOT i AND coalesce(oki, 0) = 0 THEN 'no_reference' WHEN ok THEN 'ok' ELSE 'bad_qscale' END AS status FROM g"""
+
+
+@query(f"WITH {_FRAMES}")
+def file_frames(spark, sf_dir):
+    """From file bytes to tracked frames; a line's first byte decides its type and quantiser."""
+    files = avi_files(spark, sf_dir)
+    frames = FR.frames_table(avi.avi_packets(files), avi.avi_streams(files))
+    return frames.select(
+        "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
+
+
 def asf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ASF file per document, its text one media object."""
     payload = F.col("text").cast("binary")

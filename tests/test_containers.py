@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import builders as B
-from cinelake.operators.frames import reconcile_index
+from cinelake.functions.codecs import frame_type
+from cinelake.operators.frames import frames_table, reconcile_index, thumbnail_packet
 from cinelake.sources import asf, avi, media
 
 
@@ -152,3 +153,65 @@ def test_asf_fragments(spark):
         (0, 0, 1, 1, 0, 6, b"abc"), (1, 0, 1, 1, 3, 6, b"def"), (1, 2, 1, 2, 0, 2, b"gh"),
         (2, 0, 1, 3, 0, 4, b"ijkl"), (3, 0, 1, 4, 0, 4, b"mnop"), (4, 0, 1, 0, 0, 0, b"q" * 111)]
     assert asf.asf_fragments(files(spark, [data]), stream_no=None).count() == 7
+
+
+GOLDEN_I = bytes.fromhex("117bd24000019187")
+GOLDEN_P = bytes.fromhex("51ffffffffffffffff0f")
+
+
+def test_frames_of_whole_files(spark):
+    """v3 golden packets, and a WMV1 file whose P headers depend on the carried bit rate."""
+    v3 = B.avi(B.strl(fmt=B.strf(16, 16, b"DIV3")), b"".join(ch(b"00dc", p) for p in (GOLDEN_P, GOLDEN_I, GOLDEN_P, b"\x40\x00", GOLDEN_P)))
+
+    def bits(text):
+        text = text.ljust(-(-len(text) // 8) * 8, "0")
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
+
+    fast = bits("00" + "00101" + "00001" + "11001" + f"{51:011b}" + "1" + "0" + "10" + "11" + "1")
+    inter = bits("01" + "00101" + "1" + "1")  # the per-macroblock bit is set
+    wmv1 = B.avi(B.strl(fmt=B.strf(16, 16, b"WMV1")), ch(b"00dc", fast) + ch(b"00dc", inter))
+    f = files(spark, [v3, wmv1])
+    out = {(r.file_id, r.seq): r for r in frames_table(avi.avi_packets(f), avi.avi_streams(f)).collect()}
+    got = [(r.frame_type, r.status, r.gop_id, r.p_index, r.ref_seq) for (i, _), r in sorted(out.items()) if i == 0]
+    assert got == [
+        ("P", "no_reference", 0, None, None), ("I", "ok", 1, 0, None), ("P", "ok", 1, 1, 1),
+        ("P", "bad_qscale", 1, 2, 2), ("P", "ok", 1, 3, 2)]
+    assert out[0, 1].header.qscale == 8 and out[0, 1].header.rl == 2
+    assert (out[1, 0].bit_rate, out[1, 1].bit_rate) == (51 * 1024, 51 * 1024)
+    assert (out[1, 1].header.per_mb_rl, out[1, 1].status) == (1, "unsupported_per_mb_table")
+
+
+def test_thumbnails_from_files(spark):
+    movi = b"".join(ch(b"00dc", GOLDEN_I if n % 3 == 0 else GOLDEN_P) for n in range(40))
+    head = B.strl(fmt=B.strf(16, 16, b"DIV3"))
+    start = B.avi(head, movi).index(b"movi") + 4
+    at = lambda n: start + sum(8 + len(GOLDEN_I if k % 3 == 0 else GOLDEN_P) for k in range(n))
+
+    def indexed(keys, first=0):
+        """Index of every chunk, relative to the media list, with key flags where asked."""
+        entries = b"".join(
+            b"00dc" + B.le(16 if n in keys else 0, 4) + B.le(at(n) - start + first, 4) + B.le(8, 4) for n in range(40))
+        return B.avi(head, movi, tail=B.chunk(b"idx1", entries))
+
+    f = files(spark, [
+        indexed({n for n in range(40) if n % 3 == 0}, first=4),  # 14 keys: the second one
+        indexed({0, 1, 2, 4, 5, 7, 8, 10, 11, 13}),              # the target is a P frame: back to the first
+        indexed({1, 3}),                                          # the first key is no I frame: by byte fraction
+        B.avi(head, movi),                                        # no index
+        B.avi(head, ch(b"00dc", GOLDEN_I)),                       # nothing at or after the fraction but the only frame
+    ])
+    typed = avi.avi_packets(f).withColumn("frame_type", frame_type(F.lit("v3"), F.col("head")))
+    ranged = typed.join(avi.avi_streams(f).join(f.select("file_id", F.octet_length("content").alias("file_length")), "file_id")
+                        .select("file_id", "movi_start", "file_length"), "file_id")
+    got = {r.file_id: (r.rule, r.byte_offset) for r in thumbnail_packet(ranged, avi.avi_index(f)).collect()}
+    size = {r.file_id: r.file_length for r in ranged.select("file_id", "file_length").distinct().collect()}
+
+    def by_fraction(i):
+        target = start + int((size[i] - start) * 0.1)
+        return next(at(n) for n in range(0, 40, 3) if at(n) >= target)
+
+    assert got[0] == ("index", at(3))
+    assert got[1] == ("index", at(0))
+    assert got[2] == ("fraction", by_fraction(2))
+    assert got[3] == ("fraction", by_fraction(3))
+    assert got[4] == ("first", start)

@@ -201,9 +201,10 @@ def frame_header(
     known = v.isNotNull() & (is_i | is_p)
     header = F.struct(*[last.get(n, F.col(f"_{n}")).cast("int").alias(n) for n in HEADER_FIELDS])
     # A filter on a header field must not be pushed below the projections: each would be pasted into the
-    # next, and the condition would grow threefold per field. A generator stops the pushdown.
+    # next, and the condition would grow threefold per field. An outer generator stops the pushdown; a
+    # plain one would have a filter on its array's size inferred and pushed.
     one = F.array(F.when(known, header))
-    return df.select(*[F.col(f"`{c}`") for c in frames.columns], F.explode(one).alias("header"))
+    return df.select(*[F.col(f"`{c}`") for c in frames.columns], F.explode_outer(one).alias("header"))
 
 
 def frame_status(version: Column, ftype: Column, header: Column, has_reference: Column | None = None) -> Column:

@@ -207,13 +207,18 @@ def keyframe_at(index: DataFrame, fraction: float = 0.10, chunk_rows: int = CHUN
     )
 
 
+def _whole(packets: DataFrame) -> DataFrame:
+    """Packets that lie whole inside their file."""
+    return packets.filter(~F.col("truncated")) if "truncated" in packets.columns else packets
+
+
 def keyframe_from(
     packets: DataFrame, fraction: float = 0.10, max_size: int = MAX_WALKED_SIZE, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """First I packet whose chunk starts at or after a fraction of the media bytes.
 
     The media range is ``movi_start``..``file_length`` when the packets carry them, else the range
-    the packets span. A chunk over ``max_size`` ends the walk.
+    the packets span. A chunk over ``max_size`` ends the walk; a truncated packet is no candidate.
     """
     pos, size = F.col("byte_offset"), F.col("size")
     has_range = {"movi_start", "file_length"} <= set(packets.columns)
@@ -224,7 +229,7 @@ def keyframe_from(
     ranged = ordered_scan(packets, FILE, ["seq"], outputs, chunk_rows=chunk_rows)
     start = F.col("movi_start")
     target = start + ((F.col("file_length") - start) * F.lit(fraction)).cast("bigint")
-    hit = ranged.filter(
+    hit = _whole(ranged).filter(
         _intra() & (size > 0) & (pos >= target) & (F.col("_stop").isNull() | (pos < F.col("_stop")))
     )
     return _earliest(hit)
@@ -232,7 +237,7 @@ def keyframe_from(
 
 def first_keyframe(packets: DataFrame, window: int | None = None) -> DataFrame:
     """First I packet of each file, optionally only among packets inside the first ``window`` bytes."""
-    hit = packets.filter(_intra() & (F.col("size") > 0))
+    hit = _whole(packets).filter(_intra() & (F.col("size") > 0))
     if window is not None:
         hit = hit.filter(F.col("byte_offset") + CHUNK_HEADER + F.col("size") <= window)
     return _earliest(hit)
@@ -270,7 +275,7 @@ def thumbnail_packet(
                 F.struct(F.lit(False).alias("is_first"), F.col("byte_offset").alias("byte_offset")),
             )).alias("c"),
         ).select("file_id", "c.is_first", "c.byte_offset")
-        known = packets.select("file_id", "byte_offset", "frame_type").filter(_intra())
+        known = _whole(packets).filter(_intra()).select("file_id", "byte_offset")
         seen = (
             tried.join(known, ["file_id", "byte_offset"])
             .groupBy("file_id")

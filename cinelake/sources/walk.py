@@ -24,7 +24,8 @@ def walk_records(
     """Apply ``walk`` to each ``content`` value and emit its tuples next to the kept columns.
 
     ``walk`` sees one value at a time and yields tuples matching ``schema``; output leaves in small
-    Arrow batches, so a long file never sits in Python as a whole table.
+    Arrow batches, so a long file never sits in Python as a whole table. Input batches are bounded by
+    ``spark.sql.files.maxPartitionBytes`` of file content (or one larger file) when ``df`` is a file scan.
     """
     keep = list(keep)
     full = StructType([df.schema[k] for k in keep] + list(schema))

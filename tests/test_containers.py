@@ -200,6 +200,9 @@ def test_thumbnails_from_files(spark):
         B.avi(head, movi),                                        # no index
         B.avi(head, ch(b"00dc", GOLDEN_I)),                       # nothing at or after the fraction but the only frame
     ])
+    cut = files(spark, [B.avi(head, ch(b"00dc", GOLDEN_P) + ch(b"00dc", GOLDEN_I))[:-2]])
+    short = avi.avi_packets(cut).withColumn("frame_type", frame_type(F.lit("v3"), F.col("head")))
+    assert short.filter("truncated and frame_type = 'I'").count() == 1 and thumbnail_packet(short).count() == 0
     typed = avi.avi_packets(f).withColumn("frame_type", frame_type(F.lit("v3"), F.col("head")))
     ranged = typed.join(avi.avi_streams(f).join(f.select("file_id", F.octet_length("content").alias("file_length")), "file_id")
                         .select("file_id", "movi_start", "file_length"), "file_id")

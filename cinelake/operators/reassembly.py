@@ -23,6 +23,8 @@ OBJECT = ["file_id", "object_no"]
 ARRIVAL = ["packet_no", "payload_no"]
 # data packets per chunk of the narrow scans; a packet holds at most 63 payloads
 CHUNK_PACKETS = CHUNK_ROWS // 64
+# reused numbers share out a file's packets, so a piece of one number spans more of them
+PIECE_PACKETS = 1 << 18
 
 
 def _arrival() -> Column:
@@ -87,7 +89,7 @@ def _assemble(fragments: DataFrame, keys: list[str], size: Column, extra: list[C
     )
 
 
-def reassemble(fragments: DataFrame, reuse: bool = False, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
+def reassemble(fragments: DataFrame, reuse: bool = False, chunk_packets: int | None = None) -> DataFrame:
     """Complete objects: file_id, object_no, payload, size.
 
     With ``reuse`` an object number may name a new object once the previous one is complete; rows
@@ -95,8 +97,8 @@ def reassemble(fragments: DataFrame, reuse: bool = False, chunk_packets: int = C
     ``emit_payload``, the arrival that completed it, which is the output order.
     """
     if reuse:
-        return _reassemble_reused(fragments, chunk_packets)
-    status = object_status(fragments, chunk_packets)
+        return _reassemble_reused(fragments, chunk_packets or PIECE_PACKETS)
+    status = object_status(fragments, chunk_packets or CHUNK_PACKETS)
     # Only objects that do not come out exact need a rule of their own: incomplete ones are dropped
     # and over-full ones cut before any payload is shuffled.
     odd = status.filter(~F.col("complete") | F.col("cut").isNotNull()).select(
@@ -111,12 +113,12 @@ def reassemble(fragments: DataFrame, reuse: bool = False, chunk_packets: int = C
     return _assemble(kept, OBJECT, size)
 
 
-def incomplete(fragments: DataFrame, reuse: bool = False, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
+def incomplete(fragments: DataFrame, reuse: bool = False, chunk_packets: int | None = None) -> DataFrame:
     """Objects that never reached their size (or never stated one): fragments and bytes seen."""
     columns = [*OBJECT, "fragments", "bytes", "object_size"]
     if not reuse:
-        return object_status(fragments, chunk_packets).filter(~F.col("complete")).select(*columns)
-    open_ones = episodes(fragments, chunk_packets).filter(~F.col("complete"))
+        return object_status(fragments, chunk_packets or CHUNK_PACKETS).filter(~F.col("complete")).select(*columns)
+    open_ones = episodes(fragments, chunk_packets or PIECE_PACKETS).filter(~F.col("complete"))
     return open_ones.groupBy(*OBJECT, "episode").agg(
         F.count(F.lit(1)).alias("fragments"),
         F.sum("size").alias("bytes"),
@@ -196,7 +198,7 @@ def _fold_pieces(rows: DataFrame) -> DataFrame:
     return saved(ordered.mapInArrow(_fold, _FOLDED), "episodes")
 
 
-def episodes(fragments: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
+def episodes(fragments: DataFrame, chunk_packets: int = PIECE_PACKETS) -> DataFrame:
     """Which object each fragment belongs to when numbers are reused; no payloads.
 
     Where one object ends decides where the next begins, so a number's fragments are folded in

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cinelake.functions import codecs as C
 from cinelake.operators import frames as FR
 from cinelake.plans.registry import query, table
+from cinelake.session import saved
 
 # event ids count all clips together, so a clip's chunk spans many ids
 SPAN = 1 << 22
@@ -130,7 +131,8 @@ f2 AS (SELECT file_id, coalesce(target, first) AS byte_offset, 1 AS rk, 'index'
   UNION ALL SELECT file_id, byte_offset, 2, 'fraction' FROM w UNION ALL SELECT file_id, byte_offset, 3, 'first' FROM s)
 SELECT file_id, min_by(byte_offset, rk) AS byte_offset, min_by(rule, rk) AS rule FROM f2 GROUP BY file_id""")
 def thumbnail_pick(spark, sf_dir):
-    walked = FR.offsets(packets(spark, sf_dir), chunk_rows=SPAN)
+    # several rules look at the packet table, so its running offsets are written once
+    walked = saved(FR.offsets(packets(spark, sf_dir), chunk_rows=SPAN), "packets")
     flagged = (F.col("frame_type") == "I") | ((F.col("status") == "ok") & (F.col("size") > 4000))
     index = walked.filter(flagged).select(
         "file_id", F.col("seq").alias("entry_no"), F.lit("00dc").alias("chunk_id"), F.lit(16).alias("flags"),

@@ -69,3 +69,12 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         h *= MULTIPLIER
         h += words[k : n + k]
     return mix(h)
+
+
+#: Rows up to which a small table may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The written table, marked for broadcast if it is within the bound; beyond it joins shuffle."""
+    return F.broadcast(written) if written.count() <= max_rows else written

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import bpe, secrets, sharding, url_filter
+from cinelake.llm import bpe, decontamination, importance, ngram_join, secrets, sharding, substring_dedup, url_filter, vector_dedup
 from cinelake.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +112,60 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.interleave(docs, N_SHARDS, keep=("size", "text_crc32"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document after 13-word windows that an earlier document has are cut."""
+    out = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+LEAK_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM b WHERE len(w) >= 8),
+diag AS (
+  SELECT doc_id, item_id, any_value(n) AS n, i - j AS diagonal, list(j) AS js
+  FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, i - j HAVING count(*) >= 6),
+laid AS (
+  SELECT doc_id, item_id, n, diagonal, len(js) AS matched,
+    list_transform(range(1, n + 1), lambda k: list_contains(js, k)::INTEGER) AS same
+  FROM diag),
+ok AS (
+  SELECT * FROM laid
+  WHERE len(list_filter(range(1, n - 6), lambda s: len(list_filter([[0,2,4,5,6,7], [0,1,2,5,6,7], [0,1,2,4,5,7]],
+      lambda m: list_sum(list_transform(m, lambda o: same[s + o])) = 6)) > 0)) > 0
+    AND len(list_filter(range(1, n - least(n, 12) + 2), lambda s: list_sum(same[s:s + least(n, 12) - 1])
+      >= ceil(least(n, 12) * 10 / 12))) > 0)
+SELECT doc_id, item_id, arg_max(diagonal, (matched, -diagonal))::BIGINT AS diagonal, max(matched)::BIGINT AS matched,
+  any_value(n)::BIGINT AS item_words
+FROM ok GROUP BY doc_id, item_id
+"""
+
+
+@query(LEAK_SQL)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and where it lies."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling keeps."""
+    return importance.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every vector."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import bpe, decontamination, importance, ngram_join, secrets, sharding, substring_dedup, url_filter, vector_dedup
+from cinelake.llm import bpe, decontamination, importance, ngram_join, secrets, sharding, substring_dedup, url_filter, vector_dedup, warc
 from cinelake.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -169,3 +169,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate component of every vector."""
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
+@query(WARC_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC files and back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))

@@ -16,10 +16,6 @@ FOURCC_ALIASES: dict[str, list[str]] = {
     "wmv2": ["WMV2", "WMV8"],
 }
 
-# fixed values: largest payloads believed from an index and from a chunk walk
-MAX_INDEXED_SIZE = 50 * 1024 * 1024
-MAX_WALKED_SIZE = 200 * 1024 * 1024
-
 # fixed values: which of the three pattern tables a WMV2 P frame uses, by quantiser band and index
 WMV2_PATTERN_TABLE = [[0, 2, 1], [1, 0, 2], [2, 1, 0]]
 
@@ -55,8 +51,9 @@ def is_video(chunk_id: Column, stream_no: int = 0) -> Column:
     return chunk_id.isin(f"{stream_no:02d}dc", f"{stream_no:02d}db")
 
 
-def size_ok(size: Column, lo: int = 1, hi: int = MAX_INDEXED_SIZE) -> Column:
-    return size.between(lo, hi)
+def size_ok(size: Column, lo: int = 1, hi: int | None = None) -> Column:
+    """Whether a payload size is believed; without ``hi`` any size from ``lo`` is."""
+    return size >= lo if hi is None else size.between(lo, hi)
 
 
 def frame_type(version: Column, payload: Column) -> Column:
@@ -210,7 +207,8 @@ def frame_header(
 def frame_status(version: Column, ftype: Column, header: Column, has_reference: Column | None = None) -> Column:
     """Why a frame could not be decoded, or ``ok``.
 
-    v2 and v3 refuse only a zero quantiser (five bits cannot exceed 31).
+    v2 and v3 refuse only a zero quantiser (five bits cannot exceed 31). ``header_unread``: the fields
+    behind a WMV2 skip map are unknown; nothing speaks against such a frame, so it may be a reference.
     """
     status = (
         F.when(version.isNull(), "unknown_codec")
@@ -226,6 +224,7 @@ def frame_status(version: Column, ftype: Column, header: Column, has_reference:
             (version == "wmv2") & (ftype == "P") & ((header["per_mb_abt"] == 1) | (header["abt_type"] != 0)),
             "unsupported_abt",
         )
+        .when((version == "wmv2") & (ftype == "P") & (header["skip_type"] != 0), "header_unread")
         .otherwise("ok")
     )
 

@@ -6,23 +6,19 @@ repeats; ``votes`` adds a count ``n``.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cinelake.operators.lookup import lookup_join
 from cinelake.operators.scan import chunk_of
+from cinelake.session import saved
 
 TABLE = "table_id"
 KEY = [TABLE, "code"]
 # longest code whose Kraft weight is an exact 64-bit integer
 MAX_CODE_BITS = 62
-# fixed value: a code of unknown length ends at most this far before its anchor
-MAX_ANCHOR_AT = 22
 
 
 def prefixes(code: Column, whole: bool = False) -> Column:
@@ -50,7 +46,8 @@ def prefix_conflicts(codes: DataFrame) -> DataFrame:
 def kraft(codes: DataFrame) -> DataFrame:
     """Kraft sum per table as exact integers: ``numerator`` / ``denominator`` (2^longest code).
 
-    Every entry counts, repeated codes too; 1 means the code is complete.
+    Every entry counts, repeated codes too; 1 means the code is complete. A table with a code of more than
+    62 bits has no exact 64-bit sum: its three columns are null.
     """
     return audit(codes, conflicts=False).select(TABLE, "kraft_numerator", "kraft_denominator", "complete")
 
@@ -61,7 +58,8 @@ def audit(codes: DataFrame, conflicts: bool = True) -> DataFrame:
     Entries are first counted per code (partial sums before the shuffle), then per table.
     """
     length = F.length("code")
-    weight = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(MAX_CODE_BITS) - length)
+    room = F.lit(MAX_CODE_BITS) - length
+    weight = F.when(room >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), room))
     per_code = codes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     per_table = per_code.groupBy(TABLE).agg(
         F.sum("n").alias("codes"),
@@ -70,8 +68,9 @@ def audit(codes: DataFrame, conflicts: bool = True) -> DataFrame:
         F.max(length).alias("max_length"),
         F.sum(weight.cast("decimal(20,0)") * F.col("n").cast("decimal(12,0)")).alias("weight"),
     )
-    unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(MAX_CODE_BITS) - F.col("max_length"))
-    whole = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("max_length"))
+    exact = F.col("max_length") <= MAX_CODE_BITS
+    unit = F.when(exact, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(MAX_CODE_BITS) - F.col("max_length")))
+    whole = F.when(exact, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("max_length")))
     out = per_table.withColumns(
         {
             "kraft_numerator": (F.col("weight") / unit).cast("decimal(38,0)").cast("bigint"),
@@ -123,17 +122,17 @@ def prefix_lookup(df: DataFrame, col: str, codes: DataFrame, index_bits: int = 8
 
 
 def split_at_anchor(
-    obs: DataFrame, anchors: DataFrame, on: Sequence[str] = (TABLE, "anchor"), max_at: int = MAX_ANCHOR_AT
+    obs: DataFrame, anchors: DataFrame, on: Sequence[str] = (TABLE, "anchor"), max_at: int | None = None
 ) -> DataFrame:
     """Cut each ``segment`` at the first place its known anchor code (``anchor_code``) occurs.
 
-    Keeps hits at 1..``max_at``; ``code`` is the unknown text before the anchor.
+    Keeps hits from 1 on, up to ``max_at`` if given; ``code`` is the unknown text before the anchor.
     """
-    joined = lookup_join(obs, anchors.select(*on, "anchor_code"), list(on))
+    joined = lookup_join(obs, anchors.select(*on, "anchor_code"), list(on), computed=True)
     at = F.call_function("instr", F.col("segment"), F.col("anchor_code")) - 1
     return (
         joined.withColumn("anchor_at", at)
-        .filter(F.col("anchor_at").between(1, max_at))
+        .filter(F.col("anchor_at") >= 1 if max_at is None else F.col("anchor_at").between(1, max_at))
         .withColumn("code", F.substring(F.col("segment"), F.lit(1), F.col("anchor_at")))
     )
 
@@ -308,65 +307,36 @@ def gaps(df: DataFrame, col: str, bucket: int = 1 << 16) -> DataFrame:
     )
 
 
-_RESOLVED = (
-    StructType().add(TABLE, "string").add("symbol", "string").add("code", "string").add("n", "long")
-)
-
-
-def _symbol_order(symbol: str) -> tuple:
-    digits = symbol.lstrip("-").isdigit()
-    return (0, int(symbol), "") if digits else (1, 0, symbol)
-
-
-def _first_conflict(picks: dict[str, str], order: list[str]) -> tuple[str, str] | None:
-    """The first pair of symbols (in symbol order) whose codes are equal or start one another."""
-    holders: dict[str, list[int]] = {}
-    for i, s in enumerate(order):
-        holders.setdefault(picks[s], []).append(i)
-    sorted_codes = sorted(holders)
-    for i, s in enumerate(order):
-        code = picks[s]
-        rivals = [j for n in range(1, len(code) + 1) for j in holders.get(code[:n], ()) if j > i]
-        at = bisect_left(sorted_codes, code)
-        while at < len(sorted_codes) and sorted_codes[at].startswith(code):
-            rivals += [j for j in holders[sorted_codes[at]] if j > i]
-            at += 1
-        if rivals:
-            return s, order[min(rivals)]
-    return None
-
-
-def _resolve(votes: pd.DataFrame) -> pd.DataFrame:
-    """Settle one table. Each symbol works down its own list, so no code is tried twice."""
-    ballots: dict[str, list[tuple[int, int, str]]] = {}
-    for symbol, code, n in zip(votes["symbol"], votes["code"], votes["n"]):
-        ballots.setdefault(symbol, []).append((-int(n), len(code), code))
-    for choices in ballots.values():
-        choices.sort(reverse=True)
-    current = {s: c.pop() for s, c in ballots.items()}
-    while True:
-        order = sorted(current, key=_symbol_order)
-        pair = _first_conflict({s: current[s][2] for s in order}, order)
-        if pair is None:
-            break
-        first, second = pair
-        loser = first if -current[first][0] <= -current[second][0] else second
-        if ballots[loser]:
-            current[loser] = ballots[loser].pop()
-        else:
-            del current[loser]
-    rows = [(votes[TABLE].iloc[0], s, code, -n) for s, (n, _, code) in current.items()]
-    return pd.DataFrame(rows, columns=[TABLE, "symbol", "code", "n"])
-
-
 def resolve_votes(votes: DataFrame) -> DataFrame:
-    """A prefix-free pick per symbol: on a conflict the side with fewer votes (equal: the smaller
-    symbol) falls back to its next best untried code, or drops out.
+    """A prefix-free pick per symbol, strongest votes first.
+
+    A vote is kept if its symbol has no code yet and its code neither equals, starts nor extends a code kept
+    before it in its table. Votes are ranked by count; equal ones by shorter, then smaller code, then symbol. Symbols
+    whose codes all clash get none.
 
-    Conflicts are settled one after another within a table, so a table is one group; it holds one
-    row per distinct (symbol, code), however many observations were counted into ``votes``.
+    Each round keeps every vote that beats all it clashes with and drops those it rules out. That gives
+    the picks of the strict order, while rounds grow with the longest chain of clashes, not with the votes.
     """
-    typed = votes.select(
-        F.col(TABLE).cast("string").alias(TABLE), F.col("symbol").cast("string").alias("symbol"), "code", "n"
-    )
-    return typed.groupBy(TABLE).applyInPandas(_resolve, _RESOLVED)
+    ranked = votes.select(
+        TABLE, "symbol", "code", "n", F.struct((-F.col("n")).alias("m"), F.length("code").alias("l"), "code", "symbol").alias("place"))
+    left = saved(ranked, "votes")
+    kept = left.limit(0).select(TABLE, "symbol", "code", "n")
+    while not left.isEmpty():
+        by_symbol = left.groupBy(TABLE, "symbol").agg(F.min("place").alias("of_symbol"))
+        best = left.groupBy(*KEY).agg(F.min("place").alias("best"))
+        starts = best.select(*KEY, "best", F.explode(prefixes(F.col("code"), whole=True)).alias("start"))
+        longer = starts.groupBy(TABLE, F.col("start").alias("code")).agg(F.min("best").alias("of_longer"))
+        shorter = (
+            starts.select(*KEY, "start").join(best.select(TABLE, F.col("code").alias("start"), "best"), [TABLE, "start"])
+            .groupBy(*KEY).agg(F.min("best").alias("of_shorter"))
+        )
+        rivals = F.least("of_symbol", "of_longer", "of_shorter")
+        judged = left.join(by_symbol, [TABLE, "symbol"]).join(longer, KEY).join(shorter, KEY)
+        won = saved(judged.filter(F.col("place") == rivals).select(TABLE, "symbol", "code", "n"), "kept-votes")
+        kept = kept.unionByName(won)
+        starting = won.select(TABLE, F.explode(prefixes(F.col("code"), whole=True)).alias("code"))
+        extending = starts.join(won.select(TABLE, F.col("code").alias("start")), [TABLE, "start"], "left_semi").select(*KEY)
+        left = saved(
+            left.join(won.select(TABLE, "symbol"), [TABLE, "symbol"], "left_anti")
+            .join(starting.union(extending).distinct(), KEY, "left_anti"), "votes")
+    return kept

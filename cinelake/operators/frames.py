@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cinelake.functions.codecs import (
     KEYFRAME_FLAG,
-    MAX_INDEXED_SIZE,
-    MAX_WALKED_SIZE,
     frame_header,
     frame_status,
     frame_type,
@@ -51,7 +49,8 @@ def _inter() -> Column:
 
 
 def _ok() -> Column:
-    return F.col("status") == "ok"
+    """Usable as a reference: a header that could not be read to its end is no fault of the frame."""
+    return F.col("status").isin("ok", "header_unread")
 
 
 def _gop_outputs() -> dict[str, Running]:
@@ -160,17 +159,19 @@ def offsets(sizes: DataFrame, size: str = "size", chunk_rows: int = CHUNK_ROWS)
     return ordered_scan(sizes, FILE, ["seq"], out, chunk_rows=chunk_rows)
 
 
-def keyframe_at(index: DataFrame, fraction: float = 0.10, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def keyframe_at(
+    index: DataFrame, fraction: float = 0.10, chunk_rows: int = CHUNK_ROWS, max_size: int | None = None
+) -> DataFrame:
     """Key entry at a fraction of each file's key entries: the ``int(n * fraction)``-th, clamped.
 
     When ``index`` has ``frame_type``, a first entry that is not intra rejects the index (no row), and
-    a target that is not intra falls back to the first. Returns file_id, key_count, entry_no and
-    byte_offset of the first and the picked entry.
+    a target that is not intra falls back to the first. Entries over ``max_size``, if given, do not
+    count. Returns file_id, key_count, entry_no and byte_offset of the first and the picked entry.
     """
     keys = index.filter(
         is_video(F.col("chunk_id"))
         & (F.col("flags").bitwiseAND(KEYFRAME_FLAG) != 0)
-        & size_ok(F.col("size"), 1, MAX_INDEXED_SIZE)
+        & size_ok(F.col("size"), 1, max_size)
     )
     ranked = ordered_scan(
         keys,
@@ -213,25 +214,25 @@ def _whole(packets: DataFrame) -> DataFrame:
 
 
 def keyframe_from(
-    packets: DataFrame, fraction: float = 0.10, max_size: int = MAX_WALKED_SIZE, chunk_rows: int = CHUNK_ROWS
+    packets: DataFrame, fraction: float = 0.10, max_size: int | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """First I packet whose chunk starts at or after a fraction of the media bytes.
 
     The media range is ``movi_start``..``file_length`` when the packets carry them, else the range
-    the packets span. A chunk over ``max_size`` ends the walk; a truncated packet is no candidate.
+    the packets span. A chunk over ``max_size``, if given, ends the walk; a truncated packet is no candidate.
     """
     pos, size = F.col("byte_offset"), F.col("size")
     has_range = {"movi_start", "file_length"} <= set(packets.columns)
-    outputs = {"_stop": Running("total_min", F.when(size > max_size, pos))}
+    outputs = {} if max_size is None else {"_stop": Running("total_min", F.when(size > max_size, pos))}
     if not has_range:
         outputs["movi_start"] = Running("total_min", pos)
         outputs["file_length"] = Running("total_max", pos + CHUNK_HEADER + size)
-    ranged = ordered_scan(packets, FILE, ["seq"], outputs, chunk_rows=chunk_rows)
+    ranged = ordered_scan(packets, FILE, ["seq"], outputs, chunk_rows=chunk_rows) if outputs else packets
     start = F.col("movi_start")
     target = start + ((F.col("file_length") - start) * F.lit(fraction)).cast("bigint")
-    hit = _whole(ranged).filter(
-        _intra() & (size > 0) & (pos >= target) & (F.col("_stop").isNull() | (pos < F.col("_stop")))
-    )
+    hit = _whole(ranged).filter(_intra() & (size > 0) & (pos >= target))
+    if max_size is not None:
+        hit = hit.filter(F.col("_stop").isNull() | (pos < F.col("_stop")))
     return _earliest(hit)
 
 
@@ -252,7 +253,7 @@ def thumbnail_packet(
     packets: DataFrame,
     index: DataFrame | None = None,
     fraction: float = 0.10,
-    window: int | None = 512 * 1024,
+    window: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One packet per file to show: by index, else by byte fraction, else the first I packet.

@@ -1,4 +1,4 @@
-"""Joins against lookup tables: broadcast behind a size check, salted shuffle otherwise."""
+"""Joins against lookup tables: broadcast behind a size check, shuffle otherwise."""
 
 from __future__ import annotations
 
@@ -11,14 +11,15 @@ from cinelake.session import saved
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is small, by counting its rows and bytes (reading stops just past the limit)."""
+    """Whether a table is small: rows first, bytes only if those fit; every partition sends one row."""
+    n = df.agg(F.count(F.lit(1))).first()[0]
+    if n > max_rows:
+        return False
     row_bytes = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
-    return n <= max_rows and size <= max_bytes
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= max_bytes
 
 
 def lookup_join(
@@ -27,14 +28,13 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
     computed: bool = False,
 ) -> DataFrame:
     """Join many rows to a lookup table whose keys may be hot on the probe side.
 
-    A table of checked size is broadcast. A larger one is joined by shuffle, with each probe row
-    sent to one of ``salts`` copies of its key, so that no single key fills a task. A ``computed``
-    table is written out first, so that the check and the join share one computation.
+    A table of checked size is broadcast. A larger one is joined by shuffle, where adaptive execution
+    splits the probe side of a hot key over tasks, equal rows too. A ``computed`` table is written out
+    first, so that the check and the join share one computation.
     """
     on = list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -43,7 +43,4 @@ def lookup_join(
         table = saved(table, "lookup")
     if fits_broadcast(table, max_rows):
         return probe.join(F.broadcast(table), on, how)
-    everything = F.struct(*[F.col(f"`{c}`") for c in probe.columns])
-    salted = probe.withColumn("_salt", F.pmod(F.xxhash64(everything), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return probe.join(table, on, how)

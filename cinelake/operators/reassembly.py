@@ -21,6 +21,8 @@ from cinelake.session import saved
 
 OBJECT = ["file_id", "object_no"]
 ARRIVAL = ["packet_no", "payload_no"]
+# bytes of an object that picture headers need
+HEAD_BYTES = 12
 # data packets per chunk of the narrow scans; a packet holds at most 63 payloads
 CHUNK_PACKETS = CHUNK_ROWS // 64
 # reused numbers share out a file's packets, so a piece of one number spans more of them
@@ -34,34 +36,30 @@ def _arrival() -> Column:
 def object_status(fragments: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
     """Per object: bytes seen, declared size (the latest one stated), completeness, last needed fragment.
 
-    Reads no payloads; the few numbers per fragment are written out once, because the scan passes
-    over them twice and ``fragments`` may come straight from a walk through whole files. ``cut`` is null
-    unless the bytes exceed the size; fragments after it in (offset, arrival) order add nothing to the
-    object.
+    Reads no payloads; the few numbers per fragment are written out once, because ``fragments`` may come
+    straight from a walk through whole files. Totals are a plain aggregate. ``cut`` is null unless the bytes
+    exceed the size; fragments after it in (offset, arrival) order add nothing to the object. Only such
+    objects, of which a sound file has none, are scanned in order.
     """
     narrow = saved(fragments.select(*OBJECT, *ARRIVAL, "offset", "object_size", "size"), "fragment-sizes")
     order = ["offset", *ARRIVAL]
+    stated = F.when(F.col("object_size") > 0, F.struct(*ARRIVAL, F.col("object_size")))
+    totals = saved(narrow.groupBy(*OBJECT).agg(
+        F.count(F.lit(1)).alias("fragments"),
+        F.sum(F.col("size").cast("bigint")).alias("bytes"),
+        F.max(stated)["object_size"].alias("object_size"),
+        F.max(_arrival()).alias("completed"),
+    ), "objects")
+    over = totals.filter("bytes > object_size").select(*OBJECT, F.col("object_size").alias("final_size"))
     ranked = ordered_scan(
-        narrow,
+        narrow.join(over, OBJECT),
         OBJECT,
         order,
-        {
-            "start": Running("sum_before", F.col("size").cast("bigint")),
-            "total": Running("total_sum", F.col("size").cast("bigint")),
-            "stated": Running(
-                "total_max", F.when(F.col("object_size") > 0, F.struct(*ARRIVAL, F.col("object_size")))
-            ),
-        },
+        {"start": Running("sum_before", F.col("size").cast("bigint"))},
         chunk=[F.col("offset"), chunk_of("packet_no", chunk_packets)],
     )
-    needed = F.col("start") < F.col("stated.object_size")
-    return ranked.groupBy(*OBJECT).agg(
-        F.count(F.lit(1)).alias("fragments"),
-        F.max("total").alias("bytes"),
-        F.max("stated")["object_size"].alias("object_size"),
-        F.max(F.when(needed, F.struct(*order))).alias("last"),
-        F.max(_arrival()).alias("completed"),
-    ).select(
+    last = ranked.filter("start < final_size").groupBy(*OBJECT).agg(F.max(F.struct(*order)).alias("last"))
+    return totals.join(last, OBJECT, "left").select(
         *OBJECT,
         "fragments",
         "bytes",
@@ -126,6 +124,27 @@ def incomplete(fragments: DataFrame, reuse: bool = False, chunk_packets: int | N
     ).select(*columns)
 
 
+def object_packets(fragments: DataFrame, chunk_packets: int = PIECE_PACKETS) -> DataFrame:
+    """Complete objects as packets for ``frames_table``: file_id, seq, byte_offset, size, head.
+
+    ``seq`` counts objects in the order in which they are completed; numbers may be reused. Needs each
+    fragment's ``head`` (its first bytes), never a payload. An object has no one place in its file, so
+    ``byte_offset`` is null.
+    """
+    done = episodes(fragments, chunk_packets).filter("complete")
+    heads = fragments.select("file_id", *ARRIVAL, "offset", F.when(F.col("offset") < HEAD_BYTES, F.col("head")).alias("head"))
+    objects = done.join(heads, ["file_id", *ARRIVAL]).groupBy(*OBJECT, "episode").agg(
+        F.expr("listagg(head) WITHIN GROUP (ORDER BY offset, packet_no, payload_no)").alias("head"),
+        F.max("final_size").cast("int").alias("size"),
+        F.max("emit.packet_no").alias("emit_packet"), F.max("emit.payload_no").alias("emit_payload"))
+    numbered = ordered_scan(
+        objects, ["file_id"], ["emit_packet", "emit_payload"], {"seq": Running("sum_before", F.lit(1).cast("bigint"))},
+        chunk_rows=chunk_packets)
+    return numbered.select(
+        "file_id", "seq", F.lit(None).cast("bigint").alias("byte_offset"), "size",
+        F.substring("head", 1, HEAD_BYTES).alias("head"))
+
+
 @dataclass
 class Pending:
     """Bookkeeping of the object currently open under one number. Holds no payload."""

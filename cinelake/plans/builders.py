@@ -61,8 +61,18 @@ def avi_file(fourcc: Column, chunks: Column, tail: Column | None = None, width:
     return chunk("RIFF", F.concat(*parts))
 
 
-def asf_file(payload: Column, object_size: Column, step: int, fourcc: bytes, width: int = 96, height: int = 64) -> Column:
-    """An ASF file carrying one media object in fragments of ``step`` bytes, one per data packet."""
+def object_pieces(payload: Column, number: Column, step: int) -> Column:
+    """A media object cut into fragments of ``step`` bytes: number, offset, total size, body. No bytes, no fragments."""
+    total = F.octet_length(payload)
+    n = F.ceil(total / step).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(
+        number.cast("int").alias("number"), (i * step).alias("offset"), total.alias("total"),
+        F.substring(payload, i * step + 1, step).alias("body")))
+    return F.filter(cut, lambda p: p["total"] > 0)
+
+
+def asf_file(pieces: Column, step: int, fourcc: bytes, width: int = 96, height: int = 64) -> Column:
+    """An ASF file with one fragment of ``object_pieces`` per data packet."""
     from cinelake.sources import asf
 
     packet = step + 32
@@ -80,17 +90,16 @@ def asf_file(payload: Column, object_size: Column, step: int, fourcc: bytes, wid
     header_size = 30 + 104 + 24 + len(stream)
     header = F.concat(F.lit(asf.HEADER), int_le(header_size, 8), int_le(2, 4), F.lit(b"\x01\x02"), props, stream_obj)
 
-    def data_packet(i: Column) -> Column:
-        body = F.substring(payload, i * step + 1, step)
+    def data_packet(piece: Column) -> Column:
+        body = piece["body"]
         fixed = 1 + 1 + 2 + 6 + 1 + 1 + 4 + 1 + 8  # bytes before the payload
         pad = F.lit(packet - fixed) - F.octet_length(body)
         return F.concat(
             F.lit(bytes([0b00010000, 0b00011101])),  # 16-bit padding length; 1-byte object, 4-byte offset, 1-byte extra
-            le_bytes(pad, 2), F.lit(bytes(6)), F.lit(bytes([0x81, 7])), le_bytes(i * step, 4), F.lit(bytes([8])),
-            le_bytes(object_size, 4), F.lit(bytes(4)), body, F.unhex(F.repeat(F.lit("00"), pad)),
+            le_bytes(pad, 2), F.lit(bytes(6)), F.lit(bytes([0x81])), le_bytes(piece["number"], 1),
+            le_bytes(piece["offset"], 4), F.lit(bytes([8])), le_bytes(piece["total"], 4), F.lit(bytes(4)), body, F.unhex(F.repeat(F.lit("00"), pad)),
         )
 
-    n = F.ceil(F.octet_length(payload) / step).cast("int")
-    packets = F.transform(F.sequence(F.lit(0), n - 1), data_packet)
+    packets = F.transform(pieces, data_packet)
     data = F.concat(F.lit(asf.DATA), int_le(50, 8), F.lit(bytes(16)), int_le(0, 8), F.lit(bytes(2)), join_bytes(packets))
     return F.concat(header, data)

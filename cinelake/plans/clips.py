@@ -59,7 +59,7 @@ SELECT file_id, seq, CAST(gop AS BIGINT) AS gop_id, CASE WHEN gop > 0 THEN k END
   CASE WHEN NOT i AND coalesce(oki, 0) = 0 THEN 'no_reference' WHEN ok THEN 'ok' ELSE 'bad_qscale' END AS status
 FROM r""")
 def gop_frames(spark, sf_dir):
-    tracked = FR.attach_reference(FR.gops(packets(spark, sf_dir), SPAN), SPAN)
+    tracked = FR.track(packets(spark, sf_dir), SPAN)
     return tracked.select("file_id", "seq", "gop_id", "p_index", "no_rounding", "ref_seq", "status")
 
 
@@ -96,7 +96,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH k AS (SELECT user_id AS file_id, event_id AS entry_no, event_type = 'signup' AS intra,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r,
   count(*) OVER (PARTITION BY user_id) AS n FROM events
-  WHERE event_type IN ('signup', 'view') AND CAST(floor(value * 100) AS BIGINT) BETWEEN 1 AND 52428800),
+  WHERE event_type IN ('signup', 'view') AND CAST(floor(value * 100) AS BIGINT) >= 1),
 t AS (SELECT *, greatest(0, least(n - 1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT))) AS want FROM k),
 p AS (SELECT file_id, max(n) AS key_count, max(CASE WHEN r = 0 THEN entry_no END) AS fe,
   bool_or(r = 0 AND intra) AS fi, max(CASE WHEN r = want THEN entry_no END) AS te,
@@ -115,13 +115,12 @@ w AS (SELECT o.file_id, min_by(seq, byte_offset) AS seq, min(byte_offset) AS byt
 
 @query(f"WITH {_WALK} SELECT * FROM w")
 def keyframe_from(spark, sf_dir):
-    walked = FR.offsets(packets(spark, sf_dir), chunk_rows=SPAN)
+    walked = saved(FR.offsets(packets(spark, sf_dir), chunk_rows=SPAN), "packets")
     return FR.keyframe_from(walked, 0.10, chunk_rows=SPAN)
 
 
 @query(f"""WITH {_WALK},
-s AS (SELECT file_id, min(byte_offset) AS byte_offset FROM o WHERE i AND size > 0
-  AND byte_offset + 8 + size <= 524288 GROUP BY file_id),
+s AS (SELECT file_id, min(byte_offset) AS byte_offset FROM o WHERE i AND size > 0 GROUP BY file_id),
 k AS (SELECT o.*, row_number() OVER (PARTITION BY file_id ORDER BY seq) - 1 AS r,
   count(*) OVER (PARTITION BY file_id) AS n FROM o WHERE i OR (ok AND size > 4000)),
 x AS (SELECT file_id, max(CASE WHEN r = 0 AND i THEN byte_offset END) AS first,
@@ -228,7 +227,8 @@ def picture_headers(spark, sf_dir):
 @query(f"""WITH {_HEADERS} SELECT CASE WHEN v IS NULL THEN 'unknown_codec' WHEN q = 0 THEN 'bad_qscale'
   WHEN v = 'wmv2' AND i AND j = 1 THEN 'unsupported_j_frame'
   WHEN v IN ('wmv1', 'wmv2') AND NOT i AND mb = 1 THEN 'unsupported_per_mb_table'
-  WHEN v = 'wmv2' AND NOT i AND (ab = 0 OR abt_type <> 0) THEN 'unsupported_abt' ELSE 'ok' END AS status,
+  WHEN v = 'wmv2' AND NOT i AND (ab = 0 OR abt_type <> 0) THEN 'unsupported_abt'
+  WHEN v = 'wmv2' AND NOT i AND st <> 0 THEN 'header_unread' ELSE 'ok' END AS status,
   v AS version, count(*) AS frames FROM hd GROUP BY ALL""")
 def status_classes(spark, sf_dir):
     status = C.frame_status(F.col("version"), F.col("frame_type"), F.col("header"))

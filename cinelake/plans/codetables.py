@@ -158,7 +158,16 @@ def code_membership(spark, sf_dir):
     return kept.groupBy("kind", "table_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_VOTES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY n DESC, length(code), code, symbol) AS r FROM v),
+w AS (SELECT DISTINCT table_id, 0::BIGINT AS r, []::BIGINT[] AS symbols, []::VARCHAR[] AS codes, []::BIGINT[] AS counts FROM ranked
+  UNION ALL SELECT table_id, r, CASE WHEN take THEN list_append(symbols, symbol) ELSE symbols END,
+    CASE WHEN take THEN list_append(codes, code) ELSE codes END, CASE WHEN take THEN list_append(counts, n) ELSE counts END
+  FROM (SELECT w.table_id, o.r, o.symbol, o.code, o.n, w.symbols, w.codes, w.counts, NOT list_contains(w.symbols, o.symbol)
+      AND len(list_filter(w.codes, lambda c: starts_with(c, o.code) OR starts_with(o.code, c))) = 0 AS take
+    FROM w JOIN ranked o ON o.table_id = w.table_id AND o.r = w.r + 1))
+SELECT table_id, unnest(symbols) AS symbol, unnest(codes) AS code, unnest(counts) AS n
+FROM w QUALIFY r = max(r) OVER (PARTITION BY table_id)""")
 def resolve_votes(spark, sf_dir):
     return C.resolve_votes(C.count_votes(_observed(spark, sf_dir)))
 
@@ -196,7 +205,7 @@ def lcp_lcs(spark, sf_dir):
 @query("""WITH a AS (SELECT p_size % 8 AS anchor, lpad(bin(min(p_partkey)), 6, '0') AS anchor_code FROM part GROUP BY ALL),
 s AS (SELECT doc_id, n_chars % 8 AS anchor, lpad(bin(('0x' || substr(md5(text), 1, 12))::BIGINT), 48, '0') AS segment FROM documents)
 SELECT doc_id, (instr(segment, anchor_code) - 1)::INT AS anchor_at, substr(segment, 1, instr(segment, anchor_code) - 1) AS code
-FROM s JOIN a USING (anchor) WHERE instr(segment, anchor_code) - 1 BETWEEN 1 AND 22""")
+FROM s JOIN a USING (anchor) WHERE instr(segment, anchor_code) - 1 >= 1""")
 def anchor_split(spark, sf_dir):
     anchors = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 8).cast("bigint").alias("anchor")).agg(
         F.lpad(F.bin(F.min("p_partkey")), 6, "0").alias("anchor_code"))

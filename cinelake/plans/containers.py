@@ -11,11 +11,13 @@ from cinelake.operators import frames as FR
 from cinelake.operators.frames import reconcile_index
 from cinelake.plans import builders as B
 from cinelake.plans.registry import digest, query, table
+from cinelake.session import saved
 from cinelake.sources import asf, avi, media
-from cinelake.sources.tables import codes_from_text, from_base64
+from cinelake.sources.tables import codes_from_text, from_base64, from_hex
 
 LINE_CODEC = b"DIV3"
 ASF_STEP = 4096
+WMV_STEP = 256
 OBJECT_SPACING = 1 << 20
 
 
@@ -32,11 +34,14 @@ def avi_files(spark: SparkSession, sf_dir: str, with_index: bool = False) -> Dat
         return docs.select("file_id", B.avi_file(F.lit(LINE_CODEC), chunks).alias("content"))
     docs = docs.withColumn("sizes", F.transform("lines", F.octet_length))
     # every seventh size is written one too large
-    def entry(size: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice("sizes", 1, i), F.lit(4), lambda acc, n: acc + 8 + n + n % 2)
+    def entry(size: Column, before: Column) -> Column:
         return F.concat(F.lit(b"00dc"), B.int_le(16, 4), le_bytes(before, 4), le_bytes(size + (size % 7 == 0).cast("int"), 4))
 
-    index = B.chunk("idx1", B.join_bytes(F.transform("sizes", entry)))
+    # one pass that carries the offset along
+    start = F.struct(F.lit(4).alias("at"), F.array().cast("array<binary>").alias("entries"))
+    walked = F.aggregate("sizes", start, lambda acc, n: F.struct(
+        (acc["at"] + 8 + n + n % 2).alias("at"), F.array_append(acc["entries"], entry(n, acc["at"])).alias("entries")))
+    index = B.chunk("idx1", B.join_bytes(walked["entries"]))
     return docs.select("file_id", B.avi_file(F.lit(LINE_CODEC), chunks, index).alias("content"))
 
 
@@ -92,10 +97,26 @@ def file_frames(spark, sf_dir):
 
 def asf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ASF file per document, its text one media object."""
-    payload = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").filter(F.length("text") > 0).select(
-        F.col("doc_id").alias("file_id"),
-        B.asf_file(payload, F.octet_length(payload), ASF_STEP, b"WMV2").alias("content"))
+    pieces = B.object_pieces(F.col("text").cast("binary"), F.lit(7), ASF_STEP)
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_id"), B.asf_file(pieces, ASF_STEP, b"WMV2").alias("content"))
+
+
+def wmv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ASF file per document, every line a media object; numbers are one byte and come round again."""
+    pieces = F.flatten(F.transform(_lines(F.col("text")), lambda b, k: B.object_pieces(b, k % 256, WMV_STEP)))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_id"), B.asf_file(pieces, WMV_STEP, LINE_CODEC).alias("content"))
+
+
+@query(f"WITH {_FRAMES}")
+def wmv_frames(spark, sf_dir):
+    """The frames of the same lines, carried by ASF files; the walk is written once, without payloads."""
+    files = wmv_files(spark, sf_dir)
+    fragments = saved(asf.asf_fragments(files, with_payload=False), "fragments")
+    frames = FR.frames_table(R.object_packets(fragments), asf.asf_streams(files))
+    return frames.select(
+        "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
 
 
 @query("""SELECT doc_id AS file_id, 7::BIGINT AS object_no, octet_length(encode(text))::INT AS size,
@@ -106,7 +127,7 @@ def asf_round_trip(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id AS file_id, 'WMV2' AS fourcc, 'wmv2' AS version, 96 AS width, 1 AS stream_no,
-  {ASF_STEP + 32}::BIGINT AS packet_size, 'ok' AS status FROM documents WHERE text <> ''""")
+  {ASF_STEP + 32}::BIGINT AS packet_size, 'ok' AS status FROM documents""")
 def asf_headers(spark, sf_dir):
     return asf.asf_streams(asf_files(spark, sf_dir)).select(
         "file_id", "fourcc", "version", "width", "stream_no", "packet_size", "status")
@@ -137,12 +158,18 @@ def record_stream(spark, sf_dir):
     return media.length_prefixed(streams).select("file_id", "record_no", "size", digest(F.col("payload")).alias("digest"))
 
 
-@query("SELECT doc_id, octet_length(encode(text))::INT AS size, md5(hex(encode(text))) AS digest FROM documents")
+@query("""SELECT doc_id, 'base64' AS notation, octet_length(from_base64(s))::INT AS size, md5(hex(from_base64(s))) AS digest
+FROM (SELECT doc_id, md5(text) AS s FROM documents)
+UNION ALL SELECT doc_id, 'hex', octet_length(unhex(s))::INT, md5(hex(unhex(s))) FROM (SELECT doc_id, md5(text) AS s FROM documents)""")
 def packet_literals(spark, sf_dir):
-    literal = F.base64(F.col("text").cast("binary"))
-    packet = from_base64(literal)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.octet_length(packet).alias("size"), digest(packet).alias("digest"))
+    """A hash's 32 hex digits are a literal in either notation."""
+    literals = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("s"))
+
+    def decoded(notation: str, packet: Column) -> DataFrame:
+        return literals.select(
+            "doc_id", F.lit(notation).alias("notation"), F.octet_length(packet).alias("size"), digest(packet).alias("digest"))
+
+    return decoded("base64", from_base64(F.col("s"))).unionByName(decoded("hex", from_hex(F.col("s"))))
 
 
 @query("""SELECT p_partkey, bin(p_partkey) AS code, p_size::INT AS a, -p_partkey::INT AS b FROM part""")

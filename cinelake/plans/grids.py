@@ -1,4 +1,4 @@
-"""Fitting queries: embeddings on a 25-wide grid, line items as runs and levels."""
+"""Fitting queries: every embedding is a frame of 8 x 8 cells, line items are runs and levels."""
 
 from __future__ import annotations
 
@@ -9,27 +9,29 @@ from cinelake.functions import predictors as P
 from cinelake.operators import fit
 from cinelake.plans.registry import query, table
 
-WIDTH = 25
+SIDE = 8
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.col("embedding")[0].cast("double")
-    return table(spark, sf_dir, "embeddings").select(
-        F.lit("grid").alias("frame_id"), (F.col("vec_id") % WIDTH).cast("int").alias("gx"),
-        F.floor(F.col("vec_id") / WIDTH).cast("int").alias("gy"), F.floor(first * 1000).cast("int").alias("value"))
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("k", "x"))
+    return cells.select(
+        "frame_id", (F.col("k") % SIDE).cast("int").alias("gx"), F.floor(F.col("k") / SIDE).cast("int").alias("gy"),
+        F.floor(F.col("x").cast("double") * 1000).cast("int").alias("value"))
 
 
-_CELLS = f"""c AS (SELECT (vec_id % {WIDTH})::INT AS gx, (vec_id // {WIDTH})::INT AS gy,
-  floor(embedding[1]::DOUBLE * 1000)::INT AS value FROM embeddings),
+_CELLS = f"""e AS (SELECT vec_id AS frame_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+c AS (SELECT frame_id, (k % {SIDE})::INT AS gx, (k // {SIDE})::INT AS gy, floor(x::DOUBLE * 1000)::INT AS value FROM e),
 n AS (SELECT c.*, coalesce(l.value, 0) AS "left", coalesce(d.value, 0) AS topleft, coalesce(t.value, 0) AS top,
   coalesce(r.value, 0) AS topright FROM c
-  LEFT JOIN c l ON l.gx = c.gx - 1 AND l.gy = c.gy LEFT JOIN c d ON d.gx = c.gx - 1 AND d.gy = c.gy - 1
-  LEFT JOIN c t ON t.gx = c.gx AND t.gy = c.gy - 1 LEFT JOIN c r ON r.gx = c.gx + 1 AND r.gy = c.gy - 1)"""
+  LEFT JOIN c l ON l.frame_id = c.frame_id AND l.gx = c.gx - 1 AND l.gy = c.gy
+  LEFT JOIN c d ON d.frame_id = c.frame_id AND d.gx = c.gx - 1 AND d.gy = c.gy - 1
+  LEFT JOIN c t ON t.frame_id = c.frame_id AND t.gx = c.gx AND t.gy = c.gy - 1
+  LEFT JOIN c r ON r.frame_id = c.frame_id AND r.gx = c.gx + 1 AND r.gy = c.gy - 1)"""
 
 
-@query(f'WITH {_CELLS} SELECT gx, gy, value, "left", topleft, top, topright FROM n')
+@query(f'WITH {_CELLS} SELECT frame_id, gx, gy, value, "left", topleft, top, topright FROM n')
 def grid_neighbours(spark, sf_dir):
-    return fit.with_neighbours(_cells(spark, sf_dir)).drop("frame_id")
+    return fit.with_neighbours(_cells(spark, sf_dir))
 
 
 @query(f"""WITH {_CELLS}, g AS (SELECT *, abs("left" - topleft) > abs(topleft - top) AS fl FROM n),
@@ -71,7 +73,7 @@ def ols_fit(spark, sf_dir):
 
 
 @query(f"""WITH {_CELLS}, m AS (SELECT *, CASE WHEN gy = 0 THEN "left" ELSE list_sort(["left", top, topright])[2] END AS pred FROM n)
-SELECT gx, gy, pred, CASE WHEN pred <= -64 THEN pred + 64 WHEN pred >= 64 THEN pred - 64 ELSE pred END AS wrapped,
+SELECT frame_id, gx, gy, pred, CASE WHEN pred <= -64 THEN pred + 64 WHEN pred >= 64 THEN pred - 64 ELSE pred END AS wrapped,
   CASE WHEN abs("left" - topleft) >= abs(topleft - top) THEN "left" ELSE top END AS tie_left,
   (("left" > 0)::INT) AS coded_left, xor((value > 0)::INT, CASE WHEN (top > 0) <> (topleft > 0) THEN (top > 0)::INT ELSE ("left" > 0)::INT END) AS flag
 FROM m""")
@@ -80,7 +82,7 @@ def vector_prediction(spark, sf_dir):
     pred = P.mv_pred(F.col("left"), F.col("top"), F.col("topright"), F.col("gy"))
     on = {c: (F.col(c) > 0).cast("int") for c in ("value", "left", "topleft", "top")}
     return n.select(
-        "gx", "gy", pred.alias("pred"), P.wrap_mv(pred).alias("wrapped"),
+        "frame_id", "gx", "gy", pred.alias("pred"), P.wrap_mv(pred).alias("wrapped"),
         P.gradient_pred(F.col("left"), F.col("topleft"), F.col("top"), "left")["pred"].alias("tie_left"),
         on["left"].alias("coded_left"),
         P.coded_flag(on["value"], on["left"], on["topleft"], on["top"]).alias("flag"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,12 +31,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession, prefix: str) -> str:
     """A fresh folder for data that must outlive an executor.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests) is a temporary one made and set.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``, whose owner decides how long it
+    stays. Only a local session without that setting gets a temporary one, which goes when Python ends.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from cinelake.sources.avi import finish_streams
+from cinelake.sources.avi import HEAD_BYTES, finish_streams
 from cinelake.sources.walk import walk_records
 
 # fixed values: object GUIDs as stored in files
@@ -29,7 +29,7 @@ STREAM_FIELDS = """container string, stream_no int, fourcc string, avih_width in
     strf_width int, strf_height int, extradata binary, packet_size bigint, data_offset bigint, status string"""
 
 FRAGMENT_FIELDS = """packet_no bigint, payload_no int, stream_no int, keyframe boolean, object_no bigint,
-    offset bigint, object_size bigint, size int, payload binary"""
+    offset bigint, object_size bigint, size int, head binary, payload binary"""
 
 
 class Layout(NamedTuple):
@@ -163,11 +163,12 @@ def payloads(packet: bytes) -> Iterator[tuple]:
         r.at += size
 
 
-def asf_fragments(files: DataFrame, stream_no: int | None = -1) -> DataFrame:
+def asf_fragments(files: DataFrame, stream_no: int | None = -1, with_payload: bool = True) -> DataFrame:
     """Fragments of media objects in arrival order (packet_no, payload_no).
 
     ``stream_no=-1`` keeps the file's video stream, ``None`` every stream. A trailing partial packet
-    is dropped. ``size`` repeats the payload's length so that bookkeeping never reads payloads.
+    is dropped. ``size`` repeats the payload's length and ``head`` its first 12 bytes, so that bookkeeping and
+    headers need no payload; without ``with_payload`` none leaves the walk.
     """
 
     def walk(data: bytes):
@@ -180,6 +181,7 @@ def asf_fragments(files: DataFrame, stream_no: int | None = -1) -> DataFrame:
             at = layout.data_offset + n * step
             for i, (stream, key, obj, offset, total, body) in enumerate(payloads(data[at : at + step])):
                 if wanted is None or stream == wanted:
-                    yield n, i, stream, key, obj, offset, total, len(body), body
+                    yield n, i, stream, key, obj, offset, total, len(body), body[:HEAD_BYTES], body if with_payload else None
 
-    return walk_records(files, walk, StructType.fromDDL(FRAGMENT_FIELDS))
+    out = walk_records(files, walk, StructType.fromDDL(FRAGMENT_FIELDS))
+    return out if with_payload else out.drop("payload")

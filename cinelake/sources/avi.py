@@ -13,7 +13,6 @@ from cinelake.functions.codecs import version_of
 from cinelake.sources.walk import walk_records
 
 HEAD_BYTES = 12
-INDEX_TAIL = 4 << 20  # where an index is searched for when the chunk walk does not meet it
 
 STREAM_FIELDS = """container string, stream_no int, fourcc string, avih_width int, avih_height int,
     strf_width int, strf_height int, extradata binary, movi_start bigint, movi_end bigint, status string"""
@@ -186,7 +185,7 @@ def _index_blob(data: bytes):
         return
     found = next(((b, s) for name, b, s in _chunks(data, 12, len(data)) if name == b"idx1"), None)
     if found is None:  # e.g. a media list whose stated size is wrong
-        at = data.find(b"idx1", max(0, len(data) - INDEX_TAIL))
+        at = data.rfind(b"idx1")
         if at < 0 or at + 8 > len(data):
             return
         found = at + 8, _u32(data, at + 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,38 +60,21 @@ def i420_planes(
 ) -> DataFrame:
     """Lines of raw 4:2:0 pictures stored one after another; a partial last picture is dropped.
 
-    The line slices are cut before the explode, so the file's bytes are not carried into each row.
+    One pass over each file's bytes; lines leave it in small batches.
     """
     cw, ch = (width + 1) // 2, (height + 1) // 2
-    frame_bytes = width * height + 2 * cw * ch
-    lines = height + 2 * ch
-    data = F.col(content)
-    frames = F.floor(F.octet_length(data) / frame_bytes).cast("int")
-
-    def cut(n: Column) -> Column:
-        frame, line = F.floor(n / lines), n % lines
-        start = (
-            F.when(line < height, line * width)
-            .when(line < height + ch, F.lit(width * height) + (line - height) * cw)
-            .otherwise(F.lit(width * height + cw * ch) + (line - height - ch) * cw)
-        )
-        at = (frame * frame_bytes + start + 1).cast("int")
-        return F.substring(data, at, F.when(line < height, width).otherwise(cw))
-
-    cuts = F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames * lines - 1), cut))
-    rows = files.select(F.col(clip).cast("string").alias("clip_id"), F.posexplode(cuts).alias("n", "bytes"))
-    line = F.col("n") % lines
-    return rows.select(
-        "clip_id",
-        F.floor(F.col("n") / lines).cast("int").alias("frame_no"),
-        F.when(line < height, "Y").when(line < height + ch, "Cb").otherwise("Cr").alias("plane"),
-        F.when(line < height, line).when(line < height + ch, line - height).otherwise(line - height - ch)
-        .cast("int").alias("row"),
-        byte_values(F.col("bytes")).alias("samples"),
-    )
-
-
-def byte_values(data: Column) -> Column:
-    """The bytes of a BINARY value as an array of numbers."""
-    one = lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("smallint")
-    return F.transform(F.sequence(F.lit(1), F.octet_length(data)), one)
+    planes = (("Y", width, height), ("Cb", cw, ch), ("Cr", cw, ch))
+    frame_bytes = sum(w * h for _, w, h in planes)
+
+    def walk(data: bytes):
+        for frame in range(len(data) // frame_bytes):
+            at = frame * frame_bytes
+            for plane, w, h in planes:
+                lines = np.frombuffer(data, np.uint8, w * h, at).reshape(h, w)
+                at += w * h
+                for row in range(h):
+                    yield frame, plane, row, lines[row].tolist()
+
+    schema = StructType.fromDDL("frame_no int, plane string, row int, samples array<smallint>")
+    named = files.select(F.col(clip).cast("string").alias("clip_id"), F.col(content).alias("content"))
+    return walk_records(named, walk, schema, ("clip_id",))

@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# one entry of a code table in source text: "0101": {3, -2}
-TEXT_ENTRY = r'"([01]+)":\s*\{\s*(-?\d+),\s*(-?\d+)\s*\}'
+
+
+def text_entry(numbers: int = 2) -> str:
+    """Pattern of one code-table entry in source text: a quoted code, then that many integers in braces."""
+    quoted_code, integer, blank = '"([01]+)"', r"(-?\d+)", r"\s*"
+    inside = ("," + blank).join([integer] * numbers)
+    return f"{quoted_code}:{blank}\\{{{blank}{inside}{blank}\\}}"
+
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file (a file is one value): table_id (file name without suffix) and value."""
+    """One row per JSON file (a file is one value): table_id and value.
+
+    The table is that of a ``table_id=`` folder, as the sink writes it, else the file name without suffix.
+    """
+    files = spark.read.option("wholetext", "true").text(path)
+    if "table_id" in files.columns:
+        return files.select(F.col("table_id").cast("string"), "value")
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
-    return spark.read.option("wholetext", "true").text(path).select(name.alias("table_id"), "value")
+    return files.select(name.alias("table_id"), "value")
 
 
 def _checked(docs: DataFrame, schema: str) -> DataFrame:
@@ -63,8 +75,9 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def codes_from_text(df: DataFrame, text: str = "value", pattern: str = TEXT_ENTRY) -> DataFrame:
+def codes_from_text(df: DataFrame, text: str = "value", pattern: str | None = None) -> DataFrame:
     """Entries of a code table found in text: code, a, b (the three groups of ``pattern``), next to the row's other columns."""
+    pattern = pattern or text_entry()
     found = F.arrays_zip(*[
         F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i)).alias(n)
         for i, n in ((1, "code"), (2, "a"), (3, "b"))

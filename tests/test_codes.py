@@ -31,6 +31,9 @@ def test_audit(spark):
     assert (p.conflicts, p.prefix_free) == (3, False)
     # far too close to one for a float
     assert got["deep"].kraft_numerator == 2**34 + 1 and not got["deep"].complete
+    long = C.kraft(codes(spark, {"edge": ["1" * 62, "0"], "over": ["1" * 63, "0"], "far": ["1" * 64]}))
+    assert {r.table_id: (r.kraft_numerator, r.kraft_denominator, r.complete) for r in long.collect()} == {
+        "edge": (2**61 + 1, 2**62, False), "over": (None, None, None), "far": (None, None, None)}
     k = {r.table_id: r.complete for r in C.kraft(codes(spark, {"t": ["0", "10", "11"], "u": TYPES})).collect()}
     assert k["t"]
 
@@ -68,21 +71,13 @@ def test_votes(spark):
 
 
 def slow_resolve(votes):
-    """Every pair, every round."""
-    lists = {s: sorted(c.items(), key=lambda kv: (-kv[1], len(kv[0]), kv[0])) for s, c in votes.items()}
-    pick = {s: 0 for s in lists}
-    while True:
-        names = sorted(pick)
-        clash = next(((a, b) for a in names for b in names if a < b and (
-            lists[a][pick[a]][0].startswith(lists[b][pick[b]][0]) or lists[b][pick[b]][0].startswith(lists[a][pick[a]][0]))),
-            None)
-        if clash is None:
-            return {s: lists[s][i] for s, i in pick.items()}
-        a, b = clash
-        loser = a if lists[a][pick[a]][1] <= lists[b][pick[b]][1] else b
-        pick[loser] += 1
-        if pick[loser] == len(lists[loser]):
-            del pick[loser]
+    """One vote after the other, strongest first."""
+    ranked = sorted((-n, len(c), c, s) for s, codes in votes.items() for c, n in codes.items())
+    kept = {}
+    for m, _, c, s in ranked:
+        if s not in kept and not any(c.startswith(k) or k.startswith(c) for k, _ in kept.values()):
+            kept[s] = (c, -m)
+    return kept
 
 
 def test_resolve_votes(spark):
@@ -140,7 +135,9 @@ def test_anchor_and_best(spark):
     obs = spark.createDataFrame([(1, "t", 5, "0010111"), (2, "t", 5, "1110"), (3, "t", 6, "01"), (4, "t", 5, "0" * 23 + "111")],
                                 "id int, table_id string, anchor int, segment string")
     anchors = spark.createDataFrame([("t", 5, "111")], "table_id string, anchor int, anchor_code string")
-    assert [(r.id, r.code) for r in C.split_at_anchor(obs, anchors).collect()] == [(1, "0010")]
+    assert [(r.id, r.code) for r in C.split_at_anchor(obs, anchors, max_at=22).collect()] == [(1, "0010")]
+    far = sorted((r.id, len(r.code)) for r in C.split_at_anchor(obs, anchors).collect())
+    assert far == [(1, 4), (4, 23)]
     df = spark.createDataFrame([("a", 2.0, 1, "x"), ("a", 1.0, 2, "y"), ("a", 1.0, 1, "z")], "k string, e double, t int, v string")
     assert [tuple(r) for r in C.best_candidate(df, ["k"], "e", ["t"]).collect()] == [("a", 1.0, 1, "z")]
     rl = spark.createDataFrame([("t", 0, 1, 3), ("t", 0, 1, 5), ("t", 1, 0, 2)], "table_id string, last int, run int, level int")

@@ -103,6 +103,7 @@ def test_status(spark):
              "unsupported_per_mb_table"),
             ("wmv2", pack([(1, 1), (12, 5), (0, 2), (0, 1), (1, 1), (0, 1), (0, 1), (0, 1)]), True,
              "unsupported_abt"),
+            ("wmv2", pack([(1, 1), (12, 5), (2, 2), (0, 1), (1, 1), (0, 1), (0, 1), (0, 1)]), True, "header_unread"),
         ],
         "version string, head binary, has_ref boolean, want string",
     ).withColumn("frame_type", C.frame_type(F.col("version"), F.col("head")))

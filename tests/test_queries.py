@@ -8,7 +8,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare, connect  # noqa: E402
 
-NAMES = [n for n in entry.queries() if not n.startswith("stream_re")]
+from cinelake import plans  # noqa: E402
+
+NAMES = list(plans.QUERIES)
 
 
 @pytest.fixture(scope="module")

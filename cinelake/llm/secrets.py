@@ -44,13 +44,15 @@ LEAST_NAME, LEAST_SCORE, LEAST_LITERAL = 2, 5, 8
 PLACEHOLDER = re.compile(r"(?i)^(?:\W*|(.)\1*|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|none|true|false|changeme|example.*"
                          r"|placeholder|your[_-].*|password|secret|token|todo|redacted)$")
 
-NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.\-][A-Za-z0-9_]+)*"
-QUOTED = r"""[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+# Quantifiers are possessive and names start at their first letter only, so that scans are linear in the text.
+NAME = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.\-])[A-Za-z_][A-Za-z0-9_]*+(?:[.\-][A-Za-z0-9_]++)*+"
+QUOTED = r"""[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
 PAIR = re.compile(
-    rf"""(?P<name>{NAME})["']?\]?[ \t]*(?::[A-Za-z_][A-Za-z0-9_\[\]]*[ \t]*)?(?::=|=>|(?<![=!<>])=(?!=)|:)[ \t]*"""
-    rf"""(?:(?P<quoted>{QUOTED}(?:[ \t]*\+?[ \t]*\n?[ \t]*{QUOTED})*)|(?P<ref>{NAME})(?=[ \t]*(?:[;,)#\n\r]|\Z)))"""
+    rf"""(?P<name>{NAME})["']?\]?[ \t]*+(?::[A-Za-z_][A-Za-z0-9_\[\]]*+[ \t]*+(?=[:=]))?(?::=|=>|(?<![=!<>])=(?!=)|:)[ \t]*+"""
+    rf"""(?:(?P<quoted>{QUOTED}(?:[ \t]*+\+?[ \t]*+\n?[ \t]*+{QUOTED})*+)|(?P<ref>{NAME})(?=[ \t]*+(?:[;,)#\n\r]|\Z)))"""
 )
-CONFIG = re.compile(rf"^[ \t]*(?:export[ \t]+|-[ \t]+)?(?P<name>{NAME})[ \t]*[=:][ \t]*(?P<bare>[^\s\"'#;]+)[ \t]*;?\r?$", re.M)
+CONFIG = re.compile(
+    rf"^[ \t]*+(?:export[ \t]++|-[ \t]++)?(?P<name>{NAME})[ \t]*+[=:][ \t]*+(?P<bare>[^\s\"'#;]++)[ \t]*+;?\r?$", re.M)
 PIECE = re.compile(QUOTED)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 

@@ -56,7 +56,10 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, n_symbols: int, depth: int) -> None:
         order, h = text.astype(np.int64), 1
+        self.depth, self.half = depth, (order, 1)
         while h < depth:  # order of the first h symbols of every suffix, doubled
+            if h * 2 >= depth:
+                self.half = (order, h)
             following = np.zeros(len(text), np.int64)
             following[:-h or None] = order[h:] + 1
             _, order = np.unique(order * (len(text) + n_symbols + 2) + following, return_inverse=True)
@@ -65,6 +68,19 @@ class FMIndex:
         self.wavelet = WaveletMatrix(text[self.suffixes - 1], n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
 
+    def distinct(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place for each different run of ``depth`` symbols at ``places``, and which of them each place has.
+
+        A run is known by the ranks of overlapping shorter runs that cover it.
+        """
+        rank, h = self.half
+        offsets = [*range(0, self.depth - h, h), self.depth - h]
+        key = rank[places]
+        for k in offsets[1:]:
+            _, key = np.unique(key * (int(rank.max()) + 1) + rank[places + k], return_inverse=True)
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        return places[one], which
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval [lo, hi) of the suffixes that start with each row of ``patterns`` (at most ``depth`` symbols)."""
         n, width = patterns.shape

@@ -43,9 +43,20 @@ CUT = 5_000
 PIECES = 40_000
 
 
-def words_of(batch: pa.RecordBatch) -> list[list[bytes]]:
-    """Words of every text: runs of anything but the six ASCII white space characters; none for null."""
-    return [t.split() if t else [] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+#: Rows and bytes of the batches that leave a task; words of one text at a time are held.
+BATCH_ROWS = 20_000
+BATCH_BYTES = 8 << 20
+
+
+def words_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """Words of one text after the other: runs of anything but the six ASCII white space characters; none for null."""
+    for text in batch.column("text").cast(pa.binary()):
+        yield (text.as_py() or b"").split()
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -91,9 +102,34 @@ def pieces(docs: DataFrame, width: int) -> DataFrame:
     low = np.uint64((1 << REPEATED_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ms: list[int] = []
+        cs: list[int] = []
+        starts_of: list[np.ndarray] = []
+        rows_of: list[tuple[int, int]] = []
+        contents: dict[tuple[int, int], list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            none, n = len(ms), len(contents)
+            keys, values = list(contents), list(contents.values())
+            counts = [len(s) for s in starts_of]
+            of = np.repeat(np.array(rows_of, np.int64).reshape(-1, 2), counts, axis=0)
+            at = np.concatenate(starts_of) if starts_of else np.zeros(0, np.int64)
+            out = pa.RecordBatch.from_arrays([
+                signed(np.array(ms + [k[0] for k in keys], np.uint64)),
+                signed(np.array(cs + [k[1] for k in keys], np.uint64)),
+                pa.concat_arrays([pa.array(of[:, 0]), pa.nulls(n, pa.int64())]),
+                pa.concat_arrays([pa.array(of[:, 1]), pa.nulls(n, pa.int64())]),
+                pa.concat_arrays([pa.array(at, pa.int32()), pa.nulls(n, pa.int32())]),
+                pa.array([None] * none + [v[0] for v in values], pa.int64()),
+                pa.array([None] * none + [v[1] for v in values], pa.int64()),
+                pa.array([None] * none + [v[2] for v in values], pa.binary()),
+            ], names=["m", "c", "id", "t", "start", "lo", "hi", "words"])
+            for held in (contents, ms, cs, starts_of, rows_of):
+                held.clear()
+            return out
+
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("m", "c", "id", "t", "start")}
-            contents: dict[tuple[int, int], list] = {}
             for i, t, words in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), words_of(batch), strict=True):
                 least = minimizers(word_hashes(words), width)
                 at = np.flatnonzero(holds(bits.value, least & low))
@@ -101,25 +137,24 @@ def pieces(docs: DataFrame, width: int) -> DataFrame:
                     continue
                 new = np.append(True, (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]))
                 starts, ends = at[new], at[np.append(new[1:], True)] + width
-                for s, e, m in zip(starts.tolist(), ends.tolist(), least[starts].tolist(), strict=True):
+                starts_of.append(starts)
+                rows_of.append((i, t))
+                own = least[starts].tolist()
+                ms += own
+                for s, e, m in zip(starts.tolist(), ends.tolist(), own, strict=True):
                     text = b" ".join(words[s:e])
                     c = xxhash.xxh3_64_intdigest(text)
-                    for k, v in zip(columns, (m, c, i, t, s), strict=True):
-                        columns[k].append(v)
-                    known = contents.setdefault((m, c), [i, i, text])
-                    known[0], known[1] = min(known[0], i), max(known[1], i)
-            none, n = len(columns["m"]), len(contents)
-            keys = list(contents)
-            yield pa.RecordBatch.from_arrays([
-                signed(np.array(columns["m"] + [k[0] for k in keys], np.uint64)),
-                signed(np.array(columns["c"] + [k[1] for k in keys], np.uint64)),
-                pa.array(columns["id"] + [None] * n, pa.int64()),
-                pa.array(columns["t"] + [None] * n, pa.int64()),
-                pa.array(columns["start"] + [None] * n, pa.int32()),
-                pa.array([None] * none + [v[0] for v in contents.values()], pa.int64()),
-                pa.array([None] * none + [v[1] for v in contents.values()], pa.int64()),
-                pa.array([None] * none + [v[2] for v in contents.values()], pa.binary()),
-            ], names=["m", "c", "id", "t", "start", "lo", "hi", "words"])
+                    cs.append(c)
+                    known = contents.get((m, c))
+                    if known is None:
+                        contents[m, c] = [i, i, text]
+                        size += len(text)
+                    else:
+                        known[0], known[1] = min(known[0], i), max(known[1], i)
+                if size >= BATCH_BYTES or len(ms) >= 10 * BATCH_ROWS:
+                    yield flush()
+                    size = 0
+        yield flush()
 
     return docs.select("id", "t", "text").mapInArrow(
         run, "m long, c long, id long, t long, start int, lo long, hi long, words binary")
@@ -128,19 +163,23 @@ def pieces(docs: DataFrame, width: int) -> DataFrame:
 def single_windows(contents: DataFrame, width: int) -> DataFrame:
     """Every window of the contents as a piece of its own: key (m, c), least and greatest document, place in its content."""
 
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2 + [pa.int32()]
+    names = ["m", "c", "lo", "hi", "words", "of_m", "of_c", "off"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("m", "c", "lo", "hi", "words", "of_m", "of_c", "off")}
-            rows = zip(*(batch.column(k).to_pylist() for k in ("m", "c", "lo", "hi", "words")), strict=True)
-            for m, c, lo, hi, text in rows:
-                words = text.split()
-                for k in range(len(words) - width + 1):
-                    own = b" ".join(words[k : k + width])
-                    key = [xxhash.xxh3_64_intdigest(own, seed) - (1 << 63) for seed in (1, 2)]
-                    for name, v in zip(columns, (*key, lo, hi, own, m, c, k), strict=True):
-                        columns[name].append(v)
-            kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns))
+            for at in range(0, batch.num_rows, BATCH_ROWS // 8):
+                part = batch.slice(at, BATCH_ROWS // 8)
+                columns: list[list] = [[] for _ in names]
+                rows = zip(*(part.column(k).to_pylist() for k in ("m", "c", "lo", "hi", "words")), strict=True)
+                for m, c, lo, hi, text in rows:
+                    words = text.split()
+                    for k in range(len(words) - width + 1):
+                        own = b" ".join(words[k : k + width])
+                        key = [xxhash.xxh3_64_intdigest(own, seed) - (1 << 63) for seed in (1, 2)]
+                        for column, v in zip(columns, (*key, lo, hi, own, m, c, k), strict=True):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
     return contents.mapInArrow(run, "m long, c long, lo long, hi long, words binary, of_m long, of_c long, off int")
 
@@ -161,9 +200,10 @@ def search_shard(shard: pa.Table, width: int) -> pa.Table:
     offset = np.cumsum(sizes + 1) - sizes - 1
     counts = sizes - width + 1
     at = np.repeat(offset, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    lo, hi = index.search(text[at[:, None] + np.arange(width)])
+    places, which = index.distinct(at)  # a window that stands in several pieces is searched once
+    lo, hi = index.search(text[places[:, None] + np.arange(width)])
     least = np.array([v[0] for v in best.values()], np.int64)[owner]
-    firsts = least_in(least[index.suffixes], lo, hi)
+    firsts = least_in(least[index.suffixes], lo, hi)[which]
     ends = np.cumsum(counts)
     keys, out = [], []
     for (key, v), e, n in zip(best.items(), ends.tolist(), counts.tolist(), strict=True):
@@ -228,30 +268,35 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without hits are finished; only the texts of the others go on to the join."""
-        for batch in batches:
-            wait = holds(bits.value, batch.column("bit").to_numpy())
-            words = words_of(batch)
-            done = [None if w else b" ".join(x) for w, x in zip(wait.tolist(), words, strict=True)]
-            text = [b" ".join(x) if w else None for w, x in zip(wait.tolist(), words, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("t"), pa.array([len(x) for x in words], pa.int64()),
-                 pa.array(done, pa.binary()), pa.array(text, pa.binary())], names=["id", "t", "n", "done", "text"])
+        for whole in batches:
+            for batch in slices(whole):
+                wait = holds(bits.value, batch.column("bit").to_numpy()).tolist()
+                n, done, text = [], [], []
+                for w, words in zip(wait, words_of(batch), strict=True):
+                    n.append(len(words))
+                    joined = b" ".join(words)
+                    done.append(None if w else joined)
+                    text.append(joined if w else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(done, pa.binary()),
+                     pa.array(text, pa.binary())], names=["id", "t", "n", "done", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, removed = [], []
-            rows = zip(*(batch.column(k).to_pylist() for k in ("n", "done", "text", "at")), strict=True)
-            for n, done, text, at in rows:
-                if text is None or not at:
-                    left.append(done if text is None else text)
-                    removed.append(0)
-                else:
-                    words = kept(text.split(), at, width)
-                    left.append(b" ".join(words))
-                    removed.append(n - len(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n"), pa.array(removed, pa.int64()),
-                 pa.array(left, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+        for whole in batches:
+            for batch in slices(whole):
+                left, removed = [], []
+                rows = zip(*(batch.column(k).to_pylist() for k in ("n", "done", "text", "at")), strict=True)
+                for n, done, text, at in rows:
+                    if text is None or not at:
+                        left.append(done if text is None else text)
+                        removed.append(0)
+                    else:
+                        words = kept(text.split(), at, width)
+                        left.append(b" ".join(words))
+                        removed.append(n - len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("n"), pa.array(removed, pa.int64()),
+                     pa.array(left, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
     marked = docs.withColumn("bit", bit_of(F.col("id"))).mapInArrow(settle, "id long, t long, n long, done binary, text binary")
     joined = marked.join(hits, ["id", "t"], "left").select("id", "n", "done", "text", "at")

@@ -1,0 +1,230 @@
+"""Operators over pages, shards and labels, the pipeline, and the registered queries with SQL twins."""
+
+import os
+import sys
+import zlib
+from collections import Counter
+
+import pytest
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+from compare import compare, connect  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from cinelake.llm import importance, sharding, url_filter, warc  # noqa: E402
+from cinelake.llm.queries import ORACLES, QUERIES, URL_RULES  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert compare(spark, connect(sf_dir), sf_dir, name) is None
+
+
+def test_ten_operators_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+# URL filter
+
+URLS = [
+    (1, None), (2, ""), (3, "no scheme"), (4, "http://a.example.COM/en/x?y"), (5, "https://www.example.com/en/"), (6, "x://www.example.com/en"),
+    (7, "http://example.com"), (8, "http://notexample.com/en/"), (9, "http://net/fr/"), (10, "http://a.net/es/#f"), (11, "http://a.net?es/"),
+    (12, "http://x.www.example.com/en/q"), (13, "http://example.com:80/en/"), (14, "a://b://example.com/en/"), (15, "http://com/\n/en/"),
+    (16, "http://com\n/en/x"), (None, "http://example.com/en/"), (4, "http://a.example.COM/en/x?y"), (17, "http://ü.com/é"), (18, "http://.com/"),
+]
+WANT = {1: None, 2: None, 3: None, 4: "example.com/en/", 5: "www.example.com/en/", 6: "com/", 7: None, 8: "com/", 9: "net/fr/", 10: "net/es/",
+        11: None, 12: "www.example.com/en/", 13: None, 14: None, 15: "com/", 16: None, None: "example.com/en/", 17: "com/", 18: "com/"}
+
+
+def url_frame(spark, rows):
+    return spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, host string, rule string")
+
+
+def test_url_filter(spark):
+    got = url_filter.judge(url_frame(spark, URLS), URL_RULES).collect()
+    assert len(got) == len(URLS) and {r.page_id: r.rule for r in got} == WANT
+    assert all(r.verdict == ("block" if r.rule in ("example.com/en/", "net/es/", "net/fr/") else "allow") for r in got)
+    assert {r.page_id: (r.host, r.path) for r in got}[14] == ("b:", "//example.com/en/")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    joined = url_filter.judge_by_join(url_frame(spark, URLS), rules)
+    assert sorted(map(str, joined.select(*got[0].__fields__).collect())) == sorted(map(str, got))
+
+
+def test_url_filter_edges(spark):
+    assert url_filter.judge(url_frame(spark, []), URL_RULES).count() == 0
+    assert {r.verdict for r in url_filter.judge(url_frame(spark, URLS), []).collect()} == {"allow"}
+    long = "http://" + "a." * 2000 + "example.com/en/" + "x" * 50_000
+    assert url_filter.judge(url_frame(spark, [(1, long)]), URL_RULES).first().rule == "example.com/en/"
+
+
+def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s: 7)
+    about = url_filter.write_digest_array([("a", "/", "block"), ("b", "/", "allow")], str(tmp_path / "f"))
+    index = url_filter.DigestArray(str(tmp_path / "f"), about["n"])
+    found = index.find([b"a\n/", b"b\n/", b"c\n/"])
+    assert [None if j < 0 else index.string(j) for j in found.tolist()] == [b"a\n/", b"b\n/", None]
+
+
+# Sharding
+
+def test_shards_match_the_mixture(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 40}") for i in range(6000)] + [(i, None) for i in range(6000, 6300)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string"), 24).collect()
+    sizes = Counter(r.shard for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(6300)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s])) for s in range(24))
+    source = dict(rows)
+    hot = Counter(r.shard for r in got if source[r.doc_id] == "hot")
+    assert max(hot.values()) - min(hot.values()) <= 3
+    nulls = Counter(r.shard for r in got if source[r.doc_id] is None)
+    assert set(nulls.values()) <= {11, 12, 13, 14}
+
+
+def test_sharding_edges(spark, docs_of):
+    empty = docs_of([])
+    assert sharding.interleave(empty, 24).count() == 0
+    few = sharding.interleave(docs_of([(1, "a"), (1, "a"), (None, None)]), 24).collect()
+    assert len(few) == 3 and {r.slot for r in few} == {0}
+
+
+def test_crc(spark, docs_of):
+    text = "é\n" * 5000
+    rows = docs_of([(1, text), (2, None), (3, "")]).select("doc_id", sharding.text_crc32("text").alias("c"), sharding.text_size("text").alias("n"))
+    assert {r.doc_id: (r.c, r.n) for r in rows.collect()} == {1: (zlib.crc32(text.encode()), 15008), 2: (0, 8), 3: (0, 8)}
+
+
+# WARC
+
+INSIDE = warc.MAGIC + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+
+
+def page_frame(spark, rows):
+    return spark.createDataFrame([(*r, "f", 1) for r in rows], "page_id long, url string, html string, file string, offset long")
+
+
+def digest(text):
+    import base64
+    import hashlib
+
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def test_magic_in_payloads(spark):
+    rows = [(1, "http://a", INSIDE), (2, "http://b", "x" + warc.MAGIC * 2 + "y"), (3, None, None), (4, "c\r\n" + INSIDE, INSIDE * 3 + "tail"),
+            (5, "u", INSIDE), (6, "u", warc.MAGIC), (7, "u", ""), (None, "u", "q"), (8, "ü", "q"), (8, "ü", "q"), (9, "u", "é🙂" * 40_000)]
+    rows += [(100 + i, "u", f"page {i} " + warc.MAGIC * (i % 3)) for i in range(60)]
+    got = warc.round_trip(page_frame(spark, rows).repartition(3)).collect()
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = [(i, len((h or "").encode()), digest(h), *(("response", None) if i == first[h or ""] else ("revisit", first[h or ""]))) for i, _, h in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_small_payloads_are_never_revisits(spark):
+    rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]
+    got = warc.round_trip(page_frame(spark, rows), min_bytes=3).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [
+        (1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3)]
+
+
+def test_splits_and_breaks(spark, tmp_path):
+    rows = [(i, f"http://u/{i}", f"<p>{i}</p>" + (INSIDE if i % 2 else "") * 5) for i in range(300)]
+    path = str(tmp_path / "warc")
+    warc.write_archives(page_frame(spark, rows).coalesce(2), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert warc.pieces(spark, path).select("block").distinct().count() > 4
+        got = {warc_id(r): bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: h for i, _, h in rows}
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    good = next(p for p in sorted(os.listdir(path)) if p.startswith("part-"))
+    data = open(os.path.join(path, good), "rb").read()
+    (broken / "late.warc").write_bytes(b"junk" + data)
+    cut = data.index(b"Content-Length", len(data) // 2)
+    (broken / "cut.warc").write_bytes(data[:cut] + b"Content-Lengtx" + data[cut + 14 :])
+    left = warc.read_archives(spark, str(broken))
+    assert 0 < left.count() < 300 and {r.file.rsplit("/", 1)[1] for r in left.collect()} == {"cut.warc"}
+    assert warc.round_trip(page_frame(spark, [])).count() == 0
+
+
+def warc_id(r):
+    return int(r.record_id.split(":")[2].rstrip(">"))
+
+
+# Quality
+
+BAD = "buy!! cheap!! pills!! now!!".split()
+FINE = "the quiet river runs past old stone houses and under green hills toward a calm sea".split()
+
+
+def corpus(n=400):
+    import random
+
+    rng = random.Random(1)
+    return [(i, " ".join(rng.choice(BAD if i % 4 == 0 else FINE) for _ in range(rng.randint(20, 80)))) for i in range(n)]
+
+
+def label_frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_importance_sample_tells_good_from_bad(spark, docs_of):
+    labels = label_frame(spark, [(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 400) if i % 3 == 0])
+    rows = corpus() + [(1000, None), (1001, ""), (None, "the river"), (1, corpus()[1][1])]
+    kept = importance.sample(docs_of(rows), labels).collect()
+    ids = {r.doc_id for r in kept}
+    held = [i for i in range(400) if i % 3]
+    assert sum(i in ids for i in held if i % 4) > 0.97 * sum(1 for i in held if i % 4)
+    assert not any(i in ids for i in held if i % 4 == 0)
+    whole = importance.keep(docs_of(rows), labels)
+    assert whole.columns == docs_of(rows).columns
+    assert Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in kept)
+
+
+def test_importance_edges(spark, docs_of):
+    none = label_frame(spark, [])
+    assert importance.sample(docs_of([]), none).count() == 0
+    assert importance.keep(docs_of([(1, "a"), (1, "a"), (None, None)]), none).count() == 3
+    odd = label_frame(spark, [(1, None, None), (None, 1, 0), (2, 1, None), (2, 0, 0)])
+    assert importance.keep(docs_of([(1, "a"), (2, "b")]), odd).count() == 2
+
+
+def test_kth_greatest(spark):
+    values = [float(i % 50) for i in range(3000)] + [1e6, -1e6]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranked = sorted(values, reverse=True)
+    for k in (1, 2, 60, 61, 1500, 3001):
+        assert importance.kth_greatest(df, "v", k, bins=16, enough=10) == ranked[k - 1]
+    assert importance.kth_greatest(df, "v", 3002) == float("-inf") and importance.kth_greatest(df, "v", 0) == float("inf")
+
+
+# Pipeline
+
+def test_stages_keep_the_columns(spark, docs_of, sf_dir):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "bpe"]
+    text = " ".join(corpus()[1][1].split()[:18])
+    docs = docs_of([(5, text), (3, text), (3, text), (None, text), (7, None), (8, "token=abcdef12")])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    left = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id or 0 for r in left) == [0, 3, 3, 7, 8]
+    cut = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.redact(spark, docs, sf_dir).collect()}
+    assert cut[8] == ("<assign>", 8) and cut[7] == (None, None) and cut[5] == (text, len(text))
+
+
+def test_pipeline_on_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf_dir)
+    left = docs
+    for _, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, sf_dir)
+    assert sorted(map(str, got.collect())) == sorted(map(str, left.collect()))
+    assert 0.4 * docs.count() < got.count() < docs.count()

@@ -68,9 +68,9 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return rows.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """WARC files (one per partition) in the folder ``path``."""
-    records(pages, **options).write.option("lineSep", END).text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "none", **options) -> None:
+    """WARC files (one per partition) in the folder ``path``; ``gzip`` files are smaller but read by one task each."""
+    records(pages, **options).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def field(head: Column, name: str) -> Column:
@@ -79,7 +79,7 @@ def field(head: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
+def pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """What stands between the version lines of every file, in reading order (``block``, ``seq``)."""
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(
@@ -87,19 +87,23 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"), "value")
 
 
-def candidates(parts: DataFrame) -> DataFrame:
-    """Per piece: ``offset`` of its version line, ``next`` (the offset its header leads to, null without a sound header)."""
+def measured(parts: DataFrame, *more: str | Column) -> DataFrame:
+    """Place, length and header figures of every piece: a few numbers."""
     head = F.substring_index("value", END, 1)
     size = field(head, "Content-Length")
-    narrow = parts.select(
+    return parts.select(
         "file", "block", "seq", F.octet_length("value").cast("long").alias("n"), F.octet_length(head).cast("long").alias("h"),
-        F.when(size.rlike(r"^[0-9]{1,18}$"), size).cast("long").alias("size"))
+        F.when(size.rlike(r"^[0-9]{1,18}$"), size).cast("long").alias("size"), *more)
+
+
+def candidates(narrow: DataFrame) -> DataFrame:
+    """Per measured piece: ``offset`` of its version line, ``next`` (the offset its header leads to, null without a sound header)."""
     order = Window.partitionBy("file").orderBy("block", "seq")
     before = F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = narrow.withColumn("offset", before - len(MAGIC))
     sound = F.col("size").isNotNull() & (F.col("h") < F.col("n"))
     following = F.when(sound, F.col("offset") + len(MAGIC) + F.col("h") + len(END) + F.col("size") + len(END))
-    return placed.select("file", "block", "seq", "offset", following.alias("next"))
+    return placed.withColumn("next", following)
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -123,25 +127,43 @@ def reachable(found: DataFrame) -> DataFrame:
         jump = saved(jump.join(after, ["file", "to"]).select("file", "run", F.col("to2").alias("to"), F.col("entry2").alias("entry")), "jumps")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per verified record: ``file``, ``offset``, ``type``, ``record_id``, ``uri``, ``refers_to``, ``payload_digest`` (as
-    stated), ``http_bytes`` (payload length as its HTTP header states it) and ``payload`` (null for revisits).
+def parsed(text: Column) -> dict[str, Column]:
+    """Fields of a record, from its text after the version line."""
+    head = F.substring_index(text, END, 1)
+    body = F.substring(text.cast("binary"), F.octet_length(head) + len(END) + 1, field(head, "Content-Length").cast("int"))
+    http = F.substring_index(body.cast("string"), END, 1)
+    kind = field(head, "WARC-Type")
+    return {
+        "type": kind, "record_id": field(head, "WARC-Record-ID"), "uri": field(head, "WARC-Target-URI"),
+        "refers_to": field(head, "WARC-Refers-To"), "payload_digest": field(head, "WARC-Payload-Digest"),
+        "http_bytes": field(http, "Content-Length").cast("long"),
+        "payload": F.when(kind != "revisit", F.substring(body, F.octet_length(http) + len(END) + 1, F.octet_length(body))),
+    }
 
-    Records behind a break in the chain (a damaged header, a file that does not begin with a record) are left
-    out. Empty files and folders give no rows.
-    """
-    parts = saved(pieces(spark, path), "warc-pieces")
-    placed = saved(candidates(parts), "warc-candidates")
+
+def verified(placed: DataFrame) -> DataFrame:
+    """``file``, ``offset``, ``next`` of the candidates that the first byte of their file reaches."""
     order = Window.partitionBy("file").orderBy("offset")
-    real = placed.filter("offset >= 0 AND next IS NOT NULL")
+    real = placed.filter("offset >= 0 AND next IS NOT NULL").select("file", "offset", "next")
     linked = F.coalesce(F.lag("next").over(order) == F.col("offset"), F.lit(False))
     numbered = real.withColumn("new", (~linked).cast("int")).withColumn("run", F.sum("new").over(order)).drop("new")
     numbered = saved(numbered, "warc-runs")
     reach = reachable(numbered)
-    true = numbered.join(reach, ["file", "run"]).filter("offset >= entry").select("file", "offset", "next")
+    return numbered.join(reach, ["file", "run"]).filter("offset >= entry").select("file", "offset", "next")
 
+
+def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per verified record: ``file``, ``offset``, ``type``, ``record_id``, ``uri``, ``refers_to``, ``payload_digest`` (as
+    stated), ``http_bytes`` (payload length as its HTTP header states it) and ``payload`` (null for revisits).
+
+    Records behind a break in the chain (a damaged header, a file that does not begin with a record) are left
+    out. Empty files and folders give no rows.
+    """
+    parts = saved(pieces(spark, path), "warc-pieces")
+    placed = saved(candidates(measured(parts)), "warc-candidates")
+    true = verified(placed)
     # pieces of a record: its own and the false candidates behind it, up to its end
-    marked = placed.join(true.withColumnRenamed("next", "end"), ["file", "offset"], "left")
+    marked = placed.select("file", "block", "seq", "offset").join(true.withColumnRenamed("next", "end"), ["file", "offset"], "left")
     back = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumns({
         "record": F.last(F.when(F.col("end").isNotNull(), F.col("offset")), True).over(back), "until": F.last("end", True).over(back)})
@@ -149,17 +171,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = parts.join(marked, ["file", "block", "seq"]).groupBy("file", "record").agg(
         F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
-    rows = whole.select("file", "record", text.alias("text")).withColumn("head", F.substring_index("text", END, 1))
-    body = F.substring(F.col("text").cast("binary"), F.octet_length("head") + len(END) + 1, field(F.col("head"), "Content-Length").cast("int"))
-    rows = rows.withColumn("body", body).withColumn("http", F.substring_index(F.col("body").cast("string"), END, 1))
-    kind = field(F.col("head"), "WARC-Type")
-    payload = F.substring(F.col("body"), F.octet_length("http") + len(END) + 1, F.octet_length("body"))
-    return rows.select(
-        "file", F.col("record").alias("offset"), kind.alias("type"), field(F.col("head"), "WARC-Record-ID").alias("record_id"),
-        field(F.col("head"), "WARC-Target-URI").alias("uri"), field(F.col("head"), "WARC-Refers-To").alias("refers_to"),
-        field(F.col("head"), "WARC-Payload-Digest").alias("payload_digest"),
-        field(F.col("http"), "Content-Length").cast("long").alias("http_bytes"),
-        F.when(kind != "revisit", payload).alias("payload"))
+    rows = whole.select("file", F.col("record").alias("offset"), text.alias("text"))
+    return rows.select("file", "offset", *[c.alias(k) for k, c in parsed(F.col("text")).items()])
+
+
+def summaries() -> dict[str, Column]:
+    """Payload length and digest in place of the payload: of a response as read, of a revisit as it states them."""
+    return {
+        "payload_bytes": F.coalesce(F.octet_length("payload").cast("long"), F.col("http_bytes")),
+        "payload_digest": F.coalesce(base32_sha1(F.col("payload")), F.regexp_replace("payload_digest", "^sha1:", "")),
+    }
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """``read_archives`` with ``payload_bytes`` and ``payload_digest`` as read instead of payloads.
+
+    Every piece is summed up where it is read, as if it were a record. In a file whose candidates all turn out to
+    be records that is the result, and no text is ever written or moved; only files with a false candidate are read again whole.
+    """
+    fields = parsed(F.col("value"))
+    read = pieces(spark, path).withColumns(fields)
+    kept = [k for k in fields if k not in ("payload", "payload_digest")]
+    placed = saved(candidates(measured(read, *kept, *[c.alias(k) for k, c in summaries().items()])), "warc-summaries")
+    true = saved(verified(placed), "warc-records")
+    # a file begins with one empty piece; any other piece has to be a record
+    counts = placed.groupBy("file").agg(F.sum(((F.col("offset") >= 0) | (F.col("n") > 0)).cast("long")).alias("pieces"))
+    sound = counts.join(true.groupBy("file").agg(F.count("*").alias("records")), "file", "left")
+    sound = saved(sound.select("file", (F.coalesce("records", F.lit(0)) == F.col("pieces")).alias("sound")), "warc-files")
+    columns = ["file", "offset", *kept, "payload_bytes", "payload_digest"]
+    good = placed.join(true.select("file", "offset"), ["file", "offset"]).join(sound.filter("sound").select("file"), "file")
+    again = [r[0] for r in sound.filter("NOT sound").select("file").collect()]  # file names, as the reader takes them
+    if not again:
+        return good.select(*columns)
+    whole = read_archives(spark, again).withColumns(summaries())
+    return good.select(*columns).unionByName(whole.select(*columns))
 
 
 def page_number(urn: Column) -> Column:
@@ -168,16 +213,13 @@ def page_number(urn: Column) -> Column:
     return F.when(number != "", number).cast("long")
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
+def round_trip(pages: DataFrame, compression: str = "gzip", **options) -> DataFrame:
     """Write the pages as WARC files into the shared folder and read them back: a row per record.
 
     Lengths and digests of responses are those of the payloads read; revisits state those of the response they refer to.
     """
     path = shared_dir(pages.sparkSession, "warc")
-    write_archives(pages, path, **options)
-    got = read_archives(pages.sparkSession, path)
-    return got.select(
-        page_number(F.col("record_id")).alias("page_id"),
-        F.coalesce(F.octet_length("payload"), "http_bytes").cast("long").alias("payload_bytes"),
-        F.coalesce(base32_sha1(F.col("payload")), F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        F.col("type").alias("record_type"), page_number(F.col("refers_to")).alias("refers_to"))
+    write_archives(pages, path, compression=compression, **options)
+    return read_summaries(pages.sparkSession, path).select(
+        page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        page_number(F.col("refers_to")).alias("refers_to"))

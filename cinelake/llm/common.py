@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,15 @@ BROADCAST_ROWS = 500_000
 def small_side(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The written table, marked for broadcast if it is within the bound; beyond it joins shuffle."""
     return F.broadcast(written) if written.count() <= max_rows else written
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Actions inside hand Python workers batches of so many rows; the session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

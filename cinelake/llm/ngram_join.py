@@ -12,7 +12,8 @@ growing with the square of a group of near copies:
 2. Rest: only shingles whose groups still lie in different components are joined in full, and only across
    components, with length and position filters.
 
-Both candidate lists are expanded to classes and verified on the whole shingle sets, so the result is exact
+Both candidate lists are expanded to classes, thinned out by parity signatures (which differ in no more bits than the
+sets in shingles, so no link is lost), and verified on the whole shingle sets, so the result is exact
 (up to 64-bit hashes of shingles and sets). Only the order of the shingles uses counts, and any order gives the same result:
 the table of frequent shingles is bounded and merely saves time.
 
@@ -30,15 +31,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import mix, window_hashes, word_hashes
+from cinelake.llm.common import mix, small_batches, window_hashes, word_hashes
 from cinelake.llm.components import bit_of, bitmap, components, holds
 from cinelake.session import saved
 
 #: A shingle's documents within one chunk of a task that make it worth counting.
 LOCAL_COUNT = 3
 #: Shingles per counted chunk, and entries in the table of frequent ones (4 MB).
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 FREQUENT = 1 << 18
+#: Least bits of the parity signature of a set; larger sets have the power of two above 1.2 bits a shingle.
+SIGNATURE_BITS = 1024
+#: Groups a task remembers, so that it sends each prefix once.
+REMEMBERED = 500_000
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -49,6 +54,14 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(window_hashes(words, width))
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the shingles per bucket. Sets that differ in d shingles have signatures that differ in d bits at most,
+    and so have the halves of a signature laid on each other."""
+    bits = max(SIGNATURE_BITS, 1 << (len(tokens) * 6 // 5).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_hash(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
@@ -57,8 +70,10 @@ def signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+def texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The texts of a batch, one at a time."""
+    for text in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()):
+        yield text.as_py()
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +112,18 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Per row: id, set size ``n``, class ``c``, group ``g``, prefix and how much of it is rare."""
+    """Per row: id, set size ``n``, class ``c``, group ``g``, how much of its prefix is rare, the prefix, and the signature.
+
+    A task gives the prefix of a group once (null afterwards), so copies hardly add entries.
+    """
     frequent, counts = frequent_shingles(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
-            n, c, g, rare, rows = [], [], [], [], []
+            n, c, g, rare, rows, marks = [], [], [], [], [], []
             for text in texts(batch):
                 tokens = shingles(text, width)
                 size = len(tokens)
@@ -121,20 +140,23 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 else:
                     ordered, k = tokens, size
                 prefix = ordered[:length]
+                key = (size, set_hash(prefix))
                 n.append(size)
                 c.append(set_hash(tokens))
-                g.append(set_hash(prefix))
+                g.append(key[1])
                 rare.append(min(k, length))
-                rows.append(prefix.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+                marks.append(signature(tokens))
+                rows.append(None if key in sent else prefix.copy().view(np.int64))
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(key)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), signed(c), signed(g), pa.array(rare, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["id", "n", "c", "g", "rare", "prefix"])
+                 pa.array(rows, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                names=["id", "n", "c", "g", "rare", "prefix", "mark"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, c long, g long, rare int, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, c long, g long, rare int, prefix array<long>, mark array<long>")
 
 
 def needed_overlap(a: Column, b: Column, num: int, den: int) -> Column:
@@ -151,6 +173,27 @@ def possible(n1: str, p1: str, n2: str, p2: str, num: int, den: int) -> Column:
     )
 
 
+def needed_in_prefixes(a: Column, b: Column, num: int, den: int) -> Column:
+    """Least number of common prefix shingles of such sets: of the set whose prefix ends first, what lies behind it
+    can add no more than its own length."""
+    behind = F.ceil(F.greatest(a, b) * num / den) - 1
+    return F.greatest(F.lit(1), needed_overlap(a, b, num, den) - behind)
+
+
+def near_marks(num: int, den: int) -> Column:
+    """Whether the signatures ``mark1`` and ``mark2`` leave it open that sets of sizes ``n1`` and ``n2`` reach the threshold."""
+
+    def folded(mark: str, other: str) -> Column:
+        half = (F.size(mark) / 2).cast("int")
+        twice = F.zip_with(F.slice(mark, F.lit(1), half), F.slice(mark, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(mark) > F.size(other), twice).otherwise(F.col(mark))
+
+    one, two = folded("mark1", "mark2"), folded("mark2", "mark1")
+    apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    allowed = F.col("n1") + F.col("n2") - 2 * needed_overlap(F.col("n1"), F.col("n2"), num, den)
+    return (F.size(one) != F.size(two)) | (apart <= allowed)
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id``, ``n``, ``c`` and the whole set (packed) of the rows whose id may be among ``ids``."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bit_of(F.col("id"))))
@@ -173,8 +216,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("s1"), batch.column("s2"), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int(np.count_nonzero(v[at] == u))
                 keep.append(den * both >= num * (len(u) + len(v) - both))
@@ -195,38 +238,50 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     are expected to be unique: rows that repeat an id are linked each by its own text. A null id links with nothing and has a null
     component. An empty table gives an empty one; columns other than the two named are left out.
     """
+    with small_batches(docs.sparkSession):  # sets are large, and every Python step is an action in here
+        return _similar(docs, id_col, text_col, width, num, den)
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     p = saved(prefixes(docs, width, num, den), "prefixes")
     usable = p.filter("n > 0 AND id IS NOT NULL")
-    classes = saved(usable.groupBy("n", "c").agg(F.min("id").alias("node"), F.first("g").alias("g")), "classes")
+    classes = saved(usable.groupBy("n", "c").agg(
+        F.min("id").alias("node"), F.first("g").alias("g"), F.first("mark").alias("mark")), "classes")
 
     # prefix shingles that two groups or more share, with their pivot
-    groups = usable.groupBy("n", "g").agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
-    entries = groups.select("n", "g", "rare", F.posexplode("prefix").alias("pos", "token"))
-    place = F.struct("pos", "n", "g")
+    entries = usable.select("n", "g", "rare", F.posexplode("prefix").alias("pos", "token"))
+    place, group = F.struct("pos", "n", "g"), F.struct("g", "n")
+    columns = ["token", "pos", "n", "g"]
     by_token = Window.partitionBy("token")
-    rare = entries.filter("pos < rare").withColumn("pivot", F.min(place).over(by_token)).withColumn(
-        "shared", F.count("*").over(by_token) > 1).filter("shared").select("token", "pos", "n", "g", "pivot")
-    often = entries.filter("pos >= rare").select("token", "pos", "n", "g")
-    pivots = often.groupBy("token").agg(F.min(place).alias("pivot"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    often = often.join(pivots, "token")
-    shared = saved(rare.unionByName(often), "shared-prefixes")
+    rare = (
+        entries.filter("pos < rare").select(*columns)
+        .withColumns({"pivot": F.min(place).over(by_token), "lo": F.min(group).over(by_token), "hi": F.max(group).over(by_token)})
+        .filter("lo <> hi").drop("lo", "hi")
+    )
+    often = entries.filter("pos >= rare").select(*columns)
+    pivots = often.groupBy("token").agg(
+        F.min(place).alias("pivot"), F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    shared = saved(rare.unionByName(often.join(pivots, "token")), "shared-prefixes")
 
     # 1. star candidates: groups with their pivots, classes with the first class of their group
-    first = classes.groupBy("n", "g").agg(F.min(F.struct("c", "node")).alias("first"))
+    first = classes.groupBy("n", "g").agg(F.min(F.struct("c", "node", "mark")).alias("first"))
     star = (
         shared.select("pos", "n", "g", F.col("pivot.pos").alias("ppos"), F.col("pivot.n").alias("pn"), F.col("pivot.g").alias("pg"))
-        .filter("n <> pn OR g <> pg").filter(possible("n", "pos", "pn", "ppos", num, den))
-        .select("n", "g", "pn", "pg").distinct()
+        .filter("n <> pn OR g <> pg").groupBy("n", "g", "pn", "pg")
+        .agg(F.count("*").alias("k"), F.bool_or(possible("n", "pos", "pn", "ppos", num, den)).alias("can"))
+        .filter(F.col("can") & (F.col("k") >= needed_in_prefixes(F.col("n"), F.col("pn"), num, den)))
         .join(first.select(F.col("n").alias("pn"), F.col("g").alias("pg"), "first"), ["pn", "pg"])
         .join(classes, ["n", "g"])
         .select(F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("node").alias("a"),
-                F.col("pn").alias("n2"), F.col("first.c").alias("c2"), F.col("first.node").alias("b"))
+                F.col("pn").alias("n2"), F.col("first.c").alias("c2"), F.col("first.node").alias("b"),
+                F.col("mark").alias("mark1"), F.col("first.mark").alias("mark2"))
     )
     within = classes.join(first, ["n", "g"]).filter("c <> first.c").select(
         F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("node").alias("a"),
-        F.col("n").alias("n2"), F.col("first.c").alias("c2"), F.col("first.node").alias("b"))
-    star = saved(star.union(within), "star-pairs")
+        F.col("n").alias("n2"), F.col("first.c").alias("c2"), F.col("first.node").alias("b"),
+        F.col("mark").alias("mark1"), F.col("first.mark").alias("mark2"))
+    star = saved(star.union(within).filter(near_marks(num, den)).drop("mark1", "mark2"), "star-pairs")
     sets = saved(shingle_sets(docs, star.select(F.explode(F.array("a", "b")).alias("id")), width), "shingle-sets")
     links = saved(verified(star, sets, num, den), "star-links")
     found = saved(components(links), "star-components")
@@ -237,7 +292,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     labelled = saved(labelled, "labelled-classes")
     spread = shared.select("token", "pos", "n", "g").join(labelled, ["n", "g"])
     open_tokens = spread.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rest = saved(spread.join(open_tokens, "token"), "open-prefixes")
+    rest = saved(spread.join(open_tokens, "token").dropDuplicates(["token", "n", "c"]), "open-prefixes")
     left = rest.select("token", *[F.col(c).alias(f"{c}1") for c in ("n", "c", "node", "comp", "pos")])
     right = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "c", "node", "comp", "pos")])
     across = left.join(right, "token").filter("comp1 < comp2").filter(possible("n1", "pos1", "n2", "pos2", num, den))
@@ -247,7 +302,10 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     more = across.select(*columns).union(inside.select(*columns)).distinct()
     done = star.select("n1", "c1", "n2", "c2")
     done = done.union(star.select("n2", "c2", "n1", "c1"))
-    more = saved(more.join(done, ["n1", "c1", "n2", "c2"], "left_anti"), "more-pairs")
+    more = more.join(done, ["n1", "c1", "n2", "c2"], "left_anti")
+    for k in (1, 2):
+        more = more.join(classes.select(*[F.col(c).alias(f"{c}{k}") for c in ("n", "c", "mark")]), [f"n{k}", f"c{k}"])
+    more = saved(more.filter(near_marks(num, den)).select("n1", "c1", "n2", "c2", "a", "b"), "more-pairs")
     if not more.isEmpty():
         ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = saved(shingle_sets(docs, ids, width), "more-sets")

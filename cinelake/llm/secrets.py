@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +54,7 @@ PAIR = re.compile(
     rf"""(?:(?P<quoted>{QUOTED}(?:[ \t]*+\+?[ \t]*+\n?[ \t]*+{QUOTED})*+)|(?P<ref>{NAME})(?=[ \t]*+(?:[;,)#\n\r]|\Z)))"""
 )
 CONFIG = re.compile(
-    rf"^[ \t]*+(?:export[ \t]++|-[ \t]++)?(?P<name>{NAME})[ \t]*+[=:][ \t]*+(?P<bare>[^\s\"'#;]++)[ \t]*+;?\r?$", re.M)
+    rf"^[ \t]*+(?:export[ \t]++|-[ \t]++)?(?P<name>{NAME})[ \t]*+[=:][ \t]*+(?P<bare>[^\s\"'#;][^\s\"';]*+)[ \t]*+;?\r?$", re.M)
 PIECE = re.compile(QUOTED)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -95,8 +97,8 @@ def literal_score(s: str) -> int:
     return (classes >= 2) + (classes >= 3) + (len(s) >= 16) + (entropy >= 2.5) + (entropy >= 3.5)
 
 
-def lexed_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name and look like secrets."""
+def lexed_spans(text: str, assigned: list[Span]) -> list[Span]:
+    """Literals that reach a sensitive name and look like secrets, and words in which one of the ``assigned`` spans ends."""
     if not any(c in text for c in ":="):
         return []
     defined: dict[str, list[Span]] = {}
@@ -108,7 +110,13 @@ def lexed_spans(text: str) -> list[Span]:
             refers.setdefault(m["name"], set()).add(m["ref"])
     for m in CONFIG.finditer(text):
         defined.setdefault(m["name"], []).append(m.span("bare"))
-    found: set[Span] = set()
+    ends = [e for _, e in assigned]
+
+    def entered(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k < len(ends) and assigned[k][0] < a and ends[k] < b and not any(map(str.isspace, text[a:b]))
+
+    found = {s for spans in defined.values() for s in spans if entered(*s)}
     for target in defined.keys() | refers.keys():
         weight = name_weight(target)
         if weight < LEAST_NAME:
@@ -124,11 +132,14 @@ def lexed_spans(text: str) -> list[Span]:
 
 
 def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind; a literal that a base span touches is left to that span."""
+    """All spans by start, then kind; a literal that lies in one base span is left to that span."""
     if not text:
         return []
     base = base_spans(text)
-    spans = base + [("literal", a, b) for a, b in lexed_spans(text) if not any(a < e and s < b for _, s, e in base)]
+    by_start = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in by_start], [0, *accumulate((e for _, e in by_start), max)]
+    lexed = lexed_spans(text, [(s, e) for k, s, e in base if k == "assign"])
+    spans = base + [("literal", a, b) for a, b in lexed if reach[bisect_right(starts, a)] < b]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -99,6 +99,21 @@ def test_lexer_leaves_harmless_text_alone():
         assert literal(text) == []
 
 
+@pytest.mark.parametrize("value", ["Tr0ub4dor&3xyz", "abcdef!", "s3cret.v4lue@host#9$", "abcdefgh^", "0123456789abcdef01234567!Zq"])
+@pytest.mark.parametrize("around", ['password: "%s"', '{"api_key": "%s", "n": 1}', "TOKEN='%s' + x"])
+def test_a_value_goes_to_its_end(value, around):
+    text = around % value
+    assert value[-2:] not in secrets.redact(text)
+    assert any(e == text.index(value) + len(value) for _, _, e in secrets.secret_spans(text))
+
+
+def test_a_value_without_quotes_goes_to_its_end():
+    assert secrets.redact("a\npassword=Tr0ub4dor&3xyz\nb") == "a\n<assign>\nb"
+    assert secrets.redact("a\nsecret: abcdef#9xyz\r\nb") == "a\n<assign>\r\nb"
+    assert secrets.redact('url = "http://h/?token=abcdef&user=bob"') == 'url = "http://h/?<assign>&user=bob"'
+    assert literal('password = "24be64439e3e49cf46b2d7c9"') == []
+
+
 @pytest.mark.parametrize("unit", ["x", "a-", "a.", " ", "a=", 'a="', "a='b' ", "a: ", '"', "password ", "a:=b\n", "\t\n", "=", 'p="q"+ '])
 def test_lexing_takes_linear_time(unit):
     import time

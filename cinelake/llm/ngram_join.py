@@ -114,7 +114,8 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Per row: id, set size ``n``, class ``c``, group ``g``, how much of its prefix is rare, the prefix, and the signature.
 
-    A task gives the prefix of a group once (null afterwards), so copies hardly add entries.
+    A task gives the prefix of a group once (null afterwards), so copies hardly add entries. Rows with a null id, which
+    the join leaves out, give none.
     """
     frequent, counts = frequent_shingles(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
@@ -124,7 +125,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         sent: set[tuple[int, int]] = set()
         for batch in batches:
             n, c, g, rare, rows, marks = [], [], [], [], [], []
-            for text in texts(batch):
+            for unnamed, text in zip(batch.column(0).is_null().to_pylist(), texts(batch), strict=True):
                 tokens = shingles(text, width)
                 size = len(tokens)
                 length = size - -(-num * size // den) + 1 if size else 0
@@ -146,7 +147,9 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 g.append(key[1])
                 rare.append(min(k, length))
                 marks.append(signature(tokens))
-                rows.append(None if key in sent else prefix.copy().view(np.int64))
+                rows.append(None if unnamed or key in sent else prefix.copy().view(np.int64))
+                if unnamed:
+                    continue
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(key)

@@ -109,6 +109,19 @@ def test_ngram_join_edges(docs_of):
     assert ngram_join.similar(docs_of([])).count() == 0
 
 
+def test_a_null_id_takes_no_prefix(docs_of):
+    rng = random.Random(8)
+    rows, want = [], []
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        near = list(words)
+        near[30] = "other"
+        rows += [(None, " ".join(words)), (10 * k + 5, " ".join(words)), (10 * k + 9, " ".join(near))]
+        want += [(10 * k + 5, 56, 10 * k + 5), (10 * k + 9, 56, 10 * k + 5)]
+    got = ngram_join.similar(docs_of(rows).coalesce(1)).filter("doc_id IS NOT NULL").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_ngram_query_on_the_table(spark, sf_dir, sample_docs):
     sizes, component = similar_components(sample_docs)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op10_ngram_join"](spark, sf_dir).collect()}

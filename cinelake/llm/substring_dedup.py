@@ -11,7 +11,7 @@ place of every window, and with it the least document that has it.
    become a bitmap of fixed size; windows whose minimizer is not in it are unique and stay out.
 2. Pieces of the remaining windows: contents (once per batch, with least and greatest document) and occurrences.
 3. A minimizer with very many contents (a passage in a third of all documents, in ever other surroundings)
-   would overfill a shard: its contents are cut into single windows, which are routed by their own hash.
+   would overfill a shard: its contents are cut into single windows, combined, and routed by their own hash.
 4. Per shard: index, backward search of all windows, least document per window.
 5. Back to the occurrences, to positions per document, and to the texts of the documents concerned.
 
@@ -217,18 +217,27 @@ def search_shard(shard: pa.Table, width: int) -> pa.Table:
     })
 
 
+def combined(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key with the least and greatest document."""
+    return rows.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("words").alias("words"))
+
+
 def duplicate_windows(docs: DataFrame, width: int) -> DataFrame:
     """``id``, ``t`` and ``at``: starts of the windows that also start in a document with a smaller id."""
     found = saved(pieces(docs.filter("id IS NOT NULL"), width), "pieces")
     contents = found.filter("start IS NULL").select("m", "c", "lo", "hi", "words")
-    per_minimizer = contents.groupBy("m").agg(F.count_distinct("c").alias("n"))
+    per_minimizer = saved(contents.groupBy("m").agg(F.count_distinct("c").alias("n")), "per-minimizer")
     hot = saved(per_minimizer.filter(F.col("n") > CUT).select("m"), "hot-minimizers")
     columns = ["m", "c", "lo", "hi", "words"]
     windows = saved(single_windows(contents.join(hot, "m", "left_semi"), width), "single-windows")
-    indexed = contents.join(hot, "m", "left_anti").select(columns).union(windows.select(columns))
-    n_shards = 1 + (contents.count() + windows.count()) // PIECES
-    sharded = indexed.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(n_shards)))
-    firsts = saved(sharded.groupBy("shard").applyInArrow(
+    # a hot window stands in very many contents: one row before it goes to its shard
+    single = saved(combined(windows.select(columns), "m", "c"), "combined-windows")
+    whole_ones = per_minimizer.filter(F.col("n") <= CUT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_shards = 1 + (whole_ones + single.count()) // PIECES
+    indexed = contents.join(hot, "m", "left_anti").select(columns).union(single)
+    sharded = indexed.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(n_shards))).repartition("shard")
+    # contents repeated by many batches become one where their shard is, still as rows that can be spilled
+    firsts = saved(combined(sharded, "shard", "m", "c").groupBy("shard").applyInArrow(
         lambda shard: search_shard(shard, width), "m long, c long, firsts array<long>"), "firsts")
     # single windows back to the contents they were cut from
     cut = (

@@ -82,6 +82,24 @@ def test_substring_dedup(spark, docs_of, family, monkeypatch, cut):
     assert sum(w[2] for w in want) > 500
 
 
+@pytest.mark.parametrize("cut", [5_000, 1])
+def test_a_shard_gets_each_piece_once(docs_of, monkeypatch, cut):
+    search = substring_dedup.search_shard
+
+    def once(shard, width):
+        keys = list(zip(shard.column("m").to_pylist(), shard.column("c").to_pylist(), strict=True))
+        assert len(keys) == len(set(keys))
+        return search(shard, width)
+
+    monkeypatch.setattr(substring_dedup, "CUT", cut)
+    monkeypatch.setattr(substring_dedup, "search_shard", once)
+    rng = random.Random(6)
+    passage = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(40)] + [(100 + i, passage) for i in range(40)]
+    got = substring_dedup.deduplicate(docs_of(rows).repartition(8)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in got) == sorted(kept_words(rows))
+
+
 def test_substring_dedup_of_nothing(docs_of):
     assert substring_dedup.deduplicate(docs_of([])).count() == 0
     assert substring_dedup.deduplicate(docs_of([(1, None), (2, "a b")])).count() == 2

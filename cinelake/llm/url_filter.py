@@ -28,7 +28,7 @@ from cinelake.llm.common import lower_ascii, rows_of
 #: Rules in one digest file; about 80 bytes each.
 MAX_RULES = 2_000_000
 ACTIONS = ("allow", "block")
-SEP = "\n"  # between host and path in a key; neither a rule nor a candidate host holds one
+SEP = "\n"  # between host and path in a key; neither a rule's host nor a candidate's holds one
 
 
 def url_host(url: Column) -> Column:
@@ -105,10 +105,8 @@ def suffixes(host: str) -> list[str]:
 
 
 def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Keys of all rules that could fit, for the path lengths that occur among the rules."""
-    if SEP in host:
-        return []
-    return [rule_key(h, path[:n]) for h in suffixes(host) for n in lengths if n <= len(path)]
+    """Keys of all rules that could fit, for the path lengths that occur among the rules; no rule's host holds ``SEP``."""
+    return [rule_key(h, path[:n]) for h in suffixes(host) if SEP not in h for n in lengths if n <= len(path)]
 
 
 _open: dict[str, DigestArray] = {}

@@ -50,6 +50,15 @@ def test_url_filter(spark):
     assert sorted(map(str, joined.select(*got[0].__fields__).collect())) == sorted(map(str, got))
 
 
+def test_line_feeds_in_labels(spark):
+    rows = [(1, "http://a\nb.example.com/en/x"), (2, "http://\n.www.example.com/en/\n"), (3, "http://a.b\n.c.net/fr/"),
+            (4, "http://example\n.com/en/"), (5, "http://example.com\n/en/"), (6, "http://a\nexample.com/en/")]
+    got = url_filter.judge(url_frame(spark, rows), URL_RULES).collect()
+    assert {r.page_id: r.rule for r in got} == {1: "example.com/en/", 2: "www.example.com/en/", 3: "net/fr/", 4: "com/", 5: None, 6: "com/"}
+    joined = url_filter.judge_by_join(url_frame(spark, rows), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
+    assert sorted(map(str, joined.select(*got[0].__fields__).collect())) == sorted(map(str, got))
+
+
 def test_url_filter_edges(spark):
     assert url_filter.judge(url_frame(spark, []), URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(url_frame(spark, URLS), []).collect()} == {"allow"}

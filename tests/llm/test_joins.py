@@ -184,6 +184,33 @@ def test_decontamination(spark, docs_of):
     assert decontamination.clean(docs_of(rows), items.limit(0)).count() == len(rows)
 
 
+def test_short_items_have_masks_for_every_tolerated_replacement():
+    from itertools import combinations
+
+    for n in range(1, decontamination.WINDOW):
+        masks = decontamination.SHORT.get(n, ()) + (decontamination.MASKS if n >= 8 else ())
+        for gone in combinations(range(n), n - -(-n * decontamination.LEAST // decontamination.WINDOW)):
+            assert any(all(s + k not in gone for k, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)), (n, gone)
+
+
+def test_short_and_unnamed_items_are_found(spark, docs_of):
+    rng = random.Random(3)
+    texts = {n: [f"q{n}x{k}" for k in range(n)] for n in (1, 3, 5, 6, 7, 8, 9, 20)}
+    items = [(n if n != 20 else None, " ".join(w)) for n, w in texts.items()] + [(None, "unnamed " * 9), (30, ""), (31, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [(0, prose(rng, 40)), (1, None), (2, "")], []
+    for n, w in texts.items():
+        for gone in [None, *range(n)]:
+            own = [x if k != gone else "other" for k, x in enumerate(w)]
+            rows.append((len(rows), f"{prose(rng, 3)} {' '.join(own)} {prose(rng, 3)}"))
+            if gone is None or n >= 6:
+                want.append((rows[-1][0], n if n != 20 else None, 3, n - (gone is not None), n))
+    got = [(r.doc_id, r.item_id, r.diagonal, r.matched, r.item_words) for r in decontamination.leaks(docs_of(rows), bench).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = decontamination.clean(docs_of(rows), bench).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({i for i, _ in rows} - {w[0] for w in want})
+
+
 def vector_frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v string, dim string")
 

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cinelake.operators.ranking import positions
 from cinelake.operators.scan import Running, chunk_of, ordered_scan
+from cinelake.session import saved
 
 CELL = ["frame_id", "gx", "gy"]
 
@@ -190,15 +192,19 @@ def rank_label(obs: DataFrame, zero: float) -> DataFrame:
     """Label each code by the rank of its mean value, counted from the code that produced ``zero``.
 
     Observations are averaged per code first, so the ranking sees one row per code. Equal means rank
-    by code; of several codes that produced ``zero`` the lowest ranked counts.
+    by code; of several codes that produced ``zero`` the lowest ranked counts. All tables are ranked in one
+    order cut into ranges, so a table may be as large as it likes; only one row per table is joined back.
     """
     v = F.col("value").cast("double")
-    means = obs.groupBy("table_id", "code").agg(
-        F.avg(v).alias("mean"), F.max(v == F.lit(float(zero))).alias("_zero"))
-    table = Window.partitionBy("table_id")
-    ranked = means.withColumn("rank", F.row_number().over(table.orderBy("mean", "code")))
-    at_zero = F.min(F.when(F.col("_zero"), F.col("rank"))).over(table)
-    return ranked.withColumn("label", F.col("rank") - at_zero).drop("_zero")
+    means = saved(obs.groupBy("table_id", "code").agg(
+        F.avg(v).alias("mean"), F.coalesce(F.max(v == F.lit(float(zero))), F.lit(False)).alias("_zero")), "means")
+    placed = positions(means, ["table_id", "mean", "code"], "_at")
+    first = placed.groupBy("table_id").agg(F.min("_at").alias("_first"), F.min(F.when(F.col("_zero"), F.col("_at"))).alias("_zero_at"))
+    first = first.withColumnRenamed("table_id", "_table")
+    same = F.col("table_id").eqNullSafe(F.col("_table"))
+    return placed.join(first, same).select(
+        "table_id", "code", "mean", (F.col("_at") - F.col("_first") + 1).cast("int").alias("rank"),
+        (F.col("_at") - F.col("_zero_at")).cast("int").alias("label"))
 
 
 def expand_runs(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import bpe, decontamination, importance, ngram_join, secrets, sharding, substring_dedup, url_filter, vector_dedup, warc
+from cinelake.llm import (bpe, decontamination, hard_negatives, importance, mixing, ngram_join, secrets, sharding, substring_dedup, url_filter,
+                          vector_dedup, warc, whitening)
 from cinelake.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -188,3 +189,82 @@ FROM d
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC files and back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::HUGEINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, sum(n) OVER () AS total, row_number() OVER by_limit AS place,
+    coalesce(sum(n) OVER (by_limit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before,
+    sum(w) OVER (by_limit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+  FROM s WINDOW by_limit AS (ORDER BY n * (6 // w), source NULLS LAST)),
+f AS (
+  SELECT *, min(CASE WHEN w * (3 * total - 4 * n_before) <= 4 * n * w_left THEN place END) OVER () AS free FROM o),
+g AS (
+  SELECT *, 3 * total - 4 * min(CASE WHEN place = free THEN n_before END) OVER () AS lft,
+    2 * min(CASE WHEN place = free THEN w_left END) OVER () AS below
+  FROM f),
+t AS (
+  SELECT source, n, CASE WHEN free IS NULL OR place < free THEN 2 * n ELSE w * lft END AS num,
+    CASE WHEN free IS NULL OR place < free THEN 1 ELSE below END AS den,
+    ('0x' || substr(md5('mix:' || CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS start
+  FROM g),
+r AS (
+  SELECT d.doc_id, d.size, t.*, greatest(t.den * t.n, 1) AS unit,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.k, d.doc_id) AS hi
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, (hi * num) // unit + CASE WHEN ((hi * num) % unit)::DOUBLE / unit::DOUBLE + start >= 1 THEN 1 ELSE 0 END
+    - ((hi - 1) * num) // unit - CASE WHEN (((hi - 1) * num) % unit)::DOUBLE / unit::DOUBLE + start >= 1 THEN 1 ELSE 0 END AS copies
+  FROM r)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, num::DOUBLE / den::DOUBLE AS target,
+  CASE WHEN n > 0 THEN copies * size ELSE 0 END::BIGINT AS taken
+FROM c
+"""
+
+
+@query(MIX_SQL)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+NEGATIVE_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 5
+"""
+
+
+@query(NEGATIVE_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -7,7 +7,8 @@ one at most and each holds its share of every source, give or take a row or two.
 
 No sort ever gathers a source or the whole table in one task. Ranks within a source are counted per slice of the
 key's first hex digits (a rank is the rows in earlier slices plus the rank in the slice), and positions in the
-sequence the same way per slice of the fraction; both offset tables are aggregates.
+sequence the same way per slice of the fraction; both offset tables are aggregates. Sources start evenly spaced, so
+that many small ones do not all fall on one fraction.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinelake.llm.common import small_side
+from cinelake.operators.ranking import positions
 from cinelake.session import saved
 
 #: Hex digits of the key that name a slice: 16**3 slices per source.
@@ -44,7 +47,8 @@ def interleave(
     rows than shards some shards stay empty. Columns other than those named are left out, so their names
     cannot clash.
     """
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    unnamed = F.concat_ws(":", F.lit("null"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keep])  # spreads null ids
+    ident = F.coalesce(F.col(id_col).cast("string"), unnamed)
     narrow = rows.select(
         F.col(id_col).alias("_id"),
         F.concat(F.when(F.col(stratum_col).isNull(), "n").otherwise("v"),
@@ -62,13 +66,14 @@ def interleave(
         F.sum("_n").over(Window.partitionBy("_s")).alias("_size"),
     )
     order = Window.partitionBy("_s", "_slice").orderBy("_key", "_id", "_kept")
-    # a start of its own for every source, so that many small sources do not all fall on one fraction
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_s")).cast("binary")), 1, 8), 16, 10)
+    sources = saved(positions(saved(narrow.select("_s").distinct(), "interleave-names"), ["_s"], "_at"), "interleave-sources")
+    n_sources = sources.count()
+    start = (F.col("_at") + 0.5) / F.lit(float(n_sources))
     ranked = (
-        narrow.join(offsets, ["_s", "_slice"])
+        narrow.join(offsets, ["_s", "_slice"]).join(small_side(sources), "_s")
         .withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)
         .select("_id", "_s", "_key", "_kept",
-                ((F.col("_rank") + start.cast("double") / F.lit(4294967296.0)) / F.col("_size")).alias("_frac"))
+                ((F.col("_rank") + start) / F.col("_size")).alias("_frac"))
         .withColumn("_cell", F.floor(F.col("_frac") * CELLS))
     )
     ranked = saved(ranked, "interleave-ranks")

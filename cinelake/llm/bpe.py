@@ -16,6 +16,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,45 @@ def byte_characters() -> list[str]:
         c for _, c in sorted((table | {b: chr(256 + k) for k, b in enumerate(rest)}).items())]
 
 
+# Letters, numbers and lower-case mappings that Unicode 16.0, which the tokenizers library follows, has besides
+# those of 15.1, which the interpreter has (first and last code point; capital and its small letter, these as of 17.0).
+NEW = {
+    "L": ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+          (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+          (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+          (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+          (0x1E5F1, 0x1E5FA)),
+}
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)} \
+    | {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
+
+@cache
+def members(kind: str) -> frozenset[int]:
+    """Code points of the general categories that begin with ``kind`` (L or N), in Unicode 16.0."""
+    old = (c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind)
+    return frozenset(old).union(*(range(a, b + 1) for a, b in NEW[kind]))
+
+
+def class_of(points: set[int] | frozenset[int]) -> str:
+    """Inside of a character class of the code points."""
+    edges = sorted(c for c in points if c - 1 not in points), sorted(c for c in points if c + 1 not in points)
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(*edges, strict=True))
+
+
+@cache
+def disputed() -> frozenset[int]:
+    """Code points that ``regex``, which follows another version, classes differently, and the new capitals."""
+    import regex
+
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = set(NEW_LOWER)
+    for kind in "LN":
+        found |= set(map(ord, regex.findall(rf"\p{{{kind}}}", everything))) ^ members(kind)
+    return frozenset(found)
+
+
 class Vocabulary:
     """A tokenizer file of the kind: byte-level BPE with word ends, NFC, one space for white space, lower case."""
 
@@ -67,11 +107,20 @@ class Vocabulary:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # the white space of the file's own regex library: control characters 28 to 31 do not count
         space = r"[\t-\r\x20\x85\xa0  -     　]"
-        self.words = regex.compile(pattern.replace(r"[^\s", "[^" + space[1:-1])).findall
+        pattern = pattern.replace(r"[^\s", "[^" + space[1:-1])
+        self.common = regex.compile(pattern).findall
+        self.rare = regex.compile(f"[{class_of(disputed())}]").search
+        self.exact = regex.compile(pattern.replace(r"\p{L}", class_of(members("L"))).replace(r"\p{N}", class_of(members("N")))).findall
         self.spaces = regex.compile(space + "+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        """Words of a normalised text; the slower pattern of fixed ranges only where the two could differ."""
+        if text.isascii() or not self.rare(text):
+            return self.common(text)
+        return self.exact(text.translate(NEW_LOWER))
+
     def rank(self, a: int, b: int) -> int:
         hit = self.merges.get(a * self.size + b)
         return NO_RANK if hit is None else hit[0]

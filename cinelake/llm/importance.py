@@ -142,14 +142,16 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """Weight that separates held-out good from bad best (sum of both rates); none without either."""
+    """Weight that separates held-out good from bad best (sum of both rates): the middle of the gap between the greatest
+    weight dropped and the least one kept; none without either."""
     if not len(good) or not len(bad):
         return -np.inf
     good, bad = np.sort(good), np.sort(bad)
     at = np.unique(np.concatenate([good, bad]))
     kept = 1 - np.searchsorted(good, at, "left") / len(good)
     dropped = np.searchsorted(bad, at, "left") / len(bad)
-    return float(at[int(np.argmax(kept + dropped))])
+    best = int(np.argmax(kept + dropped))
+    return float((at[best - 1] + at[best]) / 2) if best else float(at[0])
 
 
 def kth_greatest(rows: DataFrame, column: str, k: int, *, bins: int = 1024, enough: int = 1000) -> float:

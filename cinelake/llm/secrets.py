@@ -50,7 +50,7 @@ PLACEHOLDER = re.compile(r"(?i)^(?:\W*|(.)\1*|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%.
 NAME = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.\-])[A-Za-z_][A-Za-z0-9_]*+(?:[.\-][A-Za-z0-9_]++)*+"
 QUOTED = r"""[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
 PAIR = re.compile(
-    rf"""(?P<name>{NAME})["']?\]?[ \t]*+(?::[A-Za-z_][A-Za-z0-9_\[\]]*+[ \t]*+(?=[:=]))?(?::=|=>|(?<![=!<>])=(?!=)|:)[ \t]*+"""
+    rf"""(?P<name>{NAME})["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][A-Za-z0-9_]*+(?:[.\[][A-Za-z0-9_.,| \[\]]*+)?+[ \t]*+(?==))?(?::=|=>|(?<![=!<>])=(?!=)|:)[ \t]*+"""
     rf"""(?:(?P<quoted>{QUOTED}(?:[ \t]*+\+?[ \t]*+\n?[ \t]*+{QUOTED})*+)|(?P<ref>{NAME})(?=[ \t]*+(?:[;,)#\n\r]|\Z)))"""
 )
 CONFIG = re.compile(

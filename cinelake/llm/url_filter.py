@@ -12,7 +12,9 @@ the same candidates with the rules (``judge_by_join``), with the same rows as re
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -61,8 +63,8 @@ def write_digest_array(rules: Iterable[tuple[str, str, str]], path: str) -> dict
     ends = np.concatenate([[0], np.cumsum([len(e[1]) for e in entries], dtype=np.int64)]).astype(np.int64)
     with open(path, "wb") as f:
         f.write(keys.tobytes() + ends.tobytes() + bytes(e[2] for e in entries) + b"".join(e[1] for e in entries))
-    lengths = sorted({len(k.decode().partition(SEP)[2]) for k in actions})
-    return {"n": len(entries), "lengths": lengths}
+    parts = [k.decode().partition(SEP) for k in actions]
+    return {"n": len(entries), "lengths": sorted({len(p[2]) for p in parts}), "longest": max((len(p[0]) for p in parts), default=0)}
 
 
 class DigestArray:
@@ -99,14 +101,16 @@ class DigestArray:
         return self.strings[int(self.ends[j]) : int(self.ends[j + 1])].tobytes()
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and every parent domain, longest first."""
-    return [host] + [host[i + 1 :] for i, c in enumerate(host) if c == "."]
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and every parent domain of at most ``longest`` characters, longest first."""
+    tail = host[-longest - 1 :] if longest < len(host) else "." + host
+    return [tail[i + 1 :] for i, c in enumerate(tail) if c == "."]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Keys of all rules that could fit, for the path lengths that occur among the rules; no rule's host holds ``SEP``."""
-    return [rule_key(h, path[:n]) for h in suffixes(host) if SEP not in h for n in lengths if n <= len(path)]
+def candidates(host: str, path: str, lengths: list[int], longest: int) -> list[bytes]:
+    """Keys of all rules that could fit, for the path lengths and the longest host that occur among the rules; no rule's host
+    holds ``SEP``."""
+    return [rule_key(h, path[:n]) for h in suffixes(host, longest) if SEP not in h for n in lengths if n <= len(path)]
 
 
 _open: dict[str, DigestArray] = {}
@@ -119,12 +123,13 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_col: str
     A rule (host, path, action) fits its host and all subdomains where the URL's path starts with the rule's.
     The longest ``host + path`` wins, the longer host at equal length; without a rule the verdict is ``allow``.
     A null URL, or one without ``://``, has empty host and path and fits no rule but one for the empty host.
-    Null ids and repeated rows are kept as they are; other columns are left out.
+    Null ids and repeated rows are kept as they are, an empty table gives an empty one; other columns are left out.
     """
     folder = tempfile.mkdtemp(prefix="spark-rules-")  # the driver's own copy; Spark hands it to the executors
     name = f"rules-{uuid.uuid4().hex}.bin"
     about = write_digest_array(rules, os.path.join(folder, name))
     urls.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from here
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = SparkFiles.get(name)
@@ -136,7 +141,7 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_col: str
             keys: list[bytes] = []
             owner: list[int] = []
             for i, (host, rest) in enumerate(rows_of(batch, "host", "path")):
-                own = candidates(host, rest, about["lengths"])
+                own = candidates(host, rest, about["lengths"], about["longest"])
                 keys += own
                 owner += [i] * len(own)
             found = index.find(keys)
@@ -166,9 +171,12 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     Candidates are made once per distinct (host, path). Of repeated rules the greatest action holds.
     """
     lengths = rules.select(F.length("path").alias("len")).distinct()
+    longest = rules.agg(F.max(F.length("host"))).first()[0] or 0  # longer parent domains fit no rule
     parts = urls.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"),
                         url_path(F.col(url_col)).alias("path"))
-    labels = F.split("host", r"\.")
+    tail = F.expr(f"right(host, {longest + 1})")
+    near = F.when(F.length("host") <= longest, F.col("host")).when(F.contains(tail, F.lit(".")), F.regexp_replace(tail, r"(?s)\A[^.]*\.", ""))
+    labels = F.split(near, r"\.")
     n = F.size(labels)
     keyed = parts.select("host", "path").distinct().withColumn("rh", F.explode(F.transform(
         F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))))

@@ -23,6 +23,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+#: File names that the driver hands to the reader.
+MAX_PATHS = 1000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -74,8 +76,8 @@ def write_archives(pages: DataFrame, path: str, compression: str = "none", **opt
 
 
 def field(head: Column, name: str) -> Column:
-    """A header field's value, null where it is missing."""
-    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
+    """A header field's value, null where it is missing. Only line feeds end lines (``d``), as records are split by CRLF."""
+    found = F.regexp_extract(head, rf"(?imd)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
     return F.when(found != "", found)
 
 
@@ -152,14 +154,15 @@ def verified(placed: DataFrame) -> DataFrame:
     return numbered.join(reach, ["file", "run"]).filter("offset >= entry").select("file", "offset", "next")
 
 
-def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_archives(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
     """One row per verified record: ``file``, ``offset``, ``type``, ``record_id``, ``uri``, ``refers_to``, ``payload_digest`` (as
     stated), ``http_bytes`` (payload length as its HTTP header states it) and ``payload`` (null for revisits).
 
     Records behind a break in the chain (a damaged header, a file that does not begin with a record) are left
-    out. Empty files and folders give no rows.
+    out. Empty files and folders give no rows. With ``files`` (column ``file``) only those are read.
     """
-    parts = saved(pieces(spark, path), "warc-pieces")
+    parts = pieces(spark, path)
+    parts = saved(parts if files is None else parts.join(files, "file", "left_semi"), "warc-pieces")
     placed = saved(candidates(measured(parts)), "warc-candidates")
     true = verified(placed)
     # pieces of a record: its own and the false candidates behind it, up to its end
@@ -200,10 +203,13 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     sound = saved(sound.select("file", (F.coalesce("records", F.lit(0)) == F.col("pieces")).alias("sound")), "warc-files")
     columns = ["file", "offset", *kept, "payload_bytes", "payload_digest"]
     good = placed.join(true.select("file", "offset"), ["file", "offset"]).join(sound.filter("sound").select("file"), "file")
-    again = [r[0] for r in sound.filter("NOT sound").select("file").collect()]  # file names, as the reader takes them
+    broken = sound.filter("NOT sound").select("file")
+    again = [r[0] for r in broken.limit(MAX_PATHS + 1).collect()]  # file names, as the reader takes them
     if not again:
         return good.select(*columns)
-    whole = read_archives(spark, again).withColumns(summaries())
+    # with very many such files the folder is read as it is, and the others' pieces are left out
+    whole = read_archives(spark, again) if len(again) <= MAX_PATHS else read_archives(spark, path, broken)
+    whole = whole.withColumns(summaries())
     return good.select(*columns).unionByName(whole.select(*columns))
 
 

@@ -8,7 +8,7 @@ from brute import kept_words, least_reachable, sha256, similar_components
 
 from cinelake.llm import decontamination, fm_index, ngram_join, substring_dedup, vector_dedup
 from cinelake.llm.components import components
-from cinelake.llm.queries import QUERIES
+from cinelake.llm.queries import ORACLES, QUERIES
 
 
 def prose(rng, n):
@@ -255,3 +255,29 @@ def test_vector_query_on_the_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op6_vector_dedup"](spark, sf_dir).collect()}
     assert got == brute_vectors(rows)
+
+
+def test_leak_query_and_its_sql_find_short_items(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(11)
+    pool = [f"w{k}" for k in range(400)]
+    items = [(n * 10 + k, " ".join(rng.sample(pool, n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 20) for k in range(2)] + [(990, None), (991, "...")]
+    docs = []
+    for i, (_, text) in enumerate(items[:28]):
+        for miss in range(3):  # up to two words replaced
+            w = text.split()
+            for at in rng.sample(range(len(w)), min(miss, len(w))):
+                w[at] = f"other{at}"
+            docs.append((100 * i + miss, " ".join([f"x{k}" for k in range(rng.randint(0, 5))] + w + ["tail"] * rng.randint(0, 3))))
+    docs += [(9001, None), (9002, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op7_decontamination"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES["op7_decontamination"]).fetchall()
+    columns = [c[0] for c in con.description]
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want)
+    assert {n for *_, n in want} >= {1, 2, 3, 4, 5, 6, 7, 8, 12, 20}

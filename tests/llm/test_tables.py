@@ -20,8 +20,8 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), sf_dir, name) is None
 
 
-def test_ten_operators_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+def test_all_operators_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 # URL filter
@@ -59,6 +59,16 @@ def test_line_feeds_in_labels(spark):
     assert sorted(map(str, joined.select(*got[0].__fields__).collect())) == sorted(map(str, got))
 
 
+def test_hosts_of_very_many_labels(spark):
+    host = "a." * 100_000
+    rows = [(1, f"http://{host}example.com/en/x"), (2, f"http://{host}com/y"), (3, f"http://{'b' * 300_000}.org/"), (4, f"http://{host}/"),
+            (5, "http://" + "c" * 200_000), (6, "http://xample.com/en/"), (7, "http://.example.com/en/")]
+    got = url_filter.judge(url_frame(spark, rows), URL_RULES).collect()
+    assert {r.page_id: r.rule for r in got} == {1: "example.com/en/", 2: "com/", 3: None, 4: None, 5: None, 6: "com/", 7: "example.com/en/"}
+    joined = url_filter.judge_by_join(url_frame(spark, rows), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
+    assert {r.page_id: r.rule for r in joined.collect()} == {r.page_id: r.rule for r in got}
+
+
 def test_url_filter_edges(spark):
     assert url_filter.judge(url_frame(spark, []), URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(url_frame(spark, URLS), []).collect()} == {"allow"}
@@ -98,6 +108,13 @@ def test_sharding_edges(spark, docs_of):
     assert len(few) == 3 and {r.slot for r in few} == {0}
 
 
+def test_shards_of_unnamed_rows(spark, docs_of):
+    rows = docs_of([(None, f"text {i}") for i in range(2000)]).select("doc_id", "source", sharding.text_crc32("text").alias("c"))
+    got = sharding.interleave(rows, 24, keep=("c",)).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len({r.c for r in got}) == 2000 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_crc(spark, docs_of):
     text = "é\n" * 5000
     rows = docs_of([(1, text), (2, None), (3, "")]).select("doc_id", sharding.text_crc32("text").alias("c"), sharding.text_size("text").alias("n"))
@@ -133,6 +150,24 @@ def test_magic_in_payloads(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_line_ends_in_urls_are_no_header_lines(spark):
+    ends = ["\x85", "\u2028", "\u2029", "\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c"]
+    rows = [(i, f"http://h/{e}Content-Length: 5{e}WARC-Refers-To: <urn:page:77>{e}WARC-Type: revisit{e}x", f"page {i} {warc.MAGIC * (i % 2)}")
+            for i, e in enumerate(ends)]
+    rows += [(50 + i, "http://h/", f"plain {i}") for i in range(12)]
+    for compression in ("gzip", "none"):
+        got = warc.round_trip(page_frame(spark, rows).coalesce(1), compression=compression).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+            (i, len(h.encode()), "response", None) for i, _, h in rows]
+
+
+def test_only_broken_files_are_read_again(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_PATHS", 0)
+    rows = [(i, "u", f"page {i} " + warc.MAGIC * (i == 3)) for i in range(40)]
+    got = warc.round_trip(page_frame(spark, rows).repartition(4)).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
+
+
 def test_small_payloads_are_never_revisits(spark):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]
     got = warc.round_trip(page_frame(spark, rows), min_bytes=3).collect()

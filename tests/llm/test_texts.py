@@ -36,6 +36,20 @@ def test_bpe_equals_the_library(vocabulary, tokenizer, text):
     assert vocabulary.decode(got) == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point(vocabulary):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 5000):
+        texts = [f"a{chr(c)}b 1{chr(c)}!{chr(c)}" for c in points[k : k + 5000]]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        for text, e in zip(texts, want):
+            assert vocabulary.encode(text) == b"".join(i.to_bytes(4, "little") for i in e.ids), ascii(text)
+
+
 def test_long_words_merge_as_short_ones(vocabulary):
     rng = np.random.default_rng(3)
     for n in (5, 60, 128, 129, 400):

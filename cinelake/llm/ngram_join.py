@@ -294,11 +294,19 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
         "n", "c", "g", "node", F.coalesce("component", "node").alias("comp"))
     labelled = saved(labelled, "labelled-classes")
     spread = shared.select("token", "pos", "n", "g").join(labelled, ["n", "g"])
-    open_tokens = spread.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rest = saved(spread.join(open_tokens, "token").dropDuplicates(["token", "n", "c"]), "open-prefixes")
-    left = rest.select("token", *[F.col(c).alias(f"{c}1") for c in ("n", "c", "node", "comp", "pos")])
-    right = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "c", "node", "comp", "pos")])
-    across = left.join(right, "token").filter("comp1 < comp2").filter(possible("n1", "pos1", "n2", "pos2", num, den))
+    # Shingles of one passage have the same holders, so a pair would meet once for each. Shingles get a key made of the extremes
+    # of their holders' hashes, and a class enters once per key, with its first place. A pair that shares a shingle shares its key,
+    # at places no later than the shingle's, so nothing is lost; keys that happen to agree only add candidates.
+    holder = [F.xxhash64(F.lit(k), "n", "c") for k in range(4)]
+    open_tokens = spread.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.xxhash64(*map(F.min, holder), *map(F.max, holder)).alias("key"),
+    ).filter("lo < hi").select("token", "key")
+    rest = spread.join(open_tokens, "token").groupBy("key", "n", "c").agg(
+        F.min("pos").alias("pos"), F.first("node").alias("node"), F.first("comp").alias("comp"))
+    rest = saved(rest, "open-prefixes")
+    left = rest.select("key", *[F.col(c).alias(f"{c}1") for c in ("n", "c", "node", "comp", "pos")])
+    right = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("n", "c", "node", "comp", "pos")])
+    across = left.join(right, "key").filter("comp1 < comp2").filter(possible("n1", "pos1", "n2", "pos2", num, den))
     side = [labelled.select("n", "g", *[F.col(c).alias(f"{c}{k}") for c in ("c", "node", "comp")]) for k in (1, 2)]
     inside = side[0].join(side[1], ["n", "g"]).filter("comp1 < comp2").withColumns({"n1": F.col("n"), "n2": F.col("n")})
     columns = [F.col(c) for c in ("n1", "c1", "n2", "c2")] + [F.col("node1").alias("a"), F.col("node2").alias("b")]

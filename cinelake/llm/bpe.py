@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import rows_of
+from cinelake.llm.common import rows_of, slices
 
 LONG = 128
 REMEMBERED = 300_000
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shipped(name)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [v.encode(t) if t else b"" for (t,) in rows_of(batch, "text")]
             columns = [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decode:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import MULTIPLIER
+from cinelake.llm.common import MULTIPLIER, slices
 from cinelake.session import saved
 
 #: Buckets of words and of word pairs; both models together are 4 MB in a task.
@@ -74,8 +74,10 @@ def log_weight(ratios: np.ndarray, text: bytes | None) -> float:
     return NOMINAL_LENGTH * total / len(words)
 
 
-def texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
+    """The texts of a batch, one at a time."""
+    for text in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()):
+        yield text.as_py()
 
 
 def roles(labels: DataFrame, good: Column, seed: str) -> DataFrame:
@@ -97,14 +99,27 @@ def count(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 2 * BUCKETS), np.int64)
-        for batch in batches:
-            hashed = [buckets(t) for t in texts(batch)]
-            chosen = [h for h, r in zip(hashed, batch.column("role").to_pylist(), strict=True) if r == TARGET]
-            for k, rows in enumerate((hashed, chosen)):
-                for kind in (0, 1):
-                    if rows:
-                        found = np.concatenate([h[kind] for h in rows])
-                        sums[k, kind * BUCKETS : (kind + 1) * BUCKETS] += np.bincount(found, minlength=BUCKETS)
+        held: list[list[np.ndarray]] = [[], [], [], []]  # raw words and pairs, target words and pairs
+
+        def flush() -> None:
+            for k, found in enumerate(held):
+                if found:
+                    part = slice(k % 2 * BUCKETS, (k % 2 + 1) * BUCKETS)
+                    sums[k // 2, part] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                    found.clear()
+
+        size = 0
+        for batch in slices(batches):
+            for text, role in zip(texts(batch), batch.column("role").to_pylist(), strict=True):
+                hashed = buckets(text)
+                size += len(hashed[0])
+                for k in (0, 2) if role == TARGET else (0,):
+                    held[k].append(hashed[0])
+                    held[k + 1].append(hashed[1])
+                if size >= BUCKETS:
+                    flush()
+                    size = 0
+        flush()
         blobs = [[s[k * width : (k + 1) * width].tobytes() for k in range(SLICES)] for s in sums]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(SLICES), pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())],
@@ -198,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     unset = Model(np.zeros(0), 0.0, seed)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             weights = [log_weight(shared.value, t) for t in texts(batch)]
             keys = [unset.key(i, w) for i, w in zip(batch.column("id").to_pylist(), weights, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -227,9 +242,8 @@ def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-            text = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([shared.value.keeps(i, t) for i, t in zip(ids, text, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.keeps(i, t) for i, t in zip(ids, texts(batch, text_col), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

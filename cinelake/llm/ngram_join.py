@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import mix, small_batches, window_hashes, word_hashes
+from cinelake.llm.common import mix, slices, small_batches, window_hashes, word_hashes
 from cinelake.llm.components import bit_of, bitmap, components, holds
 from cinelake.session import saved
 
@@ -91,7 +91,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
             return pa.RecordBatch.from_arrays([signed(tokens[often]), pa.array(n[often], pa.int64())], names=["token", "n"])
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in texts(batch):
                 tokens = shingles(text, width)
                 key = set_hash(tokens)
@@ -123,7 +123,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         sent: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             n, c, g, rare, rows, marks = [], [], [], [], [], []
             for unnamed, text in zip(batch.column(0).is_null().to_pylist(), texts(batch), strict=True):
                 tokens = shingles(text, width)

@@ -16,7 +16,6 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from cinelake.llm.common import rows_of, slices
 
 LONG = 128
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 48
 NO_RANK = 1 << 60
 
@@ -55,7 +54,6 @@ NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7
     | {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 
-@cache
 def members(kind: str) -> frozenset[int]:
     """Code points of the general categories that begin with ``kind`` (L or N), in Unicode 16.0."""
     old = (c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind)
@@ -68,7 +66,6 @@ def class_of(points: set[int] | frozenset[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(*edges, strict=True))
 
 
-@cache
 def disputed() -> frozenset[int]:
     """Code points that ``regex``, which follows another version, classes differently, and the new capitals."""
     import regex

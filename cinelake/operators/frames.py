@@ -116,15 +116,15 @@ def track(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return _reference_columns(_gop_columns(ordered_scan(frames, FILE, ["seq"], outputs, chunk_rows=chunk_rows)))
 
 
-def frames_table(packets: DataFrame, streams: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def frames_table(packets: DataFrame, streams: DataFrame, chunk_rows: int = CHUNK_ROWS, written: bool = False) -> DataFrame:
     """The frames of whole files, as far as headers tell: type, header fields, group, reference, status.
 
     A WMV1 P header depends on the bit rate of its I frame, and references depend on the header, so
     the packets are scanned twice. The thin packet rows and the coded frames are each written once, so
-    that no scan walks the files again.
+    that no scan walks the files again; ``written`` packets are not written a second time.
     """
     thin = packets.select("file_id", "seq", "byte_offset", "size", "head")
-    bound = with_codec(saved(thin, "packets"), streams)
+    bound = with_codec(thin if written else saved(thin, "packets"), streams)
     version, head = F.col("version"), F.col("head")
     typed = bound.withColumn("frame_type", frame_type(version, head))
     rated = typed.withColumn("bit_rate", F.when((version == "wmv1") & _intra(), wmv1_bit_rate(head)))

@@ -11,14 +11,17 @@ from cinelake.operators import frames as FR
 from cinelake.operators.frames import reconcile_index
 from cinelake.plans import builders as B
 from cinelake.plans.registry import digest, query, table
-from cinelake.session import saved
+from cinelake.session import shared_dir
 from cinelake.sources import asf, avi, media
+from cinelake.sources.records import media_records
 from cinelake.sources.tables import codes_from_text, from_base64, from_hex
+from cinelake.streaming.frames import stream_frames
 
 LINE_CODEC = b"DIV3"
 ASF_STEP = 4096
 WMV_STEP = 256
 OBJECT_SPACING = 1 << 20
+STAGED_FILES = 4
 
 
 def _lines(text: Column) -> Column:
@@ -67,8 +70,8 @@ def avi_headers(spark, sf_dir):
 SELECT doc_id AS file_id, CASE WHEN n = 0 THEN 'index_only' WHEN n % 7 = 0 THEN 'size_mismatch' ELSE 'match' END AS class,
   count(*) AS entries FROM s GROUP BY ALL""")
 def index_reconcile(spark, sf_dir):
-    files = avi_files(spark, sf_dir, with_index=True)
-    merged = reconcile_index(avi.avi_index(files), avi.avi_packets(files, stream_no=None))
+    walked = media_records(avi_files(spark, sf_dir, with_index=True), stream_no=None)
+    merged = reconcile_index(walked.index, walked.packets)
     return merged.groupBy("file_id", "class").agg(F.count(F.lit(1)).alias("entries"))
 
 
@@ -89,12 +92,23 @@ SELECT file_id, seq, CASE WHEN i THEN 'I' ELSE 'P' END AS frame_type, q::INT AS
 @query(f"WITH {_FRAMES}")
 def file_frames(spark, sf_dir):
     """From file bytes to tracked frames; a line's first byte decides its type and quantiser."""
-    files = avi_files(spark, sf_dir)
-    frames = FR.frames_table(avi.avi_packets(files), avi.avi_streams(files))
+    walked = media_records(avi_files(spark, sf_dir))
+    frames = FR.frames_table(walked.packets, walked.streams, written=True)
     return frames.select(
         "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
 
 
+@query(f"WITH {_FRAMES}")
+def stream_files(spark, sf_dir):
+    """The same frames from a stream of files in several micro-batches: walked, classified and tracked in one running query."""
+    files = avi_files(spark, sf_dir).repartition(STAGED_FILES, "file_id")
+    path = shared_dir(spark, "staged-files")
+    files.write.parquet(path)
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", STAGED_FILES // 2).parquet(path)
+    return stream_frames(arriving, "file-frames").select(
+        "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
+
+
 def asf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ASF file per document, its text one media object."""
     pieces = B.object_pieces(F.col("text").cast("binary"), F.lit(7), ASF_STEP)
@@ -111,10 +125,9 @@ def wmv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FRAMES}")
 def wmv_frames(spark, sf_dir):
-    """The frames of the same lines, carried by ASF files; the walk is written once, without payloads."""
-    files = wmv_files(spark, sf_dir)
-    fragments = saved(asf.asf_fragments(files, with_payload=False), "fragments")
-    frames = FR.frames_table(R.object_packets(fragments), asf.asf_streams(files))
+    """The frames of the same lines, carried by ASF files."""
+    walked = media_records(wmv_files(spark, sf_dir))
+    frames = FR.frames_table(R.object_packets(walked.fragments), walked.streams)
     return frames.select(
         "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
 

@@ -10,7 +10,7 @@ from cinelake.plans.clips import _TRACKED, SPAN, packets
 from cinelake.plans.containers import _REUSED, reused_fragments
 from cinelake.plans.registry import digest, query
 from cinelake.session import shared_dir
-from cinelake.streaming.gops import stream_gops as track_stream
+from cinelake.streaming.frames import track_batches
 from cinelake.streaming.reassembly import stream_reassemble as assemble_stream
 from cinelake.streaming.run import drain
 
@@ -41,8 +41,7 @@ def stream_gops(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = ordered_scan(packets(spark, sf_dir), ["file_id"], ["seq"], {"n": Running("sum_before", F.lit(1))}, chunk_rows=SPAN)
     frames = dense.select("file_id", F.col("n").cast("bigint").alias("seq"), "frame_type", "status", "bit_rate")
     stream = _stream_of(frames.repartition(STAGED_FILES, "file_id", "seq"), "frames", FILES_PER_TRIGGER)
-    out = drain(track_stream(stream), "gops")
-    return out.select("file_id", "seq", "gop_id", "p_index", "bit_rate", "ref_seq", "status")
+    return track_batches(stream, "gops").select("file_id", "seq", "gop_id", "p_index", "bit_rate", "ref_seq", "status")
 
 
 @query(f"WITH RECURSIVE {_REUSED}")

@@ -171,6 +171,11 @@ def asf_fragments(files: DataFrame, stream_no: int | None = -1, with_payload: bo
     headers need no payload; without ``with_payload`` none leaves the walk.
     """
 
+    out = walk_records(files, _fragment_walk(stream_no, with_payload), StructType.fromDDL(FRAGMENT_FIELDS))
+    return out if with_payload else out.drop("payload")
+
+
+def _fragment_walk(stream_no: int | None, with_payload: bool):
     def walk(data: bytes):
         layout = read_layout(data)
         if layout is None or layout.data_offset is None:
@@ -183,5 +188,4 @@ def asf_fragments(files: DataFrame, stream_no: int | None = -1, with_payload: bo
                 if wanted is None or stream == wanted:
                     yield n, i, stream, key, obj, offset, total, len(body), body[:HEAD_BYTES], body if with_payload else None
 
-    out = walk_records(files, walk, StructType.fromDDL(FRAGMENT_FIELDS))
-    return out if with_payload else out.drop("payload")
+    return walk

@@ -21,6 +21,9 @@ PACKET_FIELDS = """seq bigint, chunk_id string, byte_offset bigint, size int, he
     payload binary, truncated boolean"""
 
 
+INDEX_FIELDS = "movi_start bigint, idx binary"
+
+
 def _u32(data: bytes, at: int) -> int:
     return int.from_bytes(data[at : at + 4], "little")
 
@@ -138,8 +141,15 @@ def finish_streams(raw: DataFrame) -> DataFrame:
     )
 
 
-def _packet_walk(wanted: tuple[bytes, ...] | None, with_payload: bool, max_size: int | None):
+VIDEO_STREAM = -1  # the first video stream of the header
+
+
+def _packet_walk(stream_no: int | None, with_payload: bool, max_size: int | None):
     def walk(data: bytes):
+        number = stream_no
+        if number == VIDEO_STREAM:  # a header without a video stream leaves it at the first
+            number = next((row[1] for row in _describe(data)), None) or 0
+        wanted = None if number is None else tuple(f"{number:02d}{k}".encode() for k in ("dc", "db"))
         movi = _movi_range(data) if is_avi(data) else None
         if movi is None:
             return
@@ -166,16 +176,16 @@ def _packet_walk(wanted: tuple[bytes, ...] | None, with_payload: bool, max_size:
 
 
 def avi_packets(
-    files: DataFrame, with_payload: bool = False, stream_no: int | None = 0, max_size: int | None = None
+    files: DataFrame, with_payload: bool = False, stream_no: int | None = VIDEO_STREAM, max_size: int | None = None
 ) -> DataFrame:
-    """Chunks of one video stream in file order (``stream_no=None``: every chunk of the media list).
+    """Chunks of one stream in file order: of the file's video stream, unless ``stream_no`` names another (None: every
+    chunk of the media list).
 
     ``byte_offset`` is the position of the chunk header; ``head`` holds the first 12 bytes, enough
     for every picture header, so metadata jobs need no payload. Zero-size chunks are skipped and a
     chunk running past the end of the file comes out short with ``truncated`` set.
     """
-    wanted = None if stream_no is None else tuple(f"{stream_no:02d}{k}".encode() for k in ("dc", "db"))
-    out = walk_records(files, _packet_walk(wanted, with_payload, max_size), StructType.fromDDL(PACKET_FIELDS))
+    out = walk_records(files, _packet_walk(stream_no, with_payload, max_size), StructType.fromDDL(PACKET_FIELDS))
     return out if with_payload else out.drop("payload")
 
 
@@ -199,7 +209,11 @@ def avi_index(files: DataFrame) -> DataFrame:
     Offsets may count from the file or from the media list; entry 0, whatever its type, anchors
     them to the start of the media list. The walk only finds the index; entries are cut in SQL.
     """
-    found = walk_records(files, _index_blob, StructType.fromDDL("movi_start bigint, idx binary"))
+    return index_entries(walk_records(files, _index_blob, StructType.fromDDL(INDEX_FIELDS)))
+
+
+def index_entries(found: DataFrame) -> DataFrame:
+    """Entries of whole indexes (file_id, movi_start, idx)."""
     n = F.floor(F.octet_length("idx") / 16).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("idx"), i * 16 + 1, 16))
     base = F.col("movi_start") - le32(F.col("idx"), 8)

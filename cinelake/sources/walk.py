@@ -14,6 +14,10 @@ BATCH_ROWS = 4096
 BATCH_BYTES = 8 << 20
 
 
+def _bytes_in(record: tuple) -> int:
+    return sum(len(x) if isinstance(x, bytes) else _bytes_in(x) if isinstance(x, tuple) else 0 for x in record)
+
+
 def walk_records(
     df: DataFrame,
     walk: Callable[[bytes], Iterable[tuple]],
@@ -49,7 +53,7 @@ def walk_records(
                 head = tuple(k[i].as_py() for k in kept)
                 for record in walk(value):
                     rows.append(head + record)
-                    size += sum(len(x) for x in record if isinstance(x, bytes)) + 64
+                    size += _bytes_in(record) + 64
                     if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
                         yield flush()
                         rows, size = [], 0

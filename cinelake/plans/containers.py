@@ -21,6 +21,7 @@ LINE_CODEC = b"DIV3"
 ASF_STEP = 4096
 WMV_STEP = 256
 OBJECT_SPACING = 1 << 20
+CONVERSATIONS_PER_FILE = 64
 STAGED_FILES = 4
 
 
@@ -171,18 +172,18 @@ def record_stream(spark, sf_dir):
     return media.length_prefixed(streams).select("file_id", "record_no", "size", digest(F.col("payload")).alias("digest"))
 
 
-@query("""SELECT doc_id, 'base64' AS notation, octet_length(from_base64(s))::INT AS size, md5(hex(from_base64(s))) AS digest
-FROM (SELECT doc_id, md5(text) AS s FROM documents)
-UNION ALL SELECT doc_id, 'hex', octet_length(unhex(s))::INT, md5(hex(unhex(s))) FROM (SELECT doc_id, md5(text) AS s FROM documents)""")
+@query("""SELECT doc_id, notation, octet_length(encode(text))::INT AS size, md5(hex(encode(text))) AS digest
+FROM documents, (VALUES ('base64'), ('hex')) t(notation)""")
 def packet_literals(spark, sf_dir):
-    """A hash's 32 hex digits are a literal in either notation."""
-    literals = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("s"))
+    """Every text as a literal in either notation, decoded again."""
+    raw = F.col("text").cast("binary")
+    literals = table(spark, sf_dir, "documents").select("doc_id", F.base64(raw).alias("base64"), F.lower(F.hex(raw)).alias("hex"))
 
     def decoded(notation: str, packet: Column) -> DataFrame:
         return literals.select(
             "doc_id", F.lit(notation).alias("notation"), F.octet_length(packet).alias("size"), digest(packet).alias("digest"))
 
-    return decoded("base64", from_base64(F.col("s"))).unionByName(decoded("hex", from_hex(F.col("s"))))
+    return decoded("base64", from_base64(F.col("base64"))).unionByName(decoded("hex", from_hex(F.col("hex"))))
 
 
 @query("""SELECT p_partkey, bin(p_partkey) AS code, p_size::INT AS a, -p_partkey::INT AS b FROM part""")
@@ -221,9 +222,9 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reused_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight object numbers used over and over; an object that never fills swallows its successor."""
+    """Files of 64 conversations; eight object numbers used over and over, and an object that never fills swallows its successor."""
     return _turns(spark, sf_dir).select(
-        F.lit(1).cast("bigint").alias("file_id"),
+        F.call_function("div", F.col("conv_id"), F.lit(CONVERSATIONS_PER_FILE)).alias("file_id"),
         (F.col("conv_id") * 64 + F.col("turn")).alias("packet_no"),
         F.lit(0).alias("payload_no"),
         (F.col("conv_id") % 8).alias("object_no"),
@@ -250,20 +251,20 @@ def incomplete_objects(spark, sf_dir):
 
 
 _REUSED = f"""{_TURNS},
-fr AS (SELECT conv_id % 8 AS object_no, conv_id * 64 + turn AS pk, turn, text, sz, declared,
-  row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS rn FROM d),
-walk AS (SELECT DISTINCT object_no, 0::BIGINT AS rn, 0::BIGINT AS episode, 0::BIGINT AS bytes, 0::BIGINT AS done FROM fr
-  UNION ALL SELECT fr.object_no, fr.rn, w.episode + CASE WHEN w.done > 0 THEN 1 ELSE 0 END,
+fr AS (SELECT conv_id // {CONVERSATIONS_PER_FILE} AS file_id, conv_id % 8 AS object_no, conv_id * 64 + turn AS pk, turn, text, sz, declared,
+  row_number() OVER (PARTITION BY conv_id // {CONVERSATIONS_PER_FILE}, conv_id % 8 ORDER BY conv_id, turn) AS rn FROM d),
+walk AS (SELECT DISTINCT file_id, object_no, 0::BIGINT AS rn, 0::BIGINT AS episode, 0::BIGINT AS bytes, 0::BIGINT AS done FROM fr
+  UNION ALL SELECT fr.file_id, fr.object_no, fr.rn, w.episode + CASE WHEN w.done > 0 THEN 1 ELSE 0 END,
     CASE WHEN w.done > 0 THEN 0 ELSE w.bytes END + fr.sz,
     CASE WHEN CASE WHEN w.done > 0 THEN 0 ELSE w.bytes END + fr.sz >= fr.declared THEN fr.declared ELSE 0 END
-  FROM walk w JOIN fr ON fr.object_no = w.object_no AND fr.rn = w.rn + 1),
-ep AS (SELECT object_no, w.episode, max(done) AS size, max(pk) AS emit_packet,
-  string_agg(text, '' ORDER BY turn, pk) AS body FROM walk w JOIN fr USING (object_no, rn) GROUP BY object_no, w.episode
+  FROM walk w JOIN fr ON fr.file_id = w.file_id AND fr.object_no = w.object_no AND fr.rn = w.rn + 1),
+ep AS (SELECT file_id, object_no, w.episode, max(done) AS size, max(pk) AS emit_packet,
+  string_agg(text, '' ORDER BY turn, pk) AS body FROM walk w JOIN fr USING (file_id, object_no, rn) GROUP BY file_id, object_no, w.episode
   HAVING max(done) > 0)
-SELECT object_no, episode, size::INT AS size, emit_packet, md5(substr(hex(encode(body)), 1, 2 * size)) AS digest FROM ep"""
+SELECT file_id, object_no, episode, size::INT AS size, emit_packet, md5(substr(hex(encode(body)), 1, 2 * size)) AS digest FROM ep"""
 
 
 @query(f"WITH RECURSIVE {_REUSED}")
 def reassemble_reused(spark, sf_dir):
     whole = R.reassemble(reused_fragments(spark, sf_dir), reuse=True)
-    return whole.select("object_no", "episode", "size", "emit_packet", digest(F.col("payload")).alias("digest"))
+    return whole.select("file_id", "object_no", "episode", "size", "emit_packet", digest(F.col("payload")).alias("digest"))

@@ -11,6 +11,10 @@ from cinelake.plans.registry import query, table
 from cinelake.session import shared_dir
 from cinelake.sources import media
 from cinelake.sources import tables as S
+from cinelake.sources.packed import read_packed, write_packed
+
+#: Order keys whose points of a supplier share a file.
+ORDERS_PER_FILE = 100_000
 
 
 @query("SELECT p_brand AS table_id, bin(p_partkey) AS code, p_partkey::VARCHAR AS symbol FROM part")
@@ -37,18 +41,25 @@ def vote_files(spark, sf_dir):
   l_returnflag = 'R' AS from_left, (l_orderkey % 1000)::INT AS true_pred, l_linestatus AS ac_pred, count(*) AS n
 FROM lineitem GROUP BY ALL""")
 def point_files(spark, sf_dir):
-    """Observation points as JSON arrays, one file per supplier, and back."""
+    """Observation points as JSON arrays in packed files of bounded size, every third one cut off inside its last point, and back."""
     text = lambda c: c.cast("string")
     point = F.array(
         text(F.col("l_linenumber")), text(F.col("l_partkey") % 100), text(F.col("l_quantity").cast("int")),
         text(F.col("l_returnflag") == "R"), text(F.col("l_orderkey") % 1000), F.lit("0"), F.col("l_linestatus"),
         F.lit("1"), F.lit("2"), F.lit("f"))
-    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("table_id")).agg(
-        F.to_json(F.collect_list(point)).alias("value"))
+    # a supplier's points go to numbered files, so that none grows with its supplier
+    number = F.call_function("div", F.col("l_orderkey"), F.lit(ORDERS_PER_FILE))
+    arrays = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), number.alias("number")).agg(
+        F.to_json(F.collect_list(point)).alias("array"))
+    cut = F.concat(F.expr("left(array, length(array) - 1)"), F.lit(',["7","8","cut'))
+    files = arrays.select(
+        F.concat_ws("/", text(F.col("supplier")), F.concat(text(F.col("number")), F.lit(".json"))).alias("path"),
+        F.when(F.col("number") % 3 == 0, cut).otherwise(F.col("array")).alias("content"))
     path = shared_dir(spark, "point-files")
-    files.repartition("table_id").write.partitionBy("table_id").text(path)
+    write_packed(files, path)
+    docs = read_packed(spark, path).select(F.substring_index("path", "/", 1).alias("table_id"), F.col("content").alias("value"))
     columns = ["table_id", "left", "topleft", "top", "from_left", "true_pred", "ac_pred"]
-    return S.read_points(spark, path).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return S.points_of(docs).filter("_corrupt_record IS NULL").groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'html' ELSE 'unknown' END AS container, page_id,
@@ -64,14 +75,14 @@ def table_sink(spark, sf_dir):
 @query("""SELECT conv_id, octet_length(encode(body))::BIGINT AS length, md5(body) AS digest, 'unknown' AS container
 FROM (SELECT conv_id, string_agg(turn || ':' || text, chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY conv_id)""")
 def file_bytes(spark, sf_dir):
-    """A text file per conversation, read as media files."""
+    """A text file per conversation, packed, and read as media files."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     body = F.array_join(F.transform(turns, lambda t: F.concat_ws(":", t["turn"].cast("string"), t["text"])), "\n")
-    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("value"))
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(body, F.lit("\n")).alias("content"))
     path = shared_dir(spark, "text-files")
-    files.repartition("conv_id").write.partitionBy("conv_id").text(path)
-    conv = F.regexp_extract("path", "conv_id=([0-9]+)/", 1).cast("bigint")
-    found = media.sniff(media.media_files(spark, path, "*.txt"))
+    write_packed(files.select(F.concat(F.col("conv_id").cast("string"), F.lit(".txt")).alias("path"), "content"), path)
+    conv = F.regexp_extract("path", r"^([0-9]+)\.txt$", 1).cast("bigint")
+    found = media.sniff(read_packed(spark, path))
     return found.select(conv.alias("conv_id"), "length", F.md5("content").alias("digest"), "container")
 
 

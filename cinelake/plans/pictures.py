@@ -88,17 +88,18 @@ def coded_pattern(spark, sf_dir):
     return Q.coded_pattern(blocks, ["mbx"], 1800, 1700)
 
 
-@query(f"""WITH {_SAMPLES}, k AS (SELECT vec_id, v, i, CASE WHEN i < 32 THEN 'Y' WHEN i < 40 THEN 'Cb' ELSE 'Cr' END AS plane FROM x
-  WHERE i < 48)
+@query(f"""WITH {_SAMPLES}, k AS (SELECT vec_id, v, i, CASE WHEN i < 40 THEN 'Y' WHEN i < 52 THEN 'Cb' ELSE 'Cr' END AS plane FROM x)
 SELECT vec_id::VARCHAR AS clip_id, 0 AS frame_no, plane,
-  (CASE WHEN i < 32 THEN i // 8 WHEN i < 40 THEN (i - 32) // 4 ELSE (i - 40) // 4 END)::INT AS "row",
+  (CASE WHEN i < 40 THEN i // 5 WHEN i < 52 THEN (i - 40) // 3 ELSE (i - 52) // 3 END)::INT AS "row",
   string_agg(v::VARCHAR, ',' ORDER BY i) AS samples FROM k GROUP BY ALL""")
 def raw_planes(spark, sf_dir):
-    """The 64 bytes hold one 8x4 picture (48 bytes) and a partial one."""
-    raw = F.unhex(F.array_join(F.transform("a", lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), ""))
+    """The 64 bytes are one picture of 5x8; every fifth file goes on with part of another."""
+    byte = lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")
+    whole, part = F.transform("a", byte), F.transform(F.slice("a", 1, 50), byte)
+    raw = F.unhex(F.array_join(F.when(F.col("frame_no") % 5 == 4, F.concat(whole, part)).otherwise(whole), ""))
     files = _pictures(spark, sf_dir).select(F.col("frame_no").alias("file_id"), raw.alias("content"))
     samples = F.array_join(F.transform("samples", lambda v: v.cast("string")), ",")
-    return i420_planes(files, 8, 4).withColumn("samples", samples)
+    return i420_planes(files, 5, 8).withColumn("samples", samples)
 
 
 @query("""WITH g AS (SELECT l_orderkey AS clip, count(*) AS n, min(l_returnflag) AS lo, max(l_returnflag) AS hi FROM lineitem GROUP BY ALL)

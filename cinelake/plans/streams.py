@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from cinelake.operators.scan import Running, ordered_scan
 from cinelake.plans.clips import _TRACKED, SPAN, packets
-from cinelake.plans.containers import _REUSED, reused_fragments
+from cinelake.plans.containers import _REUSED, CONVERSATIONS_PER_FILE, reused_fragments
 from cinelake.plans.registry import digest, query
-from cinelake.session import shared_dir
+from cinelake.session import saved, shared_dir
 from cinelake.streaming.frames import track_batches
 from cinelake.streaming.reassembly import stream_reassemble as assemble_stream
 from cinelake.streaming.run import drain
 
 STAGED_FILES = 4
 FILES_PER_TRIGGER = 2
+FILE_PACKETS = 64 * CONVERSATIONS_PER_FILE
 
 
 def _stream_of(df: DataFrame, name: str, files_per_trigger: int | None) -> DataFrame:
@@ -46,7 +47,12 @@ def stream_gops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_REUSED}")
 def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments in one micro-batch; objects spanning several are covered by the tests."""
-    stream = _stream_of(reused_fragments(spark, sf_dir), "fragments", None)
-    out = drain(assemble_stream(stream), "objects")
-    return out.select("object_no", "episode", "size", "emit_packet", digest(F.col("payload")).alias("digest"))
+    """Fragments arrive in several runs of one query, along their packet numbers, so that many objects span two."""
+    fragments = saved(reused_fragments(spark, sf_dir), "reused")
+    last = fragments.agg(F.max(F.col("packet_no") % FILE_PACKETS)).first()[0] or 0
+    part = F.call_function("div", F.col("packet_no") % FILE_PACKETS * STAGED_FILES, F.lit(last + 1))
+    path, base = shared_dir(spark, "fragments"), shared_dir(spark, "objects")
+    for number in range(STAGED_FILES):
+        fragments.filter(part == number).write.mode("append").parquet(path)
+        out = drain(assemble_stream(spark.readStream.schema(fragments.schema).parquet(path)), "objects", base)
+    return out.select("file_id", "object_no", "episode", "size", "emit_packet", digest(F.col("payload")).alias("digest"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cinelake.sources.walk import walk_records
 
 
 
@@ -60,11 +66,52 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
     return symbols.select("table_id", "symbol", F.explode_outer("codes").alias("code", "n"), "_corrupt_record")
 
 
+#: What matters to nesting: whole strings, and brackets outside of them.
+_NESTING = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{}]', re.S)
+_BLANK = b" \t\r\n,"
+
+
+def _elements(data: bytes) -> Iterator[tuple]:
+    """Elements of a JSON array by bracket depth: (element, None) for each whole one, (None, text) for what cannot be one.
+
+    A cut array gives all elements before the cut, and its tail; text that is no array comes out whole.
+    """
+    start = len(data) - len(data.lstrip())
+    if data[start : start + 1] != b"[":
+        yield None, data
+        return
+    depth, at = 0, start + 1
+    for m in _NESTING.finditer(data, start):
+        kind = m[0][:1]
+        if kind in b"[{":
+            depth += 1
+        elif kind in b"]}":
+            depth -= 1
+            if depth == 1:
+                yield data[at : m.end()].lstrip(_BLANK), None
+                at = m.end()
+            elif depth == 0:
+                tail = data[at : m.start()].strip(_BLANK) + data[m.end() :].strip()
+                if tail:
+                    yield None, tail
+                return
+    tail = data[at:].strip(_BLANK)
+    yield None, tail or b"["
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Observation points from an array of ten-element arrays, as named columns."""
-    rows = _checked(_documents(spark, path), "array<array<string>>").select(
-        "table_id", "_corrupt_record", F.explode_outer("parsed").alias("p")
-    )
+    """Observation points from files that are arrays of ten-element arrays, as named columns."""
+    return points_of(_documents(spark, path))
+
+
+def points_of(docs: DataFrame) -> DataFrame:
+    """Points of JSON documents (``table_id``, ``value``). An array is cut into its elements, so what stands before the end of a
+    cut file counts; the cut-off tail, and elements that are no points, keep their text in ``_corrupt_record``."""
+    found = walk_records(docs.withColumn("value", F.col("value").cast("binary")), _elements,
+                         StructType().add("element", "binary").add("rest", "binary"), ("table_id",), "value")
+    text = F.col("element").cast("string")
+    point = F.from_json(text, "array<string>")
+    rows = found.select("table_id", point.alias("p"), F.coalesce(F.col("rest").cast("string"), F.when(point.isNull(), text)).alias("_corrupt_record"))
     types = {
         "left": "int", "topleft": "int", "top": "int", "from_left": "boolean", "true_pred": "int",
         "blk": "int", "ac_pred": "string", "mx": "int", "my": "int", "frame": "string",

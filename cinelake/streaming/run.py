@@ -27,13 +27,13 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(PROVIDER_KEY, before)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """Process everything available, with checkpoint and output in the shared folder; returns the output.
 
-    For streams without timers: one whose timers keep firing never counts as drained.
+    With the ``base`` folder of an earlier run it goes on with its state, from what has come since. For streams without timers: one whose timers keep firing never counts as drained.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, name)
+    base = base or shared_dir(spark, name)
     with rocksdb_state(spark):
         query = (
             stream.writeStream.format("parquet")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinelake.operators.lookup import lookup_join
+from cinelake.operators.ranking import positions
 from cinelake.operators.scan import chunk_of
 from cinelake.session import saved
 
@@ -92,30 +93,27 @@ def prefix_free_part(codes: DataFrame) -> DataFrame:
     return one.join(shadowed, KEY, "left_anti")
 
 
-def prefix_lookup(df: DataFrame, col: str, codes: DataFrame, index_bits: int = 8) -> DataFrame:
+def prefix_lookup(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
     """Match the start of a bit string against its table's codes; the shortest code wins.
 
-    Adds ``code`` and ``symbol`` (null when nothing matches). The table becomes an index on the first
-    ``index_bits`` bits: a shorter code fills every slot it covers, longer ones share a slot. Each
-    probe row then needs one equi-join and a look at a handful of candidates - rows are neither
-    multiplied nor regrouped.
+    Adds ``code`` and ``symbol`` (null when nothing matches). Where no code starts another, the only code that can start
+    a string is the greatest one not after it. A table of n codes is cut into about sqrt(n) stretches of its order; a
+    probe finds its stretch among their first codes and its code inside the stretch, so it looks at some 2 sqrt(n)
+    codes however long their common starts are. Both steps are equi-joins with small rows; probes are neither multiplied nor regrouped.
     """
-    free = prefix_free_part(codes)
-    short = F.length("code") < index_bits
-    room = F.lit(index_bits) - F.length("code")
-    fill = F.transform(
-        F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.greatest(room, F.lit(0))) - 1),
-        lambda i: F.concat(F.col("code"), F.lpad(F.bin(i), room, F.lit("0"))),
-    )
-    slots = F.when(short, fill).otherwise(F.array(F.substring("code", 1, index_bits)))
-    index = (
-        free.withColumn("_slot", F.explode(slots))
-        .groupBy(TABLE, "_slot")
-        .agg(F.array_sort(F.collect_list(F.struct(F.length("code").alias("n"), "code", "symbol"))).alias("_c"))
-    )
-    probe = df.withColumn("_slot", F.rpad(F.substring(F.col(col), 1, index_bits), index_bits, "0"))
-    found = lookup_join(probe, index, [TABLE, "_slot"], "left", computed=True)
-    hit = F.get(F.filter(F.col("_c"), lambda c: F.startswith(F.col(col), c["code"])), F.lit(0))
+    free = saved(prefix_free_part(codes), "free-codes")
+    placed = positions(free, [TABLE, "code"], "_at")
+    tables = placed.groupBy(TABLE).agg(F.min("_at").alias("_first"), F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_step"))
+    ranged = placed.join(tables, TABLE).withColumn(
+        "_range", F.call_function("div", F.col("_at") - F.col("_first"), F.col("_step")).cast("int"))
+    index = saved(ranged.groupBy(TABLE, "_range").agg(F.array_sort(F.collect_list(F.struct("code", "symbol"))).alias("_c")), "stretches")
+    starts = index.groupBy(TABLE).agg(F.array_sort(F.collect_list(F.col("_c")[0]["code"])).alias("_starts"))
+    bits = F.col(col)
+    probe = lookup_join(df, starts, [TABLE], "left", computed=True)
+    probe = probe.withColumn("_range", F.size(F.filter("_starts", lambda s: s <= bits)) - 1).drop("_starts")
+    found = lookup_join(probe, index, [TABLE, "_range"], "left")
+    last = F.try_element_at(F.filter("_c", lambda c: c["code"] <= bits), F.lit(-1))
+    hit = F.when(F.startswith(bits, last["code"]), last)
     return found.withColumn("_hit", hit).select(
         *[F.col(f"`{c}`") for c in df.columns], F.col("_hit.code").alias("code"), F.col("_hit.symbol").alias("symbol")
     )

@@ -45,18 +45,27 @@ def test_prefix_conflict_pairs(spark):
     assert got == {(a, b) for a in set(cs) for b in set(cs) if a != b and b.startswith(a)}
 
 
-@pytest.mark.parametrize("index_bits", [2, 8])
-def test_prefix_lookup(spark, index_bits):
+@pytest.mark.parametrize("start", ["", "1" * 20])
+def test_prefix_lookup(spark, start):
     rng = random.Random(9)
-    table = ["".join(rng.choice("01") for _ in range(rng.randrange(2, 13))) for _ in range(40)]
-    probes = ["".join(rng.choice("01") for _ in range(rng.randrange(1, 16))) for _ in range(200)] + [""]
+    table = [start + "".join(rng.choice("01") for _ in range(rng.randrange(2, 13))) for _ in range(40)]
+    probes = [start + "".join(rng.choice("01") for _ in range(rng.randrange(1, 16))) for _ in range(200)] + ["", "0", start]
     df = spark.createDataFrame([(i, "t", p) for i, p in enumerate(probes)], "id int, table_id string, bits string")
-    got = {r.id: (r.code, r.symbol) for r in C.prefix_lookup(df, "bits", codes(spark, {"t": table}), index_bits).collect()}
+    got = {r.id: (r.code, r.symbol) for r in C.prefix_lookup(df, "bits", codes(spark, {"t": table, "u": ["0", "1"]})).collect()}
     for i, p in enumerate(probes):
         hits = sorted((len(c), s, c) for s, c in enumerate(table) if p.startswith(c))
         assert got[i] == ((hits[0][2], hits[0][1]) if hits else (None, None))
 
 
+def test_prefix_lookup_in_large_tables_with_long_common_starts(spark):
+    table = ["1" * 30 + f"{k:011b}" for k in range(1100)]
+    rows = [(k, "t", "1" * 30 + f"{k:011b}" + "01") for k in range(0, 1200, 7)] + [(5000, "none", "0"), (5001, "t", None), (5002, None, "0")]
+    df = spark.createDataFrame(rows, "id int, table_id string, bits string")
+    found = C.prefix_lookup(df, "bits", codes(spark, {"t": table, "other": ["0", "10"]}))
+    got = {r.id: r.symbol for r in found.collect()}
+    assert got == {k: (k if k < 1100 else None) for k, *_ in rows}
+
+
 def test_votes(spark):
     obs = spark.createDataFrame(
         [("t", 0, "01")] * 3 + [("t", 0, "1")] * 3 + [("t", 0, "00")] + [("t", 1, "1")] * 2 + [("u", 0, "1")],

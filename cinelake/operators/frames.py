@@ -40,6 +40,15 @@ def with_config(frames: DataFrame, rl_chroma: int = 1, rl: int = 2, dc: int = 1)
     return frames.filter((h["rl_chroma"] == rl_chroma) & (h["rl"] == rl) & (h["dc"] == dc))
 
 
+def by_config(frames: DataFrame) -> DataFrame:
+    """Frames in the order of their code tables, so that a written table's row groups each hold few combinations.
+
+    ``with_config`` over such a table skips the others. A combination that holds many frames is split along their order.
+    """
+    order = [F.col("header")[n] for n in ("rl_chroma", "rl", "dc")] + [F.col(c) for c in ("file_id", "seq") if c in frames.columns]
+    return frames.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def _intra() -> Column:
     return F.col("frame_type") == "I"
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cinelake.functions import codecs as C
 from cinelake.operators import frames as FR
 from cinelake.plans.registry import query, table
-from cinelake.session import saved
+from cinelake.session import saved, shared_dir
+from cinelake.sources.tables import write_table
 
 # event ids count all clips together, so a clip's chunk spans many ids
 SPAN = 1 << 22
@@ -238,3 +239,11 @@ def status_classes(spark, sf_dir):
 @query(f"""WITH {_HEADERS} SELECT seq, v AS version FROM hd WHERE rc = 1 AND rl = 2 AND dc = 1""")
 def config_filter(spark, sf_dir):
     return FR.with_config(coded_frames(spark, sf_dir)).select("seq", "version")
+
+
+@query(f"""WITH {_HEADERS} SELECT seq, v AS version FROM hd WHERE rc = 1 AND rl = 2 AND dc = 1""")
+def config_scan(spark, sf_dir):
+    """The same frames from a table written in the order of their configurations: the filter skips row groups of the scan."""
+    path = shared_dir(spark, "clustered-frames")
+    write_table(FR.by_config(coded_frames(spark, sf_dir)), path)
+    return FR.with_config(spark.read.parquet(path)).select("seq", "version")

@@ -12,7 +12,7 @@ from cinelake.operators.frames import reconcile_index
 from cinelake.plans import builders as B
 from cinelake.plans.registry import digest, query, table
 from cinelake.session import shared_dir
-from cinelake.sources import asf, avi, media
+from cinelake.sources import asf, avi, media, ranged
 from cinelake.sources.records import media_records
 from cinelake.sources.tables import codes_from_text, from_base64, from_hex
 from cinelake.streaming.frames import stream_frames
@@ -23,6 +23,8 @@ WMV_STEP = 256
 OBJECT_SPACING = 1 << 20
 CONVERSATIONS_PER_FILE = 64
 STAGED_FILES = 4
+DOCS_PER_ARCHIVE = 512
+ARCHIVE_RANGE = 128 << 10
 
 
 def _lines(text: Column) -> Column:
@@ -110,6 +112,35 @@ def stream_files(spark, sf_dir):
         "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
 
 
+def avi_archives(spark: SparkSession, sf_dir: str) -> str:
+    """AVI files on disk, each of the lines of many documents, written by Spark as text files of binary rows.
+
+    An empty JUNK chunk is the line separator. Stated sizes are the largest there are, as in files that were streamed.
+    """
+    docs = table(spark, sf_dir, "documents").withColumn("file_no", F.call_function("div", F.col("doc_id"), F.lit(DOCS_PER_ARCHIVE)))
+    lines = docs.select("file_no", "doc_id", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    packets = lines.select("file_no", "doc_id", "place", B.chunk("00dc", F.col("line")).alias("row"))
+    unknown = B.int_le(0xFFFFFFFE, 4)
+    opening = F.concat(F.lit(b"RIFF"), unknown, F.lit(b"AVI "), B.avi_header(F.lit(LINE_CODEC), 96, 64), F.lit(b"LIST"), unknown, F.lit(b"movi"))
+    heads = docs.select("file_no").distinct().select("file_no", F.lit(None).alias("doc_id"), F.lit(0).alias("place"), opening.alias("row"))
+    rows = packets.unionByName(heads).repartition("file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "place")
+    path = shared_dir(spark, "archives")
+    rows.select("file_no", F.col("row").cast("string")).write.option("lineSep", "JUNK\0\0\0\0").partitionBy("file_no").text(path)
+    return path
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT *, doc_id // {DOCS_PER_ARCHIVE} AS file_no FROM l WHERE line <> '')
+SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY doc_id, k) - 1 AS seq, octet_length(encode(line))::INT AS size,
+  md5(hex(encode(line))) AS digest, false AS truncated, 'v3' AS version FROM n""")
+def ranged_packets(spark, sf_dir):
+    """Packets of files that several tasks read at once, range by range."""
+    files = ranged.list_files(spark, avi_archives(spark, sf_dir)).withColumn(
+        "file_id", F.regexp_extract("path", "file_no=([0-9]+)", 1).cast("bigint"))
+    packets = ranged.ranged_packets(ranged.file_ranges(files, ARCHIVE_RANGE), with_payload=True)
+    bound = FR.with_codec(packets, ranged.ranged_streams(files))
+    return bound.select(F.col("file_id").alias("file_no"), "seq", "size", digest(F.col("payload")).alias("digest"), "truncated", "version")
+
+
 def asf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ASF file per document, its text one media object."""
     pieces = B.object_pieces(F.col("text").cast("binary"), F.lit(7), ASF_STEP)

@@ -175,15 +175,20 @@ def asf_fragments(files: DataFrame, stream_no: int | None = -1, with_payload: bo
     return out if with_payload else out.drop("payload")
 
 
-def _fragment_walk(stream_no: int | None, with_payload: bool):
+def _fragment_walk(stream_no: int | None, with_payload: bool, start: int = 0, until: int | None = None):
+    """Walk the packets that start from ``start`` on and before ``until``: all of them by default."""
+
     def walk(data: bytes):
         layout = read_layout(data)
         if layout is None or layout.data_offset is None:
             return
         wanted = layout.stream_no if stream_no == -1 else stream_no
-        step = layout.packet_size
-        for n in range((len(data) - layout.data_offset) // step):
-            at = layout.data_offset + n * step
+        step, first = layout.packet_size, layout.data_offset
+        whole = (len(data) - first) // step
+        if until is not None:
+            whole = min(whole, -(-(until - first) // step))
+        for n in range(max(0, -(-(start - first) // step)), whole):
+            at = first + n * step
             for i, (stream, key, obj, offset, total, body) in enumerate(payloads(data[at : at + step])):
                 if wanted is None or stream == wanted:
                     yield n, i, stream, key, obj, offset, total, len(body), body[:HEAD_BYTES], body if with_payload else None

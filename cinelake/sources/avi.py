@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,33 +144,47 @@ def finish_streams(raw: DataFrame) -> DataFrame:
 VIDEO_STREAM = -1  # the first video stream of the header
 
 
+def media_list(data: bytes, stream_no: int | None) -> tuple[tuple[int, int] | None, tuple[bytes, ...] | None]:
+    """Range of an AVI file's media list (None: no such list) and the ids of the wanted chunks (None: all)."""
+    if stream_no == VIDEO_STREAM:  # a header without a video stream leaves it at the first
+        stream_no = next((row[1] for row in _describe(data)), None) or 0
+    wanted = None if stream_no is None else tuple(f"{stream_no:02d}{k}".encode() for k in ("dc", "db"))
+    return _movi_range(data) if is_avi(data) else None, wanted
+
+
+def chunk_end(data: bytes, at: int) -> int:
+    """Where the header after the one at ``at`` stands."""
+    size, body = _u32(data, at + 4), at + 8
+    if data[at : at + 4] == b"LIST" and data[body : body + 4] == b"rec ":
+        return body + 4  # a grouping list: its chunks follow in line
+    return body + size + size % 2
+
+
+def media_packets(data: bytes, at: int, end: int, until: int, wanted: tuple[bytes, ...] | None, with_payload: bool,
+                  max_size: int | None) -> Generator[tuple, None, int]:
+    """Wanted chunks from ``at`` on whose headers start before ``until``; returns where the walk would go on."""
+    seq = 0
+    while at + 8 <= end and at < until:
+        name, size, body, after = data[at : at + 4], _u32(data, at + 4), at + 8, chunk_end(data, at)
+        grouping = after == body + 4 and name == b"LIST" and data[body:after] == b"rec "
+        if max_size is not None and size > max_size and not grouping:
+            return end
+        if size > 0 and not grouping and (wanted is None or name in wanted):
+            stop = min(body + size, len(data))
+            yield (
+                seq, name.decode("latin-1"), at, stop - body, data[body : min(stop, body + HEAD_BYTES)],
+                data[body:stop] if with_payload else None, body + size > len(data),
+            )
+            seq += 1
+        at = after
+    return at
+
+
 def _packet_walk(stream_no: int | None, with_payload: bool, max_size: int | None):
     def walk(data: bytes):
-        number = stream_no
-        if number == VIDEO_STREAM:  # a header without a video stream leaves it at the first
-            number = next((row[1] for row in _describe(data)), None) or 0
-        wanted = None if number is None else tuple(f"{number:02d}{k}".encode() for k in ("dc", "db"))
-        movi = _movi_range(data) if is_avi(data) else None
-        if movi is None:
-            return
-        at, end = movi
-        seq = 0
-        while at + 8 <= end:
-            name, size, body = data[at : at + 4], _u32(data, at + 4), at + 8
-            if name == b"LIST" and data[body : body + 4] == b"rec ":
-                at = body + 4  # a grouping list: its chunks follow in line
-                continue
-            if max_size is not None and size > max_size:
-                return
-            if size > 0 and (wanted is None or name in wanted):
-                stop = min(body + size, len(data))
-                payload = data[body:stop] if with_payload else None
-                yield (
-                    seq, name.decode("latin-1"), at, stop - body, data[body : min(stop, body + HEAD_BYTES)],
-                    payload, body + size > len(data),
-                )
-                seq += 1
-            at = body + size + size % 2
+        movi, wanted = media_list(data, stream_no)
+        if movi is not None:
+            yield from media_packets(data, *movi, movi[1], wanted, with_payload, max_size)
 
     return walk
 

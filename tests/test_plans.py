@@ -34,6 +34,20 @@ def test_filter_reaches_parquet_after_writing_frames(spark, tmp_path):
     assert "EqualTo(header.rl_chrom" in plan and "header:struct<rl_chroma:int,rl:int,dc:int>" in plan
 
 
+def test_filter_skips_files_of_a_clustered_table(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id seq", "named_struct('rl_chroma', int(id % 3), 'rl', int(id div 3 % 3), 'dc', int(id % 2)) header")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of a small table
+    try:
+        frames.by_config(rows).write.parquet(f"{tmp_path}/frames")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = spark.read.parquet(f"{tmp_path}/frames")
+    assert table.count() == 4000 and frames.with_config(table).count() == frames.with_config(rows).count() > 0
+    files = table.groupBy(F.input_file_name()).agg(F.min("header.rl_chroma").alias("low"), F.max("header.rl_chroma").alias("high"))
+    assert 0 < files.filter("low <= 1 AND high >= 1").count() < files.count()
+    assert "EqualTo(header.rl_chr" in plan_of(frames.with_config(table).select("seq"))
+
+
 def test_running_aggregates_never_window_over_a_whole_key(spark):
     df = spark.range(1000).selectExpr("id div 100000 as file_id", "id as seq", "id % 7 as v")
     out = scan.ordered_scan(df, ["file_id"], ["seq"], {"s": scan.Running("sum", F.col("v"))}, chunk_rows=10)

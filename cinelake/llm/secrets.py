@@ -1,9 +1,11 @@
 """Secret scan: three fixed patterns, then assignment-aware lexing.
 
-The lexer reads source and configuration syntax (``name = "x"``, ``"name": "x"``, ``NAME=x`` lines, YAML
-``name: x``, ``name := "x" + "y"``) into pairs of a target name and its literals. A right side that is a name
-stands for the literals of that name wherever it is defined (constants are propagated, through chains and
-cycles). A literal is scored by the words of the names it reaches and by its own shape, and reported where it stands.
+The lexer cuts a text into strings, names, operators and line ends, and reads pairs of a target name and a value from
+them: ``name = "x"``, ``name: type = "x"``, ``"name": "x"``, ``map["name"] = "x"``, ``setName("x")``, ``get("name", "x")``,
+``<name>x</name>``, ``name="n" value="x"``, ``NAME=x`` lines. A value is what strings and names joined by ``+`` or
+side by side make. A name stands for its value (constants are propagated, through chains and
+cycles), so ``"abc" + REST`` is judged as a whole and all its pieces are reported. A value is scored by the words of the names
+it reaches and by its own shape. Commented-out pairs count as well: they leak as much.
 
 Scanning is per row: one Arrow pass, whole texts, no shuffle, so a lost executor costs the batch it held.
 """
@@ -15,6 +17,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -42,21 +45,29 @@ NAME_WEIGHTS = {
     "credential": 3, "credentials": 3, "auth": 2, "bearer": 2, "private": 1, "access": 1, "api": 1, "key": 1,
     "client": 1, "signing": 1, "encryption": 1, "salt": 1,
 }
+SENSITIVE = re.compile("|".join((*NAME_WEIGHTS, "api_key")), re.I)
 LEAST_NAME, LEAST_SCORE, LEAST_LITERAL = 2, 5, 8
 PLACEHOLDER = re.compile(r"(?i)^(?:\W*|(.)\1*|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|none|true|false|changeme|example.*"
                          r"|placeholder|your[_-].*|password|secret|token|todo|redacted)$")
 
-# Quantifiers are possessive and names start at their first letter only, so that scans are linear in the text.
-NAME = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.\-])[A-Za-z_][A-Za-z0-9_]*+(?:[.\-][A-Za-z0-9_]++)*+"
-QUOTED = r"""[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
-PAIR = re.compile(
-    rf"""(?P<name>{NAME})["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][A-Za-z0-9_]*+(?:[.\[][A-Za-z0-9_.,| \[\]]*+)?+[ \t]*+(?==))?(?::=|=>|(?<![=!<>])=(?!=)|:)[ \t]*+"""
-    rf"""(?:(?P<quoted>{QUOTED}(?:[ \t]*+\+?[ \t]*+\n?[ \t]*+{QUOTED})*+)|(?P<ref>{NAME})(?=[ \t]*+(?:[;,)#\n\r]|\Z)))"""
-)
+# Quantifiers are possessive and no token can be started from inside another, so that scans are linear in the text.
+NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.\-][A-Za-z0-9_]++)*+"
+TOKEN = re.compile(
+    r"""(?P<prose>(?:[A-Za-z]++\x20++(?=[A-Za-z_]))++)"""
+    r"""|(?P<string>(?:[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*+"|(?<![A-Za-z0-9])'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`))"""
+    r"""|(?<![A-Za-z0-9])[rbfuRBFU]{1,2}'(?:[^'\\\n]|\\.)*+')"""
+    rf"""|(?P<name>{NAME})|(?P<end>\n)|(?P<op>:=|=>|->|[=!<>]=|\+=|[=:+&,;()\[\]{{}}|<>?\#])"""
+    r"""|(?P<other>[0-9][A-Za-z0-9_.\-]*+|\\.|[^\sA-Za-z0-9_]|\w)""")
 CONFIG = re.compile(
-    rf"^[ \t]*+(?:export[ \t]++|-[ \t]++)?(?P<name>{NAME})[ \t]*+[=:][ \t]*+(?P<bare>[^\s\"'#;][^\s\"';]*+)[ \t]*+;?\r?$", re.M)
-PIECE = re.compile(QUOTED)
+    rf"^[ \t]*+(?:export[ \t]++|-[ \t]++)?(?P<name>{NAME})[ \t]*+[=:][ \t]*+(?P<bare>[^\s\"'`#;][^\s\"'`;]*+)[ \t]*+;?\r?$", re.M)
+ELEMENT = re.compile(rf"<(?P<name>{NAME})(?:\s[^<>]*+)?>(?P<bare>[^<>]++)</(?P=name)\s*+>")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+ASSIGNS = {"=", ":=", "=>", ":", "+="}
+ENDS = {"", "\n", ";", ",", ")", "}", "]", "#"}
+#: First words of a call's last name that hand its argument to what the name says.
+SETTERS = {"set", "with", "put", "add", "use"}
+#: Lengths beyond this count as this where shares of letters are added up.
+LONG = 1_000_000
 
 Span = tuple[int, int]
 
@@ -73,62 +84,236 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def literals(m: re.Match) -> list[Span]:
-    """Insides of the quoted pieces on a right side."""
-    at = m.start("quoted")
-    spans = []
-    for p in PIECE.finditer(m["quoted"]):
-        lead = min(p[0].find(q) for q in "\"'" if q in p[0])
-        spans.append((at + p.start() + lead + 1, at + p.end() - 1))
-    return spans
-
-
 def name_weight(name: str) -> int:
     words = [w.lower() for w in WORD.findall(name)]
     return sum(NAME_WEIGHTS.get(w, 0) for w in dict.fromkeys(words))
 
 
-def literal_score(s: str) -> int:
-    """0 for what cannot be a secret, else points for variety, length and entropy."""
-    if len(s) < LEAST_LITERAL or any(c.isspace() for c in s) or PLACEHOLDER.match(s):
-        return 0
-    classes = sum(any(f(c) for c in s) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in s)
-    entropy = -sum(k / len(s) * math.log2(k / len(s)) for k in Counter(s).values())
-    return (classes >= 2) + (classes >= 3) + (len(s) >= 16) + (entropy >= 2.5) + (entropy >= 3.5)
+@dataclass(frozen=True)
+class Shape:
+    """What a value's score depends on: length, share of every character, white space."""
+
+    size: int
+    shares: dict[str, float]
+    blank: bool
+
+    @classmethod
+    def of(cls, s: str) -> Shape:
+        return cls(len(s), {c: k / len(s) for c, k in Counter(s).items()}, any(map(str.isspace, s)))
+
+    def __add__(self, other: Shape) -> Shape:
+        if not self.size or not other.size:
+            return self if self.size else other
+        a, b = min(self.size, LONG), min(other.size, LONG)
+        shares = {c: (self.shares.get(c, 0.0) * a + other.shares.get(c, 0.0) * b) / (a + b) for c in self.shares | other.shares}
+        return Shape(min(self.size + other.size, LONG), shares, self.blank or other.blank)
+
+    def score(self) -> int:
+        """0 for what cannot be a secret, else points for variety, length and entropy."""
+        if self.size < LEAST_LITERAL or self.blank:
+            return 0
+        classes = sum(any(map(f, self.shares)) for f in (str.islower, str.isupper, str.isdigit))
+        classes += any(not c.isalnum() for c in self.shares)
+        entropy = -sum(p * math.log2(p) for p in self.shares.values())
+        return (classes >= 2) + (classes >= 3) + (self.size >= 16) + (entropy >= 2.5) + (entropy >= 3.5)
+
+
+NOTHING = Shape(0, {}, False)
+#: A right side: spans of literals and names of constants, in order.
+Value = list[Span | str]
+
+
+class Lexer:
+    """Name-value pairs of a text: tokens first, then bindings read from them."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+        self.values: dict[str, list[Value]] = {}
+        for k in range(len(self.tokens)):
+            self.read(k)
+        for m in (*CONFIG.finditer(text), *ELEMENT.finditer(text)):
+            self.values.setdefault(m["name"], []).append([m.span("bare")])
+
+    def kind(self, k: int) -> str:
+        return self.tokens[k][0] if k < len(self.tokens) else "end"
+
+    def sign(self, k: int) -> str:
+        """The operator at ``k``, a line feed at the end of a line, nothing behind the last token, else a blank."""
+        if k >= len(self.tokens):
+            return ""
+        kind, a, b = self.tokens[k]
+        return self.text[a:b] if kind in ("op", "end") else " "
+
+    def inside(self, k: int) -> Span:
+        """What stands between a string's quotes."""
+        _, a, b = self.tokens[k]
+        while self.text[a] not in "\"'`":
+            a += 1
+        return a + 1, b - 1
+
+    def label(self, k: int) -> str | None:
+        """The name or key at ``k``."""
+        if self.kind(k) == "name":
+            return self.text[slice(*self.tokens[k][1:])]
+        return self.text[slice(*self.inside(k))] if self.kind(k) == "string" else None
+
+    def read(self, k: int) -> None:
+        """Bindings whose target starts at ``k``: assignments, keys, annotated names, setters, key-value arguments."""
+        target = self.label(k)
+        if target is None:
+            return
+        at = k + 1
+        if self.kind(k) == "string" and self.sign(at) == "]":  # environ["x"] = ...
+            at += 1
+        sign = self.sign(at)
+        if sign in ASSIGNS:
+            names = [target]
+            if sign == ":":
+                end = self.annotated(at + 1)
+                if end is not None:
+                    near = self.tokens[at + 1]
+                    if near[0] == "name" and near[1] == self.tokens[at][2]:  # env:X = ...
+                        names.append(self.text[near[1] : near[2]])
+                    at = end
+            value, after = self.expression(at + 1)
+            if value:
+                for name in names:
+                    self.values.setdefault(name, []).append(value)
+            self.named_value(target, value, after)
+        elif self.kind(k) == "string" and sign == "," and self.kind(at + 1) == "string" and self.sign(k - 1) == "(":
+            self.bind(target, at + 1)
+        elif self.kind(k) == "name" and sign == "(" and self.kind(at + 1) == "string" and self.sign(at + 2) == ")":
+            words = WORD.findall(target.rsplit(".", 1)[-1])
+            if words and words[0].lower() in SETTERS:
+                self.bind(target, at + 1)
+
+    def bind(self, target: str, k: int) -> None:
+        self.values.setdefault(target, []).append([self.inside(k)])
+
+    def named_value(self, target: str, value: Value, after: int) -> None:
+        """``name="x" value="y"`` and its like in other notations: ``y`` belongs to ``x``."""
+        if target.lower() not in ("name", "key", "id") or len(value) != 1 or isinstance(value[0], str):
+            return
+        at = after + (self.sign(after) == ",")
+        at += self.sign(at) == "\n"
+        if (self.label(at) or "").lower() == "value" and self.sign(at + 1) in ("=", ":") and self.kind(at + 2) == "string":
+            self.bind(self.text[slice(*value[0])], at + 2)
+
+    def annotated(self, k: int) -> int | None:
+        """Place of the ``=`` behind a type that starts at ``k``."""
+        while self.kind(k) in ("name", "prose") or self.sign(k) in ("[", "]", "|", ",", "<", ">", "?"):
+            k += 1
+        return k if self.sign(k) == "=" else None
+
+    def expression(self, k: int) -> tuple[Value, int]:
+        """Literals and names joined from ``k`` on, and the place behind them; nothing if it is not a constant."""
+        value: Value = []
+        depth, joined, strings = 0, True, 0  # joined: an operand may follow
+        while True:
+            kind, sign = self.kind(k), self.sign(k)
+            if kind == "string":
+                value.append(self.inside(k))
+                strings += 1
+                joined = False
+            elif kind == "name" and joined:
+                value.append(self.text[slice(*self.tokens[k][1:])])
+                joined = False
+            elif sign == "(" and joined:
+                depth += 1
+            elif sign == ")" and depth:
+                depth -= 1
+            elif sign in ("+", "&") and not joined:
+                joined = True
+            elif sign == "\n" and (depth or (joined and value) or (strings and self.sign(k + 1) == "+")):
+                pass
+            else:
+                break
+            k += 1
+        if not strings and sign not in ENDS:
+            value = []
+        return value, k
+
+    def single(self, name: str) -> Value | None:
+        """A constant's value: that of a name with one definition."""
+        found = self.values.get(name, ())
+        return found[0] if len(found) == 1 else None
+
+    def shapes(self, value: Value, known: dict[str, Shape]) -> Shape:
+        """Shape of the whole value with constants put in; each constant is worked out once, a cycle adds nothing."""
+        todo = [p for p in value if isinstance(p, str)]
+        while todo:
+            name = todo[-1]
+            inner = self.single(name) or []
+            new = [p for p in inner if isinstance(p, str) and p not in known]
+            if name not in known and new:
+                known[name] = NOTHING  # while it is being worked out
+                todo += new
+                continue
+            if known.get(name, NOTHING) is NOTHING:
+                known[name] = self.total(inner, known)
+            todo.pop()
+        return self.total(value, known)
+
+    def total(self, value: Value, known: dict[str, Shape]) -> Shape:
+        out = NOTHING
+        for p in value:
+            out = out + (known.get(p, NOTHING) if isinstance(p, str) else Shape.of(self.text[slice(*p)]))
+        return out
+
+    def literals(self) -> set[Span]:
+        return {p for values in self.values.values() for v in values for p in v if not isinstance(p, str)}
+
+    def sensitive(self) -> set[Span]:
+        """Every piece of the values that reach a sensitive name and look like secrets as a whole.
+
+        Names are visited from those of the greatest weight on, so each counts once, with the greatest that it reaches.
+        """
+        out: set[Span] = set()
+        told: set[str] = set()
+        seen: set[str] = set()
+        known: dict[str, Shape] = {}
+        weights = {name: name_weight(name) for name in self.values}
+        for target in sorted((n for n, w in weights.items() if w >= LEAST_NAME), key=lambda n: (-weights[n], n)):
+            todo = [target]
+            while todo:
+                name = todo.pop()
+                if name in seen:
+                    continue
+                seen.add(name)
+                for value in self.values.get(name, ()):
+                    parts = [p for p in value if isinstance(p, str)]
+                    todo += parts
+                    direct = "".join(self.text[slice(*p)] for p in value if not isinstance(p, str))
+                    points = self.shapes(value, known).score()
+                    if points and weights[target] + points >= LEAST_SCORE and (parts or not PLACEHOLDER.match(direct)):
+                        self.tell(value, out, told)
+        return {s for s in out if s[0] < s[1]}
+
+    def tell(self, value: Value, out: set[Span], told: set[str]) -> None:
+        """Add the value's literals and those of the constants in it."""
+        todo = [value]
+        while todo:
+            for p in todo.pop():
+                if not isinstance(p, str):
+                    out.add(p)
+                elif p not in told and (inner := self.single(p)):
+                    told.add(p)
+                    todo.append(inner)
 
 
 def lexed_spans(text: str, assigned: list[Span]) -> list[Span]:
-    """Literals that reach a sensitive name and look like secrets, and words in which one of the ``assigned`` spans ends."""
-    if not any(c in text for c in ":="):
+    """Pieces of values that reach a sensitive name and look like secrets, and words in which one of the ``assigned`` spans ends."""
+    if not any(c in text for c in ":=(<") or not SENSITIVE.search(text):
         return []
-    defined: dict[str, list[Span]] = {}
-    refers: dict[str, set[str]] = {}
-    for m in PAIR.finditer(text):
-        if m["quoted"] is not None:
-            defined.setdefault(m["name"], []).extend(literals(m))
-        else:
-            refers.setdefault(m["name"], set()).add(m["ref"])
-    for m in CONFIG.finditer(text):
-        defined.setdefault(m["name"], []).append(m.span("bare"))
+    lexer = Lexer(text)
     ends = [e for _, e in assigned]
 
     def entered(a: int, b: int) -> bool:
         k = bisect_right(ends, a)
         return k < len(ends) and assigned[k][0] < a and ends[k] < b and not any(map(str.isspace, text[a:b]))
 
-    found = {s for spans in defined.values() for s in spans if entered(*s)}
-    for target in defined.keys() | refers.keys():
-        weight = name_weight(target)
-        if weight < LEAST_NAME:
-            continue
-        seen, todo = {target}, [target]
-        while todo:
-            name = todo.pop()
-            found.update(s for s in defined.get(name, ()) if (p := literal_score(text[s[0] : s[1]])) and weight + p >= LEAST_SCORE)
-            new = refers.get(name, set()) - seen
-            seen |= new
-            todo.extend(new)
-    return sorted(found)
+    return sorted({s for s in lexer.literals() if entered(*s)} | lexer.sensitive())
 
 
 def secret_spans(text: str | None) -> list[tuple[str, int, int]]:

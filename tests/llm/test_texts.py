@@ -99,7 +99,37 @@ def test_lexer_finds_literals_of_sensitive_names():
     assert literal('db_pwd = "hunter2!Horse9"') == ["hunter2!Horse9"]
     assert literal('{"clientCredential": "q8Zk-77Lm-02Px"}') == ["q8Zk-77Lm-02Px"]
     assert literal("export AUTH_KEY=Zx81qPw5Tt90\n") == ["Zx81qPw5Tt90"]
-    assert literal('auth_key: str = "abc4" + "defGH12345"') == ["defGH12345"]
+    assert literal('auth_key: str = "abc4" + "defGH12345"') == ["abc4", "defGH12345"]  # judged as a whole
+
+
+@pytest.mark.parametrize("text", [
+    "auth_key = `%s`", 'conn.setPassword("%s");', "<clientCredential>%s</clientCredential>", 'props.put("db_pwd", "%s")',
+    'os.environ["AUTH_KEY"] = "%s"', '<add key="DbPwd" value="%s" />', '{"name": "db_pwd", "value": "%s"}', 'pwd: Optional[str] = "%s"',
+    '$env:DB_PWD = "%s"', "connect(user='u', pwd='%s')", "# pwd = '%s'", 'pwd := ("%s")', 'auth_key = b"%s"', "don't\npwd = '%s'",
+    'let pwd: Map<string, string> = "%s"', "it's a pwd='%s'",
+])
+def test_lexer_reads_many_notations(text):
+    assert literal(text % "hunter2!Horse9") == ["hunter2!Horse9"]
+
+
+def test_joined_values_are_judged_as_a_whole():
+    assert literal('A = "hun"\nB = "ter2!"\npwd = A + B + "Horse9"\n') == ["hun", "ter2!", "Horse9"]
+    assert literal('pwd = ("hunt"\n  "er2!Ho"\n  "rse9")\nx = "y"') == ["hunt", "er2!Ho", "rse9"]
+    assert literal('pwd = "hunt" +\n  "er2!Horse9"\n"title": "z"') == ["hunt", "er2!Horse9"]
+    assert literal('A = "hun"\nA = "k3yM4terial99"\npwd = A\n') == ["k3yM4terial99"]  # two definitions, each by itself
+    assert literal('pwd = A + "hunter2!Horse9"\nA = pwd + ""\n') == ["hunter2!Horse9"]
+    assert literal('get_password("my-service-01")') == [] and literal('pwd = getenv("DB-PASSWORD-NAME-01")') == []
+
+
+def test_long_chains_of_constants_take_linear_time():
+    import time
+
+    n = 20_000
+    lines = ['pwd0 = "k3yM4terial99"'] + [f"pwd{k + 1} = pwd{k} + pwd{k}" for k in range(n)]
+    start = time.process_time()
+    assert literal("\n".join(lines)) == ["k3yM4terial99"]
+    assert literal("\n".join(reversed(lines))) == ["k3yM4terial99"]
+    assert time.process_time() - start < 20
 
 
 def test_lexer_propagates_constants():
@@ -128,7 +158,8 @@ def test_a_value_without_quotes_goes_to_its_end():
     assert literal('password = "24be64439e3e49cf46b2d7c9"') == []
 
 
-@pytest.mark.parametrize("unit", ["x", "a-", "a.", " ", "a=", 'a="', "a='b' ", "a: ", '"', "password ", "a:=b\n", "\t\n", "=", 'p="q"+ '])
+@pytest.mark.parametrize("unit", ["x", "a-", "a.", " ", "a=", 'a="', "a='b' ", "a: ", '"', "password ", "a:=b\n", "\t\n", "=", 'p="q"+ ',
+    "\\'", '\\"', "'\"`", "<a", "<a>", "pwd(", "a:[", "pwd='a'+", "pwd: a ", '("a",', "pwd=(", "é", "b'"])
 def test_lexing_takes_linear_time(unit):
     import time
 

@@ -151,6 +151,39 @@ def pattern_positions(s: Column, pattern: str) -> Column:
     return F.when(n >= m, found).otherwise(F.array().cast("array<int>"))
 
 
+#: Bits searched at once.
+BLOCK = 16
+HEX_DIGITS, NIBBLE_NAMES = "0123456789ABCDEF", "abcdefghijklmnop"
+
+
+def all_bits(payload: Column) -> Column:
+    """Every bit of a payload of any length as a string of ``0`` and ``1``, in time linear in it."""
+    out = F.translate(F.hex(payload), HEX_DIGITS, NIBBLE_NAMES)  # digits get names that are no bits
+    for k, name in enumerate(NIBBLE_NAMES):
+        out = F.replace(out, F.lit(name), F.lit(f"{k:04b}"))
+    return out
+
+
+def bit_positions(bits: Column, pattern: str) -> Column:
+    """``pattern_positions`` for long strings of ``0`` and ``1``: cuts bytes, so no array of characters is made.
+
+    Blocks are searched as a whole first, and bit by bit only where the pattern starts in them.
+    """
+    m = len(pattern)
+    if m == 0:
+        raise ValueError("pattern must not be empty")
+    wanted = F.lit(pattern).cast("binary")
+
+    def hits(b: Column) -> Column:
+        n = F.length(b)  # not of ``bits``, which would be worked out anew per block
+        blocks = F.filter(F.sequence(F.lit(0), n - m, F.lit(BLOCK)), lambda k: F.contains(F.substring(b, k + 1, F.lit(BLOCK + m - 1)), wanted))
+        return F.flatten(F.transform(blocks, lambda k: F.filter(
+            F.sequence(k, F.least(k + BLOCK - 1, n - m)), lambda i: F.substring(b, i + 1, F.lit(m)) == wanted)))
+
+    found = F.element_at(F.transform(F.array(bits.cast("binary")), hits), 1)
+    return F.when(F.length(bits) >= m, found).otherwise(F.array().cast("array<int>"))
+
+
 def trim_run(s: Column, ch: str) -> Column:
     """Drop the trailing run of one character."""
     return F.rtrim(s, F.lit(ch))

@@ -80,6 +80,33 @@ def bit_strings(spark, sf_dir):
         F.array_join(B.pattern_positions(F.col("bits"), "101"), ",").alias("positions"))
 
 
+#: Cannot overlap itself, so splitting at it meets every occurrence.
+_MARK = "0011101"
+
+
+@query(f"""WITH s AS (SELECT doc_id, coalesce((encode(nullif(text, ''))::BIT)::VARCHAR, '') AS s FROM documents),
+p AS (SELECT doc_id, unnest(string_split(s, '{_MARK}')) AS part, generate_subscripts(string_split(s, '{_MARK}'), 1) AS k FROM s),
+q AS (SELECT doc_id, sum(length(part) + {len(_MARK)}) OVER (PARTITION BY doc_id ORDER BY k) - {len(_MARK)} AS pos,
+  k = max(k) OVER (PARTITION BY doc_id) AS tail FROM p),
+h AS (SELECT doc_id, count(*) AS hits, min(pos) AS first, max(pos) AS last, sum(pos) AS total FROM q WHERE NOT tail GROUP BY doc_id)
+SELECT doc_id, length(s)::BIGINT AS n_bits, length(replace(s, '0', ''))::BIGINT AS ones, coalesce(hits, 0)::BIGINT AS hits,
+  first::BIGINT AS first_hit, last::BIGINT AS last_hit, coalesce(total, 0)::BIGINT AS hit_sum,
+  length(rtrim(s, '1'))::BIGINT AS trimmed, md5(s) AS bits_md5
+FROM s LEFT JOIN h USING (doc_id)""")
+def text_bits(spark, sf_dir):
+    """Every bit of every whole text: how many are set, and where a marker stands at any bit offset."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("p"))
+    rows = docs.select("doc_id", B.all_bits(F.col("p")).alias("s"))
+    rows = rows.withColumn("at", B.bit_positions(F.col("s"), _MARK))
+    count = lambda c: c.cast("long")
+    return rows.select(
+        "doc_id", count(F.length("s")).alias("n_bits"), count(F.length(F.replace("s", F.lit("0"), F.lit("")))).alias("ones"),
+        count(F.size("at")).alias("hits"), count(F.get("at", F.lit(0))).alias("first_hit"),
+        count(F.get("at", F.size("at") - 1)).alias("last_hit"),
+        F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("hit_sum"),
+        count(F.length(B.trim_run(F.col("s"), "1"))).alias("trimmed"), F.md5("s").alias("bits_md5"))
+
+
 @query(f"""WITH {_H}, v AS (SELECT doc_id, ({_byte(0)} % 13)::INT AS len, ({_byte(1)} * 256 + {_byte(2)})::INT AS raw,
   {_byte(3)}::INT AS b, ({_byte(4)} % 64)::INT AS cbp FROM h),
 u AS (SELECT *, raw & ((1 << len) - 1) AS val FROM v)

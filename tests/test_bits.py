@@ -83,3 +83,15 @@ def test_pack_unpack_complement(spark):
     for r in df.select("c", B.pack6(flags).alias("p"), B.complement(F.col("c")).alias("x")).collect():
         assert r.c == r.p
         assert r.x == (r.c ^ 0x3C if r.c & 3 != 3 else r.c)
+
+
+def test_bits_of_whole_payloads(spark):
+    rng = random.Random(8)
+    data = [b"", b"\x00", b"\xff" * 9, rng.randbytes(50), rng.randbytes(60_000), None]
+    df = spark.createDataFrame([(k, None if d is None else bytearray(d)) for k, d in enumerate(data)], "id int, p binary")
+    bits = B.all_bits(F.col("p"))
+    for r in df.select("id", bits.alias("s"), B.bit_positions(bits, "11011").alias("at")).collect():
+        d = data[r.id]
+        want = None if d is None else "".join(f"{b:08b}" for b in d)
+        assert r.s == want
+        assert r["at"] == ([k for k in range(len(want)) if want.startswith("11011", k)] if want is not None else [])

@@ -15,7 +15,7 @@ from cinelake.functions.codecs import (
     version_of,
     wmv1_bit_rate,
 )
-from cinelake.operators.lookup import lookup_join
+from cinelake.operators.lookup import lookup_join, shuffled
 from cinelake.operators.scan import CHUNK_ROWS, Running, ordered_scan
 from cinelake.session import saved
 
@@ -28,10 +28,13 @@ def with_codec(packets: DataFrame, streams: DataFrame) -> DataFrame:
 
     Packets whose file has no stream row keep nulls. ``streams`` has one row per file.
     """
-    info = streams.select(
+    return lookup_join(packets, _codecs(streams), FILE, "left", computed=True)
+
+
+def _codecs(streams: DataFrame) -> DataFrame:
+    return streams.select(
         "file_id", "fourcc", version_of(F.col("fourcc")).alias("version"), "width", "height", "extradata"
     )
-    return lookup_join(packets, info, FILE, "left", computed=True)
 
 
 def with_config(frames: DataFrame, rl_chroma: int = 1, rl: int = 2, dc: int = 1) -> DataFrame:
@@ -129,15 +132,18 @@ def frames_table(packets: DataFrame, streams: DataFrame, chunk_rows: int = CHUNK
     """The frames of whole files, as far as headers tell: type, header fields, group, reference, status.
 
     A WMV1 P header depends on the bit rate of its I frame, and references depend on the header, so
-    the packets are scanned twice. The thin packet rows and the coded frames are each written once, so
-    that no scan walks the files again; ``written`` packets are not written a second time.
+    the packets are scanned twice if there is a WMV1 stream. The thin packet rows and the coded frames are each written
+    once, so that no scan walks the files again; ``written`` packets are not written a second time.
     """
     thin = packets.select("file_id", "seq", "byte_offset", "size", "head")
-    bound = with_codec(thin if written else saved(thin, "packets"), streams)
+    codecs = saved(_codecs(streams), "lookup")
+    bound = lookup_join(thin if written else saved(thin, "packets"), codecs, FILE, "left")
     version, head = F.col("version"), F.col("head")
     typed = bound.withColumn("frame_type", frame_type(version, head))
     rated = typed.withColumn("bit_rate", F.when((version == "wmv1") & _intra(), wmv1_bit_rate(head)))
-    coded = frame_header(carry_bit_rate(rated, chunk_rows), bit_rate="bit_rate", extradata="extradata")
+    if not codecs.filter(version == "wmv1").isEmpty():  # others state no rate
+        rated = carry_bit_rate(rated, chunk_rows)
+    coded = frame_header(rated, bit_rate="bit_rate", extradata="extradata")
     status = frame_status(version, F.col("frame_type"), F.col("header"))
     kept = ["file_id", "seq", "byte_offset", "size", "version", "width", "height", "frame_type", "bit_rate", "header"]
     return track(saved(coded.select(*kept, status.alias("status")), "frames"), chunk_rows)
@@ -287,7 +293,7 @@ def thumbnail_packet(
         ).select("file_id", "c.is_first", "c.byte_offset")
         known = _whole(packets).filter(_intra()).select("file_id", "byte_offset")
         seen = (
-            tried.join(known, ["file_id", "byte_offset"])
+            tried.join(shuffled(known), ["file_id", "byte_offset"])
             .groupBy("file_id")
             .agg(
                 F.max(F.when(F.col("is_first"), F.col("byte_offset"))).alias("first"),

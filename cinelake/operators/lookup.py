@@ -22,6 +22,15 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= max_bytes
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled and never broadcast.
+
+    Spark takes a written table for as large as its files. Compressed keys and zeros make millions of rows look
+    smaller than the broadcast limit, and unpacked they do not fit into the driver.
+    """
+    return df.hint("merge")
+
+
 def lookup_join(
     probe: DataFrame,
     table: DataFrame,
@@ -43,4 +52,4 @@ def lookup_join(
         table = saved(table, "lookup")
     if fits_broadcast(table, max_rows):
         return probe.join(F.broadcast(table), on, how)
-    return probe.join(table, on, how)
+    return probe.join(shuffled(table), on, how)

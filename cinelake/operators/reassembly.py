@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from cinelake.operators.lookup import lookup_join
+from cinelake.operators.lookup import lookup_join, shuffled
 from cinelake.operators.scan import CHUNK_ROWS, Running, chunk_of, ordered_scan
 from cinelake.session import saved
 
@@ -52,14 +52,14 @@ def object_status(fragments: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> D
     ), "objects")
     over = totals.filter("bytes > object_size").select(*OBJECT, F.col("object_size").alias("final_size"))
     ranked = ordered_scan(
-        narrow.join(over, OBJECT),
+        lookup_join(narrow, over, OBJECT),
         OBJECT,
         order,
         {"start": Running("sum_before", F.col("size").cast("bigint"))},
         chunk=[F.col("offset"), chunk_of("packet_no", chunk_packets)],
     )
     last = ranked.filter("start < final_size").groupBy(*OBJECT).agg(F.max(F.struct(*order)).alias("last"))
-    return totals.join(last, OBJECT, "left").select(
+    return totals.join(shuffled(last), OBJECT, "left").select(
         *OBJECT,
         "fragments",
         "bytes",
@@ -133,7 +133,7 @@ def object_packets(fragments: DataFrame, chunk_packets: int = PIECE_PACKETS) ->
     """
     done = episodes(fragments, chunk_packets).filter("complete")
     heads = fragments.select("file_id", *ARRIVAL, "offset", F.when(F.col("offset") < HEAD_BYTES, F.col("head")).alias("head"))
-    objects = done.join(heads, ["file_id", *ARRIVAL]).groupBy(*OBJECT, "episode").agg(
+    objects = done.join(shuffled(heads), ["file_id", *ARRIVAL]).groupBy(*OBJECT, "episode").agg(
         F.expr("listagg(head) WITHIN GROUP (ORDER BY offset, packet_no, payload_no)").alias("head"),
         F.max("final_size").cast("int").alias("size"),
         F.max("emit.packet_no").alias("emit_packet"), F.max("emit.payload_no").alias("emit_payload"))
@@ -209,7 +209,7 @@ def _pieces(narrow: DataFrame, chunk_packets: int) -> DataFrame:
     start = F.when(F.col("_chunk") == lowest, F.col("_first")).otherwise(F.coalesce("_begin", "_first"))
     cut = starts.select(*OBJECT, "_chunk", start.alias("_start"))
     piece = F.when(_arrival() >= F.col("_start"), F.col("_chunk")).otherwise(F.col("_chunk") - 1)
-    return rows.join(cut, [*OBJECT, "_chunk"]).withColumn("piece", piece).drop("_chunk", "_start")
+    return rows.join(shuffled(cut), [*OBJECT, "_chunk"]).withColumn("piece", piece).drop("_chunk", "_start")
 
 
 def _fold_pieces(rows: DataFrame) -> DataFrame:
@@ -248,15 +248,15 @@ def episodes(fragments: DataFrame, chunk_packets: int = PIECE_PACKETS) -> DataFr
         ).select(*_PIECE, F.col("want_bytes").alias("in_bytes"), F.col("want_declared").alias("in_declared"))
         if stale.isEmpty():
             break
-        again = _fold_pieces(pieces.join(stale, _PIECE))
-        folded = saved(folded.join(stale.select(*_PIECE), _PIECE, "left_anti").unionByName(again), "episodes")
-    numbered = folded.join(chain.select(*_PIECE, "before"), _PIECE).withColumn("episode", F.col("local") + F.col("before"))
+        again = _fold_pieces(lookup_join(pieces, stale, _PIECE))
+        folded = saved(lookup_join(folded, stale.select(*_PIECE), _PIECE, "left_anti").unionByName(again), "episodes")
+    numbered = folded.join(shuffled(chain.select(*_PIECE, "before")), _PIECE).withColumn("episode", F.col("local") + F.col("before"))
     per = numbered.groupBy(*OBJECT, "episode").agg(
         F.max("done_size").alias("final_size"), F.max(_arrival()).alias("emit")
     )
     return (
         numbered.select(*OBJECT, *ARRIVAL, "object_size", "size", "episode")
-        .join(per, [*OBJECT, "episode"])
+        .join(shuffled(per), [*OBJECT, "episode"])
         .withColumn("complete", F.col("final_size") > 0)
     )
 
@@ -266,6 +266,6 @@ def _reassemble_reused(fragments: DataFrame, chunk_packets: int) -> DataFrame:
         "file_id", *ARRIVAL, "episode", "final_size",
         F.col("emit.packet_no").alias("emit_packet"), F.col("emit.payload_no").alias("emit_payload"),
     )
-    tagged = fragments.join(done, ["file_id", *ARRIVAL])
+    tagged = fragments.join(shuffled(done), ["file_id", *ARRIVAL])
     emits = [F.max("emit_packet").alias("emit_packet"), F.max("emit_payload").alias("emit_payload")]
     return _assemble(tagged, [*OBJECT, "episode"], F.max("final_size"), emits)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinelake.operators.lookup import shuffled
+
 # rows of one key handled by one window group when the order column counts the rows of the key
 CHUNK_ROWS = 1 << 18
 
@@ -122,7 +124,7 @@ def ordered_scan(
         carries.append(c.alias(f"_c_{n}"))
     carry = summaries.select(*keys, *names, *carries)
 
-    joined = scanned.join(carry, [*keys, *names])
+    joined = scanned.join(shuffled(carry), [*keys, *names])
     out = []
     for n, r in outputs.items():
         c, here = F.col(f"_c_{n}"), F.col(f"_l_{n}")

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinelake.operators import frames as FR
+from cinelake.operators.lookup import lookup_join
 from cinelake.operators.scan import Running, ordered_scan
+from cinelake.session import saved
 
 
 def make_frames(seed=3, n=400):
@@ -95,3 +97,19 @@ def test_gop_profile(frames, rows):
         assert got[f].gops == max(v[0] for v in mine)
         assert got[f].longest_p_run == max(runs.values(), default=0)
         assert got[f].no_reference == sum(v[5] == "no_reference" for v in mine)
+
+
+def test_growing_sides_are_never_broadcast(spark):
+    """Written tables look small by their files; only a counted table may be broadcast."""
+    table = saved(spark.range(1000).select(F.col("id").alias("file_id"), F.lit(0).alias("zero")), "small-files")
+    probe = spark.range(1000).select(F.col("id").alias("file_id"))
+    joined = lookup_join(probe, table, ["file_id"], max_rows=10)
+    scanned = ordered_scan(
+        saved(spark.range(1000).select((F.col("id") % 9).alias("file_id"), F.col("id").alias("seq")), "rows"),
+        ["file_id"], ["seq"], {"n": Running("sum", F.lit(1))}, chunk_rows=10)
+    for df in (joined, scanned):
+        assert df.count() == 1000
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert lookup_join(probe, table, ["file_id"], max_rows=1000)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")

@@ -47,10 +47,10 @@ def point_files(spark, sf_dir):
         text(F.col("l_linenumber")), text(F.col("l_partkey") % 100), text(F.col("l_quantity").cast("int")),
         text(F.col("l_returnflag") == "R"), text(F.col("l_orderkey") % 1000), F.lit("0"), F.col("l_linestatus"),
         F.lit("1"), F.lit("2"), F.lit("f"))
-    # a supplier's points go to numbered files, so that none grows with its supplier
+    # a supplier's points go to numbered files, so that none grows with its supplier; they are shuffled as short texts
     number = F.call_function("div", F.col("l_orderkey"), F.lit(ORDERS_PER_FILE))
     arrays = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), number.alias("number")).agg(
-        F.to_json(F.collect_list(point)).alias("array"))
+        F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(point)), ","), F.lit("]")).alias("array"))
     cut = F.concat(F.expr("left(array, length(array) - 1)"), F.lit(',["7","8","cut'))
     files = arrays.select(
         F.concat_ws("/", text(F.col("supplier")), F.concat(text(F.col("number")), F.lit(".json"))).alias("path"),

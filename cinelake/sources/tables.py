@@ -69,34 +69,49 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 #: What matters to nesting: whole strings, and brackets outside of them.
 _NESTING = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{}]', re.S)
 _BLANK = b" \t\r\n,"
+#: Points as writers make them: strings of bounded length without escapes, commas and brackets, so that text between
+#: quotes is no separator. They need no parser; all else goes by nesting.
+_STRING = rb'"[^"\\,\[\]\x00-\x1f]{0,64}+"'
+_POINT = rb"\[" + _STRING + rb"(?:," + _STRING + rb"){0,31}+\]"
+_POINTS = re.compile(_POINT + rb"(?:," + _POINT + rb")*+")
 
 
 def _elements(data: bytes) -> Iterator[tuple]:
-    """Elements of a JSON array by bracket depth: (element, None) for each whole one, (None, text) for what cannot be one.
+    """Elements of a JSON array by bracket depth: (point, element, None) for each whole one, of which one is null, and
+    (None, None, text) for what cannot be one.
 
     A cut array gives all elements before the cut, and its tail; text that is no array comes out whole.
     """
     start = len(data) - len(data.lstrip())
     if data[start : start + 1] != b"[":
-        yield None, data
+        yield None, None, data
         return
-    depth, at = 0, start + 1
-    for m in _NESTING.finditer(data, start):
+    depth, at = 1, start + 1
+    if line := _POINTS.match(data, at):
+        try:
+            text = line[0].decode()
+        except UnicodeDecodeError:
+            pass
+        else:
+            for point in text[2:-2].split('"],["'):
+                yield point.split('","'), None, None
+            at = line.end()
+    for m in _NESTING.finditer(data, at):
         kind = m[0][:1]
         if kind in b"[{":
             depth += 1
         elif kind in b"]}":
             depth -= 1
             if depth == 1:
-                yield data[at : m.end()].lstrip(_BLANK), None
+                yield None, data[at : m.end()].lstrip(_BLANK), None
                 at = m.end()
             elif depth == 0:
                 tail = data[at : m.start()].strip(_BLANK) + data[m.end() :].strip()
                 if tail:
-                    yield None, tail
+                    yield None, None, tail
                 return
     tail = data[at:].strip(_BLANK)
-    yield None, tail or b"["
+    yield None, None, tail or b"["
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -108,9 +123,9 @@ def points_of(docs: DataFrame) -> DataFrame:
     """Points of JSON documents (``table_id``, ``value``). An array is cut into its elements, so what stands before the end of a
     cut file counts; the cut-off tail, and elements that are no points, keep their text in ``_corrupt_record``."""
     found = walk_records(docs.withColumn("value", F.col("value").cast("binary")), _elements,
-                         StructType().add("element", "binary").add("rest", "binary"), ("table_id",), "value")
+                         StructType.fromDDL("point array<string>, element binary, rest binary"), ("table_id",), "value")
     text = F.col("element").cast("string")
-    point = F.from_json(text, "array<string>")
+    point = F.coalesce(F.col("point"), F.from_json(text, "array<string>"))
     rows = found.select("table_id", point.alias("p"), F.coalesce(F.col("rest").cast("string"), F.when(point.isNull(), text)).alias("_corrupt_record"))
     types = {
         "left": "int", "topleft": "int", "top": "int", "from_left": "boolean", "true_pred": "int",

@@ -1,6 +1,7 @@
 """Packed files, cut observation files, and streams that go on from an earlier run."""
 
 import hashlib
+import json
 import os
 
 from cinelake.operators import reassembly as R
@@ -50,6 +51,18 @@ def test_points_before_a_cut_count(spark):
     assert sum(x == whole for x in got[9]) == 1 and any(x[2] for x in got[9])  # an element that is no array is no point
 
 
+def test_plain_points_need_no_parser(spark):
+    """Strings that look like separators, escapes and odd bytes still go by nesting."""
+    got = list(S._elements(b'[["a",""],["b"],["c",","],["],["],["d\\n"],["e'))
+    assert got == [
+        (["a", ""], None, None), (["b"], None, None), (None, b'["c",","]', None), (None, b'["],["]', None), (None, b'["d\\n"]', None),
+        (None, None, b'["e')]
+    assert list(S._elements(b'[["\xff"]]')) == [(None, b'["\xff"]', None)]
+    plain = [[str(k), "2", "3", "false", "5", "0", "é", "1", "2", "f"] for k in range(3000)]
+    found = points(spark, [json.dumps(plain, separators=(",", ":")), json.dumps(plain)])  # compact, then with blanks
+    assert found[0] == found[1] == [(k, "f", None) for k in range(3000)]
+
+
 def test_objects_span_runs_of_one_stream(spark, tmp_path):
     rows = [(1, p, 0, p % 2, 10 * (p // 2), 6, 2, bytes([65 + p] * 2)) for p in range(12)]
     schema = "file_id long, packet_no long, payload_no int, object_no long, offset long, object_size long, size int, payload binary"

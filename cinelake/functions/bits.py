@@ -1,4 +1,4 @@
-"""Bit and byte fields of BINARY columns as built-in column expressions.
+"""Bit and byte fields of BINARY columns as built-in column expressions (``bit_scan`` alone runs in Python).
 
 Integers are built by ``conv(hex(...))``; a payload that ends early reads as
 zero bits, as a bit reader past the end of its buffer would give.
@@ -6,6 +6,10 @@ zero bits, as a bit reader past the end of its buffer would give.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +155,8 @@ def pattern_positions(s: Column, pattern: str) -> Column:
     return F.when(n >= m, found).otherwise(F.array().cast("array<int>"))
 
 
+#: What ``bit_scan`` finds.
+_SCAN = pa.struct({"n_bits": pa.int64(), "ones": pa.int64(), "positions": pa.list_(pa.int64()), "trimmed": pa.int64(), "md5": pa.string()})
 #: Bits searched at once.
 BLOCK = 16
 HEX_DIGITS, NIBBLE_NAMES = "0123456789ABCDEF", "abcdefghijklmnop"
@@ -184,6 +190,35 @@ def bit_positions(bits: Column, pattern: str) -> Column:
     return F.when(F.length(bits) >= m, found).otherwise(F.array().cast("array<int>"))
 
 
+def bit_scan(payload: Column, pattern: str) -> Column:
+    """All bits of a payload at once, without a string of them outside the task: STRUCT<n_bits, ones, positions, trimmed, md5>.
+
+    ``positions`` are those of ``pattern`` (``bit_positions``), ``trimmed`` is the length without trailing ones and ``md5`` is
+    that of ``all_bits``. One payload is unpacked at a time, in a fixed number of linear passes.
+    """
+    if not pattern or set(pattern) - {"0", "1"}:
+        raise ValueError("pattern must be a string of 0 and 1")
+    wanted = [int(c) for c in pattern]
+
+    def scan(data: bytes) -> tuple:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        n = len(bits) - len(wanted) + 1
+        hit = np.ones(max(n, 0), bool)
+        for k, bit in enumerate(wanted if n > 0 else []):
+            hit &= bits[k : k + n] == bit
+        zeros = len(bits) - 1 - int(bits[::-1].argmin()) if len(bits) else -1
+        trimmed = 0 if zeros < 0 or bits[zeros] else zeros + 1
+        text = hashlib.md5(bits + ord("0"), usedforsecurity=False).hexdigest()
+        return len(bits), int(np.count_nonzero(bits)), np.flatnonzero(hit), trimmed, text
+
+    @F.arrow_udf("n_bits bigint, ones bigint, positions array<bigint>, trimmed bigint, md5 string")
+    def scanned(payloads: pa.Array) -> pa.Array:
+        rows = [None if (data := p.as_py()) is None else dict(zip(_SCAN.names, scan(data))) for p in payloads]
+        return pa.array(rows, _SCAN)
+
+    return scanned(payload)
+
+
 def trim_run(s: Column, ch: str) -> Column:
     """Drop the trailing run of one character."""
     return F.rtrim(s, F.lit(ch))

@@ -96,15 +96,11 @@ FROM s LEFT JOIN h USING (doc_id)""")
 def text_bits(spark, sf_dir):
     """Every bit of every whole text: how many are set, and where a marker stands at any bit offset."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("p"))
-    rows = docs.select("doc_id", B.all_bits(F.col("p")).alias("s"))
-    rows = rows.withColumn("at", B.bit_positions(F.col("s"), _MARK))
-    count = lambda c: c.cast("long")
-    return rows.select(
-        "doc_id", count(F.length("s")).alias("n_bits"), count(F.length(F.replace("s", F.lit("0"), F.lit("")))).alias("ones"),
-        count(F.size("at")).alias("hits"), count(F.get("at", F.lit(0))).alias("first_hit"),
-        count(F.get("at", F.size("at") - 1)).alias("last_hit"),
-        F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("hit_sum"),
-        count(F.length(B.trim_run(F.col("s"), "1"))).alias("trimmed"), F.md5("s").alias("bits_md5"))
+    at = F.col("found.positions")
+    return docs.select("doc_id", B.bit_scan(F.col("p"), _MARK).alias("found")).select(
+        "doc_id", "found.n_bits", "found.ones", F.size(at).cast("long").alias("hits"), F.get(at, F.lit(0)).alias("first_hit"),
+        F.get(at, F.size(at) - 1).alias("last_hit"), F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).alias("hit_sum"),
+        "found.trimmed", F.col("found.md5").alias("bits_md5"))
 
 
 @query(f"""WITH {_H}, v AS (SELECT doc_id, ({_byte(0)} % 13)::INT AS len, ({_byte(1)} * 256 + {_byte(2)})::INT AS raw,

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -95,3 +96,22 @@ def test_bits_of_whole_payloads(spark):
         want = None if d is None else "".join(f"{b:08b}" for b in d)
         assert r.s == want
         assert r["at"] == ([k for k in range(len(want)) if want.startswith("11011", k)] if want is not None else [])
+
+
+def test_bit_scan_is_what_the_bit_string_says(spark):
+    rng = random.Random(5)
+    data = [None, b"", b"\xff", b"\xff\xff", b"\0", b"\x01", b"\xb6\xdb\x6d", b"\0\xff\x80", rng.randbytes(1 << 20)]
+    data += [rng.randbytes(rng.randrange(1, 40)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(data)), "id int, p binary")
+    for pattern in ("1", "11011", "0011101", "01" * 9):
+        for r in df.select("id", B.bit_scan(F.col("p"), pattern).alias("found")).collect():
+            if data[r.id] is None:
+                assert r.found is None
+                continue
+            s = "".join(f"{b:08b}" for b in data[r.id])
+            at = [k for k in range(len(s)) if s.startswith(pattern, k)] if len(s) < 400 else None
+            f = r.found
+            assert (f.n_bits, f.ones, f.trimmed, f.md5) == (len(s), s.count("1"), len(s.rstrip("1")), hashlib.md5(s.encode()).hexdigest())
+            assert f.positions == at or at is None and len(f.positions) >= s.count(pattern)
+    with pytest.raises(ValueError):
+        B.bit_scan(F.col("p"), "")

@@ -104,10 +104,12 @@ def file_frames(spark, sf_dir):
 @query(f"WITH {_FRAMES}")
 def stream_files(spark, sf_dir):
     """The same frames from a stream of files in several micro-batches: walked, classified and tracked in one running query."""
-    files = avi_files(spark, sf_dir).repartition(STAGED_FILES, "file_id")
+    files = avi_files(spark, sf_dir)
+    staged = max(STAGED_FILES, files.rdd.getNumPartitions())  # as many as tasks read the texts, half of them per micro-batch
+    files = files.repartition(staged, "file_id")
     path = shared_dir(spark, "staged-files")
     files.write.parquet(path)
-    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", STAGED_FILES // 2).parquet(path)
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", staged // 2).parquet(path)
     return stream_frames(arriving, "file-frames").select(
         "file_id", "seq", "frame_type", F.col("header.qscale").alias("qscale"), "gop_id", "p_index", "ref_seq", "status")
 

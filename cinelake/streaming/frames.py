@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cinelake.operators import frames as FR
+from cinelake.operators.lookup import shuffled
 from cinelake.operators.reassembly import object_packets
-from cinelake.operators.scan import Running, ordered_scan
+from cinelake.operators.scan import CHUNK_ROWS, Running, ordered_scan
 from cinelake.session import saved, shared_dir
 from cinelake.sources.records import media_records
 
@@ -57,11 +58,14 @@ def stream_frames(files: DataFrame, name: str, base: str | None = None) -> DataF
     return spark.read.schema(shapes[0]).parquet(f"{base}/frames")
 
 
-def _sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sources(files: DataFrame) -> tuple[DataFrame, DataFrame, int, bool]:
+    """Arguments of ``frames_table``."""
     walked = media_records(files)
+    if walked.fragments.isEmpty():  # no ASF file: the packets are those of the written walk
+        return walked.packets, walked.streams, CHUNK_ROWS, True
     columns = ["file_id", "seq", "byte_offset", "size", "head"]
     objects = object_packets(walked.fragments)
-    return walked.packets.select(*columns).unionByName(objects.select(*columns)), walked.streams
+    return walked.packets.select(*columns).unionByName(objects.select(*columns)), walked.streams, CHUNK_ROWS, False
 
 
 def track_batches(frames: DataFrame, name: str, base: str | None = None) -> DataFrame:
@@ -84,7 +88,7 @@ def track_batches(frames: DataFrame, name: str, base: str | None = None) -> Data
         pool = before("waiting", WAITING, number).withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
         known = carry.select("file_id", *[F.col(f.name).alias("_carried" if f.name == "distance" else f"_{f.name}") for f in CARRY if f.name != "file_id"])
         once = pool.groupBy("file_id", "seq").agg(F.min(F.struct("_new", "frame_type", "status", "bit_rate")).alias("f"))
-        pool = once.select("file_id", "seq", "f.frame_type", "f.status", "f.bit_rate").join(known, "file_id", "left")
+        pool = once.select("file_id", "seq", "f.frame_type", "f.status", "f.bit_rate").join(shuffled(known), "file_id", "left")
         pool = pool.filter(F.col("seq") >= F.coalesce("_next_seq", F.lit(0)))
         placed = saved(ordered_scan(pool, FR.FILE, ["seq"], {"_place": Running("sum_before", F.lit(1).cast("bigint"))}), "pool")
         ready = placed.filter(F.col("seq") == F.coalesce("_next_seq", F.lit(0)) + F.col("_place"))
@@ -106,7 +110,7 @@ def track_batches(frames: DataFrame, name: str, base: str | None = None) -> Data
             F.max_by("bit_rate", "seq").alias("bit_rate"),
             F.coalesce(F.max(F.when(F.col("_raw"), F.col("seq"))), F.max("_ref_seq")).alias("ref_seq"),
             (F.max(F.coalesce("_decoded", F.lit(False))) | F.max(FR._intra() & F.col("_raw"))).alias("decoded"))
-        kept = carry.join(moved.select("file_id"), "file_id", "left_anti")
+        kept = carry.join(shuffled(moved.select("file_id")), "file_id", "left_anti")
         moved.unionByName(kept).select(*CARRY.names).write.mode("overwrite").parquet(f"{base}/carry/batch={number}")
         late = placed.filter(F.col("seq") != F.coalesce("_next_seq", F.lit(0)) + F.col("_place"))
         late.select(*WAITING.names).write.mode("overwrite").parquet(f"{base}/waiting/batch={number}")

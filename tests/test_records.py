@@ -99,3 +99,21 @@ def test_tracking_goes_on_where_it_stopped(spark, tmp_path):
     got = SF.track_batches(staged(spark, rows, FRAMES, tmp_path / "in", [range(half, len(rows))]), "gops", base)
     columns = gops.OUTPUT.names
     assert rows_of(got, columns) == rows_of(FR.track(spark.createDataFrame(rows, FRAMES)).select(*columns), columns)
+
+
+def test_streams_of_avi_files_fold_no_objects_and_stage_by_input(spark, sf_dir, monkeypatch):
+    from cinelake.plans import containers as C
+
+    assert SF._sources(C.avi_files(spark, sf_dir))[3] and not SF._sources(C.wmv_files(spark, sf_dir))[3]
+    paths = []
+    monkeypatch.setattr(C, "shared_dir", lambda *a: paths.append(shared_dir(*a)) or paths[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "16k")
+        assert C.stream_files(spark, sf_dir).count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    staged = spark.read.parquet(paths[0]).inputFiles()
+    assert len(staged) > C.STAGED_FILES

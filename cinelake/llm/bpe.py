@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -98,46 +99,47 @@ class Vocabulary:
         self.inner = [ids[c] for c in chars]
         self.last = [ids[c + end] for c in chars]
         self.size = len(self.tokens)
-        self.merges = {}
+        self.ranks, self.made = {}, []  # rank of a pair, and what the merge of a rank makes
         for rank, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
-            self.merges[ids[a] * self.size + ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a] * self.size + ids[b]] = rank
+            self.made.append(ids[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # the white space of the file's own regex library: control characters 28 to 31 do not count
         space = r"[\t-\r\x20\x85\xa0  -     　]"
         pattern = pattern.replace(r"[^\s", "[^" + space[1:-1])
         self.common = regex.compile(pattern).findall
-        self.rare = regex.compile(f"[{class_of(disputed())}]").search
+        self.rare = frozenset(map(chr, disputed()))
         self.exact = regex.compile(pattern.replace(r"\p{L}", class_of(members("L"))).replace(r"\p{N}", class_of(members("N")))).findall
-        self.spaces = regex.compile(space + "+")
+        self.spaces = regex.compile(f"{space}{{2,}}|(?! ){space}")  # a blank by itself stays as it is
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """Words of a normalised text; the slower pattern of fixed ranges only where the two could differ."""
-        if text.isascii() or not self.rare(text):
+        if text.isascii() or self.rare.isdisjoint(text):
             return self.common(text)
         return self.exact(text.translate(NEW_LOWER))
 
     def rank(self, a: int, b: int) -> int:
-        hit = self.merges.get(a * self.size + b)
-        return NO_RANK if hit is None else hit[0]
+        return self.ranks.get(a * self.size + b, NO_RANK)
 
     def merge(self, parts: list[int]) -> list[int]:
         """Merge by the rank array; of equal ranks the leftmost goes first."""
         if len(parts) > LONG:
             return self.merge_long(parts)
-        ranks = [self.rank(a, b) for a, b in zip(parts, parts[1:])]
+        rank, size = self.ranks.get, self.size
+        ranks = [rank(a * size + b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             i = ranks.index(least)
-            parts[i : i + 2] = [self.merges[parts[i] * self.size + parts[i + 1]][1]]
-            del ranks[i]
+            parts[i] = made = self.made[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = self.rank(parts[i - 1], parts[i])
+                ranks[i - 1] = rank(parts[i - 1] * size + made, NO_RANK)
             if i < len(ranks):
-                ranks[i] = self.rank(parts[i], parts[i + 1])
+                ranks[i] = rank(made * size + parts[i + 1], NO_RANK)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -148,11 +150,11 @@ class Vocabulary:
         heap = [h for h in heap if h[0] < NO_RANK]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            least, i, a, b = heapq.heappop(heap)
             j = after[i]
             if gone[i] or j >= n or parts[i] != a or parts[j] != b:
                 continue
-            parts[i] = self.merges[a * self.size + b][1]
+            parts[i] = self.made[least]
             gone[j], after[i] = True, after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -165,7 +167,8 @@ class Vocabulary:
         raw = word.encode()
         parts = [self.inner[b] for b in raw]
         parts[-1] = self.last[raw[-1]]
-        return np.array(self.merge(parts), "<u4").tobytes()
+        merged = self.merge(parts)
+        return struct.pack(f"<{len(merged)}I", *merged)
 
     def normalized(self, text: str) -> str:
         text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
@@ -182,20 +185,17 @@ class Vocabulary:
     def _encode(self, text: str) -> bytes:
         words = self.words(self.normalized(text))
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = known.get(w)
+        out = list(map(known.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
+            ids = known.get(w)  # it may have come since
             if ids is None:
                 ids = self.word_ids(w)
                 if len(w) <= LONGEST_REMEMBERED:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[w] = ids
-            out.append(ids)
+            out[k] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

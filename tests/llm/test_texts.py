@@ -183,3 +183,26 @@ def test_secret_query_on_the_table(spark, sf_dir, sample_docs):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex")]
         assert got[i].base_sha256 == sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode())
         assert set(f"{k}:{s}:{e}" for k, s, e in base) <= set(got[i].spans.split(",")) | {""}
+
+
+def test_words_are_merged_by_least_rank_and_blanks_joined():
+    import random
+
+    import regex
+
+    v = bpe.Vocabulary(vocabulary_path())
+    rng = random.Random(8)
+    for word in ["".join(rng.choice("aehinorstuéß9") for _ in range(rng.randrange(1, 40))) for _ in range(300)]:
+        raw = word.encode()
+        parts = [v.inner[b] for b in raw[:-1]] + [v.last[raw[-1]]]
+        while len(parts) > 1:
+            least, i = min((v.rank(a, b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if least == bpe.NO_RANK:
+                break
+            parts[i : i + 2] = [v.made[least]]
+        assert np.frombuffer(v.word_ids(word), "<u4").tolist() == parts
+        assert v.encode(f"{word} {word}") == v.encode(word) * 2
+    for _ in range(300):
+        text = "".join(rng.choice("ab     \t\n\r\x0b\x0c\x1c\x85\xa0 　​") for _ in range(40))
+        assert v.normalized(text) == regex.sub(r"[\t-\r \x85\xa0 -     　]+", " ", text)
+    assert v.rare >= set(map(chr, bpe.NEW_LOWER))

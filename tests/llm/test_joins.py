@@ -1,5 +1,6 @@
 """Operators that compare texts and vectors: substrings, shingles, benchmark passages, vectors, components."""
 
+import math
 import random
 
 import numpy as np
@@ -251,6 +252,71 @@ def test_vector_dedup_edges(spark):
     assert vector_dedup.near_duplicates(vector_frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 7])
+def test_vector_blocks_all_meet_once(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(blocks)
+    centres = rng.normal(size=(9, 24))
+    rows = [(i * 7 % 421, (centres[i % 9] + rng.normal(size=24) * 0.19).tolist(), 1, "x", "y") for i in range(420)]
+    rows += [(1000 + i, rows[i % 3][1], 1, "x", "y") for i in range(40)] + [(2000 + i, [x * 1e-30 for x in rows[i][1]], 1, "x", "y") for i in range(9)]
+    size = 24 * 4 * 432
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", 24 * 4 * 16)
+    monkeypatch.setattr(vector_dedup, "SPLIT_BYTES", size)
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", -(-size // blocks))
+    if blocks == 3:
+        monkeypatch.setattr(vector_dedup, "SPLIT_BYTES", 1)  # a third of the label is smaller than a block may be
+        monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", size)
+    got = vector_dedup.near_duplicates(vector_frame(spark, rows).repartition(5)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_vectors(rows)
+    assert sum(r.n_links for r in got) > 5000
+
+
+def test_vectors_without_an_id_hold_components_together(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", 8)
+    turn = [[math.cos(0.3 * k), math.sin(0.3 * k)] for k in range(6)]  # each links with its neighbours only
+    rows = [(None if k % 2 else 10 - k, v, 1, "", "") for k, v in enumerate(turn)] + [(1, [0.0, -1.0], 1, "", ""), (6, turn[0], 2, "", "")]
+    got = vector_dedup.near_duplicates(vector_frame(spark, rows)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [
+        (0, 1, 0), (0, 2, 0), (0, 2, 0), (1, 0, 1), (6, 0, 6), (6, 2, 6), (8, 2, 6), (10, 1, 6)]
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.03, 0.15, 1.0])
+def test_tiles_pair_what_cosines_link(spread):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([(rng.normal(size=24) + spread * rng.normal(size=(n, 24))) * rng.choice([1e-12, 1, 1e12], (n, 1)) for n in (300, 77)]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    axes = (np.linalg.qr(rng.normal(size=(24, 24)))[0], 8)
+    sides = [vector_dedup.Tile(0, -1, 1, np.zeros((4, len(v)), np.int64).tobytes(), v.tobytes(), 24, np.float32, axes) for v in (x[:350], x[200:])]
+    got = {(i, j) for a, b in sides[0].pairs(sides[1], 0.93) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    a, b = (t.v.astype(float) / np.linalg.norm(t.v.astype(float), axis=1, keepdims=True) for t in sides)
+    cosine = a @ b.T
+    assert np.abs(cosine - 0.93).min() > 1e-9 and got == set(zip(*(k.tolist() for k in np.nonzero(cosine >= 0.93)), strict=True))
+
+
+def test_vectors_travel_a_few_times_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", 1 << 14)  # 100 tiles of 64 vectors
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist(), 1, "", "") for i, v in enumerate(rng.normal(size=(6400, 64)))]
+    vector_frame(spark, rows).select("vec_id", "embedding", "label").write.parquet(f"{tmp_path}/in")
+    given = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    java = spark.sparkContext._jvm
+
+    def shuffled():
+        nothing = java.java.util.ArrayList()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(nothing, False, False, spark.sparkContext._gateway.new_array(java.double, 0), nothing)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    written, before = [], set(shuffled())
+
+    def saved(df, prefix):
+        df.write.parquet(f"{tmp_path}/{len(written)}-{prefix}")
+        written.append(sum(f.stat().st_size for f in (tmp_path / f"{len(written)}-{prefix}").glob("*.parquet")))
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{len(written) - 1}-{prefix}")
+
+    monkeypatch.setattr(vector_dedup, "saved", saved)
+    assert vector_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/in")).filter("n_links = 0").count() == 6400
+    assert len(written) > 3 and sum(written) + sum(n for k, n in shuffled().items() if k not in before) < 4 * given
+
+
 def test_vector_query_on_the_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op6_vector_dedup"](spark, sf_dir).collect()}
